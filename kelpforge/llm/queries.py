@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpforge.llm import exact_dedup, secret_scan, url_filter
+from kelpforge.llm import exact_dedup, secret_scan, simhash, url_filter, warc
 from kelpforge.llm._common import read_table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(spark, read_table(spark, sf_dir, "pages"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(read_table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -32,6 +40,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op2_warc": op2_warc,
     "op5_secret_scan": op5_secret_scan,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_url_filter": op9_url_filter,
@@ -73,7 +83,16 @@ _URL_SQL = r"""
            coalesce(f.verdict, CASE WHEN regexp_matches(u.host, '^(.*\.)?spam[^./]*\.') OR regexp_matches(u.host, '^(.*\.)?adserver\.') THEN 'block' ELSE 'allow' END) AS verdict
     FROM u LEFT JOIN fits f USING (page_id)"""
 
+_WARC_SQL = """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to, TRUE AS intact
+    FROM f"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": _WARC_SQL,
     "op5_secret_scan": _secret_sql(),
     "op8_exact_dedup": _EXACT_SQL,
     "op9_url_filter": _URL_SQL,
