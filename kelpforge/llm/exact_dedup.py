@@ -8,7 +8,7 @@ by digest *and* full content:
 3. by digest: the salt winners, at most `salts` rows a text, give the group's winner and size.
 
 The way back runs over the same salts: every (digest, salt) row learns its group's winner, and documents join by digest
-and salt with narrow rows (id, length, digest), so a text that a third of all rows share is spread over the salts there
+and salt with narrow rows (id, salt, digest), so a text that a third of all rows share is spread over the salts there
 too. Documents carry their content into that join only where one digest stands for two contents. SHA-256 makes that set
 empty in practice, which is why it alone may be broadcast; tests give a weak digest to exercise it.
 """
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpforge.llm._common import WHITE_SPACE, empty_if_null
+from kelpforge.llm._common import WHITE_SPACE, empty_if_null, settle
 
 SALTS = 16
 #: A winner packs (code points, smallest id) in one number, which a hash aggregate can hold: points * 2^64 + (2^63 - 1 - id).
@@ -73,7 +73,7 @@ def exact_duplicates(
     )
     by_digest = Window.partitionBy("digest")
     by_content = Window.partitionBy("digest", "content")
-    winners = (
+    winners = settle(
         salted.withColumn("nth", F.dense_rank().over(by_digest.orderBy("content")))
         .withColumn("best", F.max("best").over(by_content))
         .withColumn("group_size", F.sum("members").over(by_content))
