@@ -31,19 +31,15 @@ _SLOT_END = "\x02"
 
 
 def tokens(text: Column) -> Column:
-    """Words, numbers and unit signs; a capitalised word inside a sentence has a mark before it."""
+    """Lower-case words, numbers (ASCII digits) and unit signs; what was a capitalised word inside a sentence has a mark before it."""
     plain = F.regexp_replace(empty_if_null(text), "[\x01\x02]", " ")
-    marked = F.regexp_replace(plain, r"\p{Lu}(?<=[\p{L}\p{N},;] \p{Lu})\p{Ll}+", _NAME + "$0")
-    return F.regexp_extract_all(marked, F.lit(_NAME + r"?[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*|[%°$€£]"), F.lit(0))
+    marked = F.regexp_replace(plain, r"\p{Lu}(?<=[\p{L}0-9,;] \p{Lu})\p{Ll}+", _NAME + "$0")
+    return F.regexp_extract_all(F.lower(marked), F.lit(_NAME + r"?[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*|[%°$€£]"), F.lit(0))
 
 
 def _kind(token: Column) -> Column:
-    first = F.substring(token, 1, 1)
-    return (
-        F.when(first == _NAME, F.lit("#name"))
-        .when(F.lower(token).isin(UNITS), F.lit("#unit"))
-        .when((F.upper(first) == F.lower(first)) & F.regexp(token, F.lit(r"^\p{N}")), F.lit("#number"))
-    )
+    """Of a token in lower case; by order, for a mark sorts before all and digits sort between 0 and :."""
+    return F.when(token < _SLOT_END, F.lit("#name")).when((token < ":") & (token >= "0"), F.lit("#number")).when(token.isin(UNITS), F.lit("#unit"))
 
 
 def windows(texts: DataFrame, window: int = WINDOW, quoted: bool = False) -> DataFrame:
@@ -54,19 +50,20 @@ def windows(texts: DataFrame, window: int = WINDOW, quoted: bool = False) -> Dat
     """
     first = F.try_element_at("tokens", F.lit(1))
     named = F.concat(F.array(F.concat(F.lit(_NAME), first)), F.slice("tokens", 2, F.size("tokens")))
-    taken = F.when(F.regexp(first, F.lit(r"^\p{Lu}\p{Ll}+$")), named).otherwise(F.col("tokens")) if quoted else F.col("tokens")
-    told = F.transform(taken, lambda t: F.struct(_kind(t).alias("kind"), F.lower(t).alias("low")))
-    split = texts.select("key", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0).select("key", told.alias("told"))
+    capital = F.regexp(F.col("text"), F.lit(r"^[^\p{L}0-9%°$€£]*\p{Lu}\p{Ll}"))
+    taken = F.when(capital, named).otherwise(F.col("tokens")) if quoted else F.col("tokens")
+    split = texts.select("key", "text", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0).select("key", taken.alias("tokens"))
     split = split.select(
         "key",
-        F.transform("told", lambda t: F.coalesce(t["kind"], t["low"])).alias("template"),
-        F.transform("told", lambda t: F.when(t["kind"].isNotNull(), F.concat(t["kind"], t["low"], F.lit(_SLOT_END)))).alias("values"),
-    )
+        F.transform("tokens", lambda t: F.coalesce(_kind(t), t)).alias("template"),
+        F.transform("tokens", lambda t: F.when(_kind(t).isNotNull(), F.concat(_kind(t), F.ltrim(t, F.lit(_NAME)), F.lit(_SLOT_END)))).alias("values"),
+    ).withColumn("slotted", F.exists("values", lambda v: v.isNotNull()))
     starts = F.sequence(F.lit(0), F.greatest(F.size("template") - window, F.lit(0)))
+    part = lambda c, i: [F.get(c, i + k) for k in range(window)]  # noqa: E731  null beyond the end, which neither hash nor join counts
     every = F.transform(
         starts,
         lambda i: F.struct(
-            i.alias("at"), F.xxhash64(F.slice(F.col("template"), i + 1, window)).alias("hash"), F.array_join(F.slice(F.col("values"), i + 1, window), "").alias("slots")
+            i.alias("at"), F.xxhash64(*part("template", i)).alias("hash"), F.when(F.col("slotted"), F.concat_ws("", *part("values", i))).otherwise("").alias("slots")
         ),
     )
     return split.select("key", F.inline(every))
