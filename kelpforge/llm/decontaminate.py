@@ -66,7 +66,8 @@ def windows(texts: DataFrame, window: int = WINDOW, quoted: bool = False) -> Dat
             i.alias("at"), F.xxhash64(*part("template", i)).alias("hash"), F.when(F.col("slotted"), F.concat_ws("", *part("values", i))).otherwise("").alias("slots")
         ),
     )
-    return split.select("key", F.inline(every))
+    # Never empty; but for a plain inline Spark would infer a filter on the array, and work it out a second time.
+    return split.select("key", F.inline_outer(every))
 
 
 def _slot_pairs(own: Column, other: Column) -> Column:
