@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +50,6 @@ def _canonical_json_text(text: str | None) -> str | None:
 
 def canonical_json(text: Column) -> Column:
     """JSON with sorted keys and no blanks; other texts with white space collapsed."""
-    import pandas as pd
 
     @F.pandas_udf(T.StringType())
     def canonical(texts: pd.Series) -> pd.Series:
