@@ -49,13 +49,12 @@ def append(entries: DataFrame, heads: DataFrame | None = None, key: bytes | None
         first = pdf.loc[0]
         sequence, previous = (0, GENESIS) if pd.isna(first["__seq"]) else (int(first["__seq"]) + 1, first["__hash"])
         out = []
-        for _, r in pdf.iterrows():
-            row = {c: (None if r[c] is None or (not isinstance(r[c], list) and not hasattr(r[c], "__len__") and pd.isna(r[c])) else r[c]) for c in (*TEXTS, "approver")}
-            row["reasons"] = list(r["reasons"]) if r["reasons"] is not None else []
-            at = r["recorded_at"].to_pydatetime()
-            digest = _plain_hash(sequence, previous, row, at)
+        texts = pdf[[*TEXTS, "approver"]].astype(object).where(pdf[[*TEXTS, "approver"]].notna(), None)
+        for row, reasons, stamp in zip(texts.to_dict("records"), pdf["reasons"], pdf["recorded_at"], strict=True):
+            row["reasons"] = [] if reasons is None else list(reasons)
+            digest = _plain_hash(sequence, previous, row, stamp.to_pydatetime())
             signature = hmac.new(key, sign_text("entry", row["tenant_id"], sequence, digest).encode(), "sha256").hexdigest() if key else None
-            out.append({"sequence": sequence, **row, "recorded_at": r["recorded_at"], "previous_hash": previous, "entry_hash": digest, "signature": signature})
+            out.append({"sequence": sequence, **row, "recorded_at": stamp, "previous_hash": previous, "entry_hash": digest, "signature": signature})
             sequence, previous = sequence + 1, digest
         return pd.DataFrame(out)[[c.split()[0] for c in ENTRY.split(", ")]]
 

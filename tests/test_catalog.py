@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from compare import TABLES, rows_of
-from kelpforge.plans import catalog
+from kelpforge.plans import catalog, records  # noqa: F401  records adds to the catalog
 
 SF = "/root/testdata/sf0.001"
 
