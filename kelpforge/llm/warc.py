@@ -12,6 +12,7 @@ import gzip
 import hashlib
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
@@ -86,12 +87,13 @@ def _batches(rows: Iterable[tuple], schema: pa.Schema, size_of) -> Iterator[pa.R
 def _writer(chunk_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            context, n = TaskContext.get(), 0
+            context, seen = TaskContext.get(), Counter()
             for batch in batches:
                 for page_id, url, html, digest, size, refers_to in zip(*(batch.column(c) for c in ("page_id", "url", "html", "digest", "size", "refers_to")), strict=True):
-                    # Unique for each row, repeated ones too, and the same when the task is run again.
-                    record_id = str(uuid.uuid5(uuid.NAMESPACE_OID, f"{page_id}/{digest}/{context.partitionId()}/{n}"))
-                    n += 1
+                    # Unique for each row, repeated ones too, and whatever the order in which a task that is run again gets its rows.
+                    key = f"{page_id}/{digest}"
+                    seen[key] += 1
+                    record_id = str(uuid.uuid5(uuid.NAMESPACE_OID, f"{key}/{context.partitionId()}/{seen[key]}"))
                     head = _header(page_id.as_py(), record_id, url.as_py(), size.as_py(), digest.as_py(), refers_to.as_py())
                     payload = html.as_buffer() if refers_to.as_py() is None else b""
                     yield from chunked(record_id, head, payload, chunk_bytes)
@@ -212,3 +214,19 @@ def parse_stream(stream: BinaryIO, chunk_bytes: int = CHUNK_BYTES) -> Iterator[t
             no += 1
             if not left:
                 break
+
+
+def read_files(spark: SparkSession, paths: list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Chunk rows of .warc and .warc.gz files that all executors can open under these paths; a task streams one file at a time."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for path in batch.column("path").to_pylist():
+                    with (gzip.open if path.endswith(".gz") else open)(path, "rb") as f:
+                        yield from parse_stream(f, chunk_bytes)
+
+        yield from _batches(rows(), _CHUNK_SCHEMA, lambda r: len(r[4]) + len(r[3] or b"") + 150)
+
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    return listed.mapInArrow(stream, CHUNKS)

@@ -154,6 +154,18 @@ def test_warc_round_trip(spark, tmp_path):
             assert whole == payload[int(head["x-page-id"])] and "injected" not in head
 
 
+def test_warc_files(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", "payload " * k) for k in range(40)], "page_id long, url string, html string")
+    warc.to_chunks(warc.plan_records(pages), 64).write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.schema(warc.CHUNKS).parquet(str(tmp_path / "chunks"))
+    paths = [str(tmp_path / n) for n in ("a.warc", "b.warc.gz")]
+    for p in paths:
+        assert warc.export_warc(chunks, p) == 40
+    back = warc.read_files(spark, paths, 64)
+    assert back.exceptAll(chunks.union(chunks)).count() == 0 and back.count() == 2 * chunks.count()
+    assert warc.read_records(back.dropDuplicates(["record_id", "chunk_no"])).where("intact").count() == 40
+
+
 def test_warc_finds_damage_and_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "a" * 200), (2, "u", "b" * 10)], "page_id long, url string, html string")
     chunks = warc.to_chunks(warc.plan_records(pages), 64)
