@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,8 +35,8 @@ EVIDENCE = 20_000
 #: A piece of evidence is worth (toxic + PRIOR_DOCUMENTS * share of toxic) / (all + PRIOR_DOCUMENTS).
 PRIOR_DOCUMENTS = 3.0
 LEAST_POSTERIOR = 0.3
-#: How often a toxic document may be explained, and the lower bound (three deviations) of the posterior that later evidence must have.
-EXPLAINED, SURE = 8, 0.5
+#: How often a toxic document may be explained; the share of toxic documents, and its lower bound (three deviations), that later evidence must have.
+EXPLAINED, PURE, SURE = 8, 0.95, 0.5
 THRESHOLD = 0.7
 #: Character classes of the trigram model; letters beyond share a class by code point.
 CLASSES = 128
@@ -46,24 +47,27 @@ LEET = {
 }
 #: Channel costs, as log probabilities: a sign read as a letter, left out, kept; a run read as two letters.
 _AS_LETTER, _LEFT_OUT, _KEPT, _SINGLED, _DOUBLED = -1.0, -8.0, -10.0, -6.0, -0.5
-_TOKEN = re.compile(r"\S+")
 _EDGE = re.compile(r"^[\"'(\[{<¿]+|(?:[.,;:?\"')\]}>|]+|([^\w\s])\1*)+$")
 _RUN = re.compile(r"(.)\1\1")
-_APART = re.compile(r"(?<!\S)[^\W_]([\s.\-_*]+)[^\W_](?:\1[^\W_])+(?!\w)")
+_APART = re.compile(r"[^\W_]([.\-_*]+)[^\W_](?:\1[^\W_])+")
+_SEPARATORS = frozenset(".-_*")
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHED_WORDS = 200_000
 
 
 def char_class(c: str) -> int:
+    """0 for what isn't a letter, and for the letters beyond the basic plane."""
     k = ord(c)
-    return 1 + (k - 97 if 97 <= k <= 122 else 26 + k % (CLASSES - 27)) if c.isalpha() else 0
+    return 1 + (k - 97 if 97 <= k <= 122 else 26 + k % (CLASSES - 27)) if c.isalpha() and k < 1 << 16 else 0
+
+
+_CLASS_OF = np.array([char_class(chr(k)) if not 0xD800 <= k < 0xE000 else 0 for k in range(1 << 16)], np.int32)
 
 
 def trigram_codes(words: str) -> np.ndarray:
     """Codes of all class trigrams of a text in lower case; class 0 is the edge of a word."""
     points = np.frombuffer(f"  {words} ".encode("utf-32-le", "replace"), np.uint32)
-    distinct, at = np.unique(points, return_inverse=True)
-    classes = np.array([char_class(chr(p)) for p in distinct.tolist()], np.int64)[at]
+    classes = np.where(points < 1 << 16, _CLASS_OF[np.minimum(points, (1 << 16) - 1)], 0)
     return (classes[:-2] * CLASSES + classes[1:-1]) * CLASSES + classes[2:]
 
 
@@ -124,33 +128,59 @@ def _suspicious(token: str) -> bool:
 class Restorer:
     def __init__(self, model: CharModel):
         self.model = model
-        self._known: dict[str, str] = {}
+        self._known: dict[str, tuple[str, ...]] = {}
+
+    def _token(self, token: str) -> tuple[str, ...]:
+        """Words of one lower-case token: as it stands, and restored if it is suspicious."""
+        if token.isalpha() and not _RUN.search(token):
+            return (token,)
+        core = _EDGE.sub("", token)
+        if core.isalpha() and not _RUN.search(core):
+            return (core,)
+        found = _WORD.findall(token)
+        if _APART.fullmatch(core):
+            core = "".join(filter(str.isalnum, core))
+            found.append("".join(filter(str.isalpha, core)))
+        if _suspicious(core):
+            found += _WORD.findall(decode(core, self.model))
+        return tuple(filter(None, found))
 
     def words(self, text: str | None) -> set[str]:
         """Distinct words of the restored text, in lower case."""
-        low = (text or "").lower()
+        tokens = (text or "").lower().split()
+        distinct = set(tokens)
+        distinct.update(_set_apart(tokens))
         found: set[str] = set()
-        for m in _APART.finditer(low):
-            found.add("".join(filter(str.isalpha, m[0])))
-        for token in set(_TOKEN.findall(low)):
-            if token.isalpha() and not _RUN.search(token):
-                found.add(token)
-                continue
-            core = _EDGE.sub("", token)
-            if core.isalpha() and not _RUN.search(core):
-                found.add(core)
-                continue
-            found.update(_WORD.findall(token))
-            if _suspicious(core):
-                told = self._known.get(core)
-                if told is None:
-                    if len(self._known) > _CACHED_WORDS:
-                        self._known.clear()
-                    told = self._known[core] = decode(core, self.model)
-                found.update(_WORD.findall(told))
+        for token in distinct:
+            told = self._known.get(token)
+            if told is None:
+                if len(self._known) > _CACHED_WORDS:
+                    self._known.clear()
+                told = self._known[token] = self._token(token)
+            found.update(told)
         return found
 
 
+def _set_apart(tokens: list[str]) -> Iterator[str]:
+    """Three or more single letters in a row, with or without a sign between them, as one token."""
+    short = [k for k, t in enumerate(tokens) if len(t) == 1]
+    if len(short) < 2:
+        return
+    run: list[str] = []
+    last = -2
+    for k in [*short, len(tokens) + 2]:
+        if k != last + 1:
+            if run and last + 1 < len(tokens):  # the last letter may have a sign behind it
+                tail = _EDGE.sub("", tokens[last + 1])
+                run += [tail] if len(tail) == 1 and tail.isalnum() else []
+            if len(run) >= 3:
+                yield "".join(run)
+            run = []
+        if k < len(tokens) and tokens[k] not in _SEPARATORS:
+            run.append(tokens[k])
+        last = k
+
+
 def evidence_of(word: str) -> list[str]:
     """The whole word, its beginnings and its inner n-grams of four and five letters."""
     out = [f"<{word}>"] if len(word) > 2 else []
@@ -171,9 +201,9 @@ def count_characters(docs: DataFrame) -> CharModel:
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(CLASSES**3, np.int64)
         for part in parts:
-            for text in part["text"]:
-                codes, n = np.unique(trigram_codes((text or "").lower()), return_counts=True)
-                total[codes] += n
+            texts = part["text"].fillna("")
+            for k in range(0, len(texts), 100):
+                total += np.bincount(trigram_codes("  ".join(texts.iloc[k : k + 100]).lower()), minlength=len(total))
         at = np.flatnonzero(total)
         yield pd.DataFrame({"code": at, "n": total[at]})
 
@@ -186,7 +216,10 @@ class ToxicityModel:
 
     def __init__(self, posteriors: dict[str, float], base: float, characters: CharModel):
         self.posteriors, self.base, self.restorer = posteriors, base, Restorer(characters)
-        self._bare = {e.split("*")[0] for e in posteriors}
+        self._find = ahocorasick.Automaton()
+        for e in {e.split("*")[0] for e in posteriors}:
+            self._find.add_word(e, e)
+        self._find.make_automaton()
         self._known: dict[str, tuple[str, ...]] = {}
 
     def _word(self, word: str) -> tuple[str, ...]:
@@ -194,7 +227,9 @@ class ToxicityModel:
         if told is None:
             if len(self._known) > _CACHED_WORDS:
                 self._known.clear()
-            told = self._known[word] = tuple({e for e in evidence_of(word) if e in self._bare})
+            # What evidence_of(word) has of the posteriors' evidence: inner n-grams begin after the first letter.
+            found = self._find.iter(f"<{word}>") if len(self._find) else ()
+            told = self._known[word] = tuple({e for end, e in found if e[0] == "<" or end - len(e) + 1 > 1})
         return told
 
     def score(self, text: str | None) -> float:
@@ -270,7 +305,8 @@ def decision_list(documents: list[np.ndarray], names: list[str], toxic: np.ndarr
     of = np.concatenate([np.full(len(d), k) for k, d in enumerate(documents)])
     what = np.concatenate(documents)
     n = toxic + other
-    sure = (toxic / n + 4.5 / n - 3 * np.sqrt(toxic / n * (1 - toxic / n) / n + 2.25 / n**2)) / (1 + 9 / n) >= SURE
+    sure = (toxic / n + 4.5 / n - 3 * np.sqrt(toxic / n * (1 - toxic / n) / n + 2.25 / n**2)) / (1 + 9 / n)
+    sure = (sure >= SURE) & (toxic / n >= PURE)
     times, chosen = np.zeros(len(documents), int), []
     bare = [x.split("*")[0] for x in names]
     free = np.ones(len(names), bool)
