@@ -383,7 +383,7 @@ def experiment_counts(spark, sf_dir):
 
 @query("""WITH c AS (SELECT event_type, count(*) FILTER (WHERE user_id % 2 = 0 AND value > 50) AS cs, count(*) FILTER (WHERE user_id % 2 = 0) AS ct, count(*) FILTER (WHERE user_id % 2 = 1 AND value > 45) AS ts, count(*) FILTER (WHERE user_id % 2 = 1) AS tt FROM events GROUP BY 1),
 r AS (SELECT *, cs / ct AS rc, ts / tt AS rt, (cs + ts) / (ct + tt) AS p FROM c), s AS (SELECT *, p * (1 - p) AS v, ct * tt / (ct + tt) AS e FROM r),
-x AS (SELECT *, sqrt(v / (v + e * 0.01)) * exp(least(e * e * 0.01 * pow(rt - rc, 2) / (2 * v * (v + e * 0.01)), 700)) AS lr FROM s)
+x AS (SELECT *, CASE WHEN ct + tt >= 200 THEN sqrt(v / (v + e * 0.01)) * exp(least(e * e * 0.01 * pow(rt - rc, 2) / (2 * v * (v + e * 0.01)), 700)) ELSE 1 END AS lr FROM s)
 SELECT event_type, round(rc, 6) AS control_rate, round(rt, 6) AS treatment_rate, round((rt - rc) / rc, 6) AS lift, round(lr, 4) AS likelihood_ratio,
 CASE WHEN lr >= 20 AND rt > rc THEN 'TREATMENT_WINS' WHEN lr >= 20 THEN 'CONTROL_WINS' WHEN lr <= 0.05 THEN 'NO_DIFFERENCE' ELSE 'CONTINUE' END AS decision FROM x""")
 def sequential_test(spark, sf_dir):
