@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kelpforge.llm._common import empty_if_null, held_out
+from kelpforge.llm._grams import hashed_grams
 
 BUCKETS, DIM = 1 << 17, 16
 GRAM_LEAST, GRAM_MOST = 2, 4
@@ -29,16 +30,15 @@ EPOCHS, RATE, SEED = 6, 0.5, 42
 HELD_OUT = (4, 2)
 _REPEATED = "\x00repeated"
 _CACHED_TOKENS = 300_000
+_TEXTS_AT_ONCE = 100
 
 
-def token_buckets(token: str) -> list[int]:
-    """The token itself and its character n-grams."""
-    marked = f"<{token}>".encode("utf-8", "replace") if token != _REPEATED else token.encode()
-    found = [zlib.crc32(marked) % BUCKETS]
-    if token != _REPEATED:
-        text = f"<{token}>"
-        found += [zlib.crc32(text[i : i + k].encode("utf-8", "replace"), 1) % BUCKETS for k in range(GRAM_LEAST, GRAM_MOST + 1) for i in range(len(text) - k + 1)]
-    return found
+def buckets_of(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and token numbers: the tokens themselves, then their character n-grams; the repetition mark has none."""
+    whole = np.fromiter((zlib.crc32(t.encode("utf-8", "replace")) % BUCKETS for t in tokens), np.int64, len(tokens))
+    plain = [k for k, t in enumerate(tokens) if t != _REPEATED]
+    grams, of = hashed_grams([tokens[k] for k in plain], range(GRAM_LEAST, GRAM_MOST + 1), BUCKETS)
+    return np.concatenate((whole, grams)), np.concatenate((np.arange(len(tokens)), np.array(plain, np.int64)[of]))
 
 
 def token_counts(text: str) -> Counter:
@@ -52,11 +52,11 @@ def token_counts(text: str) -> Counter:
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and how often a document has them."""
-    counts: Counter = Counter()
-    for token, n in token_counts(text).items():
-        for b in token_buckets(token):
-            counts[b] += n
-    return np.fromiter(counts.keys(), np.int32, len(counts)), np.fromiter(counts.values(), np.float32, len(counts))
+    counted = token_counts(text)
+    buckets, of = buckets_of(list(counted))
+    at, back = np.unique(buckets, return_inverse=True)
+    times = np.fromiter(counted.values(), np.float64, len(counted))
+    return at.astype(np.int32), np.bincount(back, weights=times[of], minlength=len(at)).astype(np.float32)
 
 
 class QualityModel:
@@ -66,19 +66,29 @@ class QualityModel:
         self.weights, self.bias = weights, bias
         self._known: dict[str, tuple[float, int]] = {}
 
-    def score(self, text: str | None) -> float:
-        total, size = 0.0, 0
-        known = self._known
-        for token, n in token_counts(text or "").items():
-            told = known.get(token)
-            if told is None:
-                if len(known) >= _CACHED_TOKENS:
-                    known.clear()
-                buckets = token_buckets(token)
-                told = known[token] = (float(self.weights[buckets].sum()), len(buckets))
-            total += told[0] * n
-            size += told[1] * n
-        return float(1 / (1 + np.exp(-np.clip(total / max(size, 1) + self.bias, -40, 40))))
+    def _learn(self, tokens: set[str]) -> None:
+        new = [t for t in tokens if t not in self._known]
+        if len(self._known) + len(new) > _CACHED_TOKENS:
+            self._known.clear()
+            new = list(tokens)
+        buckets, of = buckets_of(new)
+        total = np.bincount(of, weights=self.weights[buckets], minlength=len(new))
+        size = np.bincount(of, minlength=len(new))
+        self._known.update(zip(new, zip(total.tolist(), size.tolist(), strict=True), strict=True))
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        out = []
+        for k in range(0, len(texts), _TEXTS_AT_ONCE):
+            counted = [token_counts(t or "") for t in texts[k : k + _TEXTS_AT_ONCE]]
+            self._learn(set().union(*counted))
+            for tokens in counted:
+                total, size = 0.0, 0
+                for token, n in tokens.items():
+                    t, m = self._known[token]
+                    total += t * n
+                    size += m * n
+                out.append(float(1 / (1 + np.exp(-np.clip(total / max(size, 1) + self.bias, -40, 40)))))
+        return out
 
 
 def fit(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE) -> QualityModel:
@@ -155,7 +165,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, model: QualityModel | None
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = QualityModel(*shared.value)
         for part in texts:
-            yield pd.Series([own.score(t) for t in part], dtype=float)
+            yield pd.Series(own.scores(list(part)), dtype=float)
 
     out = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col), *HELD_OUT).alias("held_out"), score(F.col(text_col)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
