@@ -665,9 +665,9 @@ def canonical_hash(spark, sf_dir):
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'DENY' WHEN o_orderstatus = 'P' OR o_orderpriority NOT IN ('4-NOT SPECIFIED', '5-LOW') OR o_totalprice / 500000 < 0.3 THEN 'REQUIRE_HUMAN_APPROVAL' ELSE 'ALLOW' END AS verdict FROM orders""")
 def governance_gate(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    actions = o.select(F.col("o_orderkey").alias("action_id"), F.lit("t").alias("tenant_id"), F.lit("t").alias("policy_tenant"), F.col("o_orderpriority").alias("action_type"), F.array().cast("array<string>").alias("domains"), (F.col("o_orderstatus") == "P").alias("irreversible"), (F.col("o_totalprice") / 500000).alias("confidence"))
-    policy = spark.createDataFrame([("t", ["4-NOT SPECIFIED", "5-LOW"], ["1-URGENT"], [], 0.3, "lead")], "tenant_id string, autonomous array<string>, forbidden array<string>, readable array<string>, floor double, approver_role string")
+    o, tenant = table(spark, sf_dir, "orders"), F.concat(F.lit("t"), (F.col("o_custkey") % 4).cast("string"))
+    actions = o.select(F.col("o_orderkey").alias("action_id"), tenant.alias("tenant_id"), tenant.alias("policy_tenant"), F.col("o_orderpriority").alias("action_type"), F.array().cast("array<string>").alias("domains"), (F.col("o_orderstatus") == "P").alias("irreversible"), (F.col("o_totalprice") / 500000).alias("confidence"))
+    policy = spark.createDataFrame([(f"t{k}", ["4-NOT SPECIFIED", "5-LOW"], ["1-URGENT"], [], 0.3, "lead") for k in range(4)], "tenant_id string, autonomous array<string>, forbidden array<string>, readable array<string>, floor double, approver_role string")
     return governance.gate(actions, policy).select(F.col("action_id").alias("o_orderkey"), "verdict")
 
 

@@ -271,7 +271,7 @@ def workflow_folds(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     kinds = F.element_at(F.array(*map(F.lit, ("start", "succeed", "fail", "retry", "approve"))), (F.col("event_id") % 5 + 1).cast("int"))
     steps = F.element_at(F.array(*map(F.lit, ("collect", "score", "decide"))), (F.col("event_id") % 3 + 1).cast("int"))
-    events = e.select(F.col("user_id").alias("run_id"), F.lit("screening").alias("workflow"), F.col("event_id").alias("seq"), kinds.alias("kind"), steps.alias("step"), F.lit("ann").alias("actor"))
+    events = e.select(F.col("user_id").alias("run_id"), F.when(F.col("user_id") % 2 == 0, "screening").otherwise("mobility").alias("workflow"), F.col("event_id").alias("seq"), kinds.alias("kind"), steps.alias("step"), F.lit("ann").alias("actor"))
     return governance.fold_runs(definition, events)
 
 
