@@ -8,7 +8,6 @@ penalised likelihood: languages are taken out, the smallest share first, while t
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kelpforge.llm._common import empty_if_null, held_out
+from kelpforge.llm._grams import hashed_grams
 
 #: Trigrams are filed under this many hash values, so a model has as many rows per language at most.
 BUCKETS = 1 << 16
@@ -29,12 +29,13 @@ HELD_OUT = (4, 2)
 ROUNDS = 20
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose likelihoods a worker keeps; they are worked out again after that many, so memory is bounded.
-_CACHED_WORDS = 200_000
+_CACHED_WORDS = 400_000
+_TEXTS_AT_ONCE = 100
 
 
-def word_buckets(word: str) -> list[int]:
-    marked = f"<{word}>"
-    return [zlib.crc32(marked[i : i + 3].encode("utf-8", "replace")) % BUCKETS for i in range(len(marked) - 2)]
+def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and word numbers of all letter trigrams of `<word>`, in the order of words; a word has as many as letters."""
+    return hashed_grams(words, (3,), BUCKETS)
 
 
 @dataclass
@@ -57,18 +58,18 @@ class LanguageModel:
         self._table = np.empty((1024, len(self.languages)), np.float32)
 
     def likelihoods(self, words: list[str]) -> np.ndarray:
-        if len(self._row) + len(words) > _CACHED_WORDS:
+        new = [w for w in words if w not in self._row]
+        if len(self._row) + len(new) > _CACHED_WORDS:
             self._reset()
-        index = []
-        for w in words:
-            k = self._row.get(w)
-            if k is None:
-                k = self._row[w] = len(self._row)
-                if k >= len(self._table):
-                    self._table = np.concatenate((self._table, np.empty_like(self._table)))
-                self._table[k] = self.log_p[word_buckets(w)].sum(0)
-            index.append(k)
-        return self._table[index].astype(np.float64)
+            new = words
+        if new:
+            at = len(self._row)
+            self._row.update(zip(new, range(at, at + len(new)), strict=True))
+            while at + len(new) > len(self._table):
+                self._table = np.concatenate((self._table, np.empty_like(self._table)))
+            buckets, of = word_buckets(new)
+            self._table[at : at + len(new)] = np.add.reduceat(self.log_p[buckets], np.searchsorted(of, np.arange(len(new))), axis=0)
+        return self._table[[self._row[w] for w in words]].astype(np.float64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         shares = self.mixture(text)
@@ -77,9 +78,21 @@ class LanguageModel:
         best = max(shares, key=lambda k: (shares[k], k))
         return best, shares[best]
 
+    def mixtures(self, texts: list[str | None]) -> list[dict[str, float]]:
+        """As mixture; the words of some texts are looked up together."""
+        out = []
+        for k in range(0, len(texts), _TEXTS_AT_ONCE):
+            counted = [Counter(_WORD.findall((t or "").lower())) for t in texts[k : k + _TEXTS_AT_ONCE]]
+            if self.languages:
+                self.likelihoods(list(set().union(*counted)))
+            out += [self._mixture(c) for c in counted]
+        return out
+
     def mixture(self, text: str | None) -> dict[str, float]:
         """Chosen languages and their shares of the words, which add up to 1; empty without a letter or a language."""
-        counted = Counter(_WORD.findall((text or "").lower()))
+        return self._mixture(Counter(_WORD.findall((text or "").lower())))
+
+    def _mixture(self, counted: Counter) -> dict[str, float]:
         if not counted or not self.languages:
             return {}
         times = np.fromiter(counted.values(), np.float64, len(counted))
@@ -119,9 +132,9 @@ def _count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         for lang, text in zip(part["lang"], part["text"], strict=True):
             into = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            for word, n in Counter(_WORD.findall(text.lower())).items():
-                for b in word_buckets(word):
-                    into[b] += n
+            words = Counter(_WORD.findall(text.lower()))
+            buckets, of = word_buckets(list(words))
+            into += np.bincount(buckets, weights=np.fromiter(words.values(), np.float64, len(words))[of], minlength=BUCKETS).astype(np.int64)
     for lang, n in counts.items():
         at = np.flatnonzero(n)
         yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": n[at]})
@@ -160,7 +173,7 @@ def identify(docs: DataFrame, model: LanguageModel | None = None, id_col: str =
     def predict(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for part in parts:
-            mixtures = [own.mixture(t) for t in part["text"]]
+            mixtures = own.mixtures(list(part["text"]))
             best = [max(m, key=lambda k: (m[k], k), default="und") for m in mixtures]
             score = [m.get(b, 0.0) for m, b in zip(mixtures, best, strict=True)]
             yield pd.DataFrame({"doc_id": part["doc_id"], "held_out": part["held_out"], "lang_pred": best, "score": score, "languages": mixtures})
@@ -178,6 +191,6 @@ def keep_identified(docs: DataFrame, least_score: float = 0.34, id_col: str = "d
     @F.pandas_udf("boolean")
     def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
-            yield pd.Series([(p := model.value.predict(t))[0] != "und" and p[1] >= least_score for t in part], dtype=bool)
+            yield pd.Series([max(m.values(), default=0.0) >= least_score for m in model.value.mixtures(list(part))], dtype=bool)
 
     return docs.where(known(F.col(text_col)))
