@@ -57,14 +57,17 @@ def point_in_time_join(view: FeatureView, labels: DataFrame, writes: DataFrame,
 
     cutoff is label_time - embargo. writes is (entity_id, event_time, write_seq, values map). Labels and writes of an
     entity meet in one sorted pass: the newest (time, value) so far is carried on, and dropped where it has expired, so
-    the frame never has to be kept.
+    the frame never has to be kept. Time is cut in spans of one ttl, and a write is sent to its own span and the next,
+    beyond which it has expired: so an entity with a large share of all writes is spread over its spans.
     """
+    span = lambda t: F.floor(t / F.lit(view.ttl_seconds * 1_000_000))
     features = _first_written(view, writes)
+    features = features.withColumn("span", F.explode(F.array(span(F.col("t")), span(F.col("t")) + 1)))
     columns = [f"f{k}" for k in range(len(view.names))]
     own = F.struct(*(F.col(c) for c in labels.columns))
     asked = labels.select("entity_id", (_micros(F.col("label_time")) - embargo_seconds * 1_000_000).alias("t"), own.alias("own"))
-    both = asked.unionByName(features, allowMissingColumns=True)
-    so_far = Window.partitionBy("entity_id").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    both = asked.withColumn("span", span(F.col("t"))).unionByName(features, allowMissingColumns=True)
+    so_far = Window.partitionBy("entity_id", "span").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
     newest = [F.last(F.when(F.col(c).isNotNull(), F.struct("t", F.col(c).alias("v"))), ignorenulls=True).over(so_far).alias(c) for c in columns]
     oldest = F.col("t") - view.ttl_seconds * 1_000_000
     values = [F.coalesce(F.when(F.col(c)["t"] >= oldest, F.col(c)["v"]), F.lit(f.default)).alias(f.name) for c, f in zip(columns, view.features, strict=True)]
