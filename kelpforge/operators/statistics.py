@@ -10,6 +10,44 @@ from pyspark.sql import functions as F
 
 from kelpforge.functions.numeric import chi_squared_p, drift_severity, kolmogorov_p
 
+# Order statistics without a task that orders a whole group
+
+
+def sums_below(rows: DataFrame, by: Sequence[str], value: str, columns: Sequence[str], cells: int = 64) -> DataFrame:
+    """rows (one per `by` and value) with <column>_below: the sum of the column over smaller values of the same group.
+
+    A sketch of each group's values cuts them in cells; sums run inside a cell, and the cells' totals, at most `cells`
+    per group, are summed apart. So a group with most of the rows is still dealt over its cells, and the result is exact.
+    """
+    grid = F.array(*(F.lit(k / cells) for k in range(1, cells)))
+    group = [F.lit(0).alias("__all")] if not by else []
+    keys = list(by) or ["__all"]
+    rows = rows.select("*", *group)
+    edges = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, grid, 1000)).alias("__edges"))
+    celled = rows.join(edges, keys).withColumn("__cell", F.aggregate("__edges", F.lit(0), lambda n, e: n + (e < F.col(value)).cast("int"))).drop("__edges")
+    before = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    totals = celled.groupBy(*keys, "__cell").agg(*(F.sum(c).alias(f"__{c}") for c in columns))
+    totals = totals.select(*keys, "__cell", *(F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in columns))
+    inside = Window.partitionBy(*keys, "__cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    run = celled.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"{c}_below") for c in columns))
+    joined = run.join(totals, [*keys, "__cell"])
+    return joined.select(*(c for c in rows.columns if c != "__all"), *((F.col(f"{c}_below") + F.col(f"__{c}")).alias(f"{c}_below") for c in columns))
+
+
+def exact_quantiles(values: DataFrame, by: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """by, quantiles, n: linear interpolation between order statistics, which are found by rank among distinct values."""
+    counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.groupBy(*by).agg(F.sum("n").alias("__n"))
+    ranked = sums_below(counts, by, value, ["n"]).join(total, list(by))
+    at = lambda rank: F.max(F.when((F.col("n_below") <= rank) & (rank < F.col("n_below") + F.col("n")), F.col(value)))
+    place = lambda p: (F.col("__n") - 1) * F.lit(float(p))
+    found = ranked.groupBy(*by).agg(
+        F.max("__n").alias("n"), *(at(F.floor(place(p))).alias(f"__lo{k}") for k, p in enumerate(shares)), *(at(F.ceil(place(p))).alias(f"__hi{k}") for k, p in enumerate(shares))
+    )
+    part = lambda p: (F.col("n") - 1) * F.lit(float(p)) - F.floor((F.col("n") - 1) * F.lit(float(p)))
+    return found.select(*by, F.array(*(F.col(f"__lo{k}") + (F.col(f"__hi{k}") - F.col(f"__lo{k}")) * part(p) for k, p in enumerate(shares))).alias("quantiles"), "n")
+
+
 # Adverse impact
 
 
@@ -84,9 +122,8 @@ def _binned(values: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _decile_edges(values: DataFrame, bins: int) -> DataFrame:
     """One row per feature: as many edges as bins, so its size follows the number of features only."""
-    grid = F.array(*(F.lit(k / bins) for k in range(bins + 1)))
-    reference = values.where(~F.col("is_live"))
-    return reference.groupBy("feature").agg(F.percentile("value", grid).alias("edges"), F.count(F.lit(1)).alias("n"))
+    found = exact_quantiles(values.where(~F.col("is_live")), ["feature"], "value", [k / bins for k in range(bins + 1)])
+    return found.withColumnRenamed("quantiles", "edges")
 
 
 def psi_edges_first(values: DataFrame, bins: int = 10, floor: float = 1e-6, distinct_limit: int = 12) -> DataFrame:
@@ -141,13 +178,10 @@ def psi_categorical(values: DataFrame, floor: float = 1e-6) -> DataFrame:
 def ks_test(values: DataFrame, alpha: float = 0.05, moderate: float = 0.2) -> DataFrame:
     """feature, statistic, p_value, severity: the largest gap of both distribution functions, over distinct values."""
     counts = values.groupBy("feature", "value").agg(F.sum((~F.col("is_live")).cast("long")).alias("a"), F.sum(F.col("is_live").cast("long")).alias("b"))
-    run = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy("feature")
-    gaps = counts.select(
-        "feature", (F.sum("a").over(run) / F.sum("a").over(every) - F.sum("b").over(run) / F.sum("b").over(every)).alias("gap"),
-        F.sum("a").over(every).alias("n"), F.sum("b").over(every).alias("m"),
-    )
-    out = gaps.groupBy("feature").agg(F.max(F.abs("gap")).alias("statistic"), F.first("n").alias("n"), F.first("m").alias("m"))
+    sizes = counts.groupBy("feature").agg(F.sum("a").alias("n"), F.sum("b").alias("m"))
+    run = sums_below(counts, ["feature"], "value", ["a", "b"]).join(sizes, "feature")
+    gap = (F.col("a_below") + F.col("a")) / F.col("n") - (F.col("b_below") + F.col("b")) / F.col("m")
+    out = run.groupBy("feature").agg(F.max(F.abs(gap)).alias("statistic"), F.first("n").alias("n"), F.first("m").alias("m"))
     out = out.withColumn("p_value", kolmogorov_p(F.col("statistic"), F.col("n"), F.col("m")))
     severity = F.when(F.col("p_value") >= alpha, F.lit("STABLE")).when(F.col("statistic") < moderate, F.lit("MODERATE")).otherwise(F.lit("SIGNIFICANT"))
     return out.withColumn("severity", severity).drop("n", "m")
@@ -199,9 +233,8 @@ def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> Da
     """auc by rank sum with average ranks of ties; 0.5 where only one class is there. Works on counts of distinct scores."""
     positive = F.col(label).cast("double") > 0.5
     counts = df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(positive.cast("long")).alias("p"), F.sum((~positive).cast("long")).alias("n"))
-    below = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    wins = F.col("p") * (F.coalesce(F.sum("n").over(below), F.lit(0)) + F.col("n") / 2)
-    sums = counts.select(*by, wins.alias("w"), "p", "n").groupBy(*by).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    wins = F.col("p") * (F.col("n_below") + F.col("n") / 2)
+    sums = sums_below(counts.where("s IS NOT NULL"), by, "s", ["n"]).select(*by, wins.alias("w"), "p", "n").groupBy(*by).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     pairs = F.col("p") * F.col("n")
     return sums.select(*by, F.when(pairs > 0, F.col("w") / pairs).otherwise(0.5).alias("auc"))
 
