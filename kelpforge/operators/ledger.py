@@ -7,7 +7,7 @@ import hmac
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpforge.functions.hashing import GENESIS, hmac_sha256, iso_timestamp, length_prefixed, length_prefixed_list
@@ -66,37 +66,39 @@ def _signature(key: bytes, kind: str) -> Column:
 
 
 def checked(ledger: DataFrame, key: bytes | None = None, require_signed: bool = False) -> DataFrame:
-    """Ledger rows with their first fault or null. Each row is hashed by itself and compared with its predecessor's stored hash."""
-    chain = Window.partitionBy("tenant_id").orderBy("sequence")
-    rows = ledger.withColumn("__n", F.row_number().over(chain) - 1).withColumn("__before", F.coalesce(F.lag("entry_hash").over(chain), F.lit(GENESIS)))
-    seen = F.coalesce(F.max(F.col("signature").isNotNull().cast("int")).over(chain.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
+    """Ledger rows with their first fault or null.
+
+    Each row is hashed by itself and meets its predecessor by (tenant, sequence), not in a window over its tenant, so a
+    tenant with most of the rows is dealt over all tasks. A missing predecessor and a repeated sequence are gaps.
+    """
+    at = ledger.groupBy("tenant_id", "sequence").agg(F.max("entry_hash").alias("__before"), F.count(F.lit(1)).alias("__copies"))
+    rows = ledger.join(at.select("tenant_id", "sequence", "__copies"), ["tenant_id", "sequence"])
+    rows = rows.join(at.select("tenant_id", (F.col("sequence") + 1).alias("sequence"), "__before"), ["tenant_id", "sequence"], "left")
+    before = F.when(F.col("sequence") == 0, F.lit(GENESIS)).otherwise(F.col("__before"))
     fault = (
-        F.when(F.col("sequence") != F.col("__n"), F.lit("sequence gap")).when(F.coalesce(F.col("previous_hash") != F.col("__before"), F.lit(True)), F.lit("broken link"))
+        F.when(before.isNull() | (F.col("__copies") > 1), F.lit("sequence gap")).when(F.coalesce(F.col("previous_hash") != before, F.lit(True)), F.lit("broken link"))
         .when(F.coalesce(content_hash(F.col("sequence"), F.col("previous_hash")) != F.col("entry_hash"), F.lit(True)), F.lit("content differs from its hash"))
     )
     if key is not None:
-        rows = rows.withColumn("__seen", seen)
+        signed = ledger.groupBy(F.col("tenant_id").alias("__t")).agg(F.min(F.when(F.col("signature").isNotNull(), F.col("sequence"))).alias("__signed"))
+        rows = rows.join(signed, F.col("tenant_id") == F.col("__t")).drop("__t")
         fault = fault.when(F.col("signature").isNotNull() & (F.col("signature") != _signature(key, "entry")), F.lit("signature does not verify"))
-        fault = fault.when(F.col("signature").isNull() & (F.col("__seen") | F.lit(require_signed)), F.lit("unsigned entry"))
-    return rows.withColumn("fault", fault).drop("__n", "__before", "__seen")
+        fault = fault.when(F.col("signature").isNull() & (F.coalesce(F.col("__signed") < F.col("sequence"), F.lit(False)) | F.lit(require_signed)), F.lit("unsigned entry"))
+    return rows.select(*ledger.columns, fault.alias("fault"))
 
 
 def verify(ledger: DataFrame, key: bytes | None = None, require_signed: bool = False) -> DataFrame:
     """tenant_id, intact, entries_checked, broken_at, reason, signed, unsigned: the first break of each tenant's chain.
 
-    Counts are of the rows before the break. Repeated sequence numbers are a gap.
+    Counts are of the rows before the break, or of all rows where there is none.
     """
     rows = checked(ledger, key, require_signed)
-    chain = Window.partitionBy("tenant_id").orderBy("sequence")
-    rows = rows.withColumn("__n", F.row_number().over(chain) - 1)
-    first = rows.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("fault").isNotNull(), F.struct("__n", "sequence", "fault"))).alias("b"))
-    # A break hides what comes after it, so only what stands before counts.
-    before = rows.join(first.select("tenant_id", F.coalesce("b.__n", "rows").alias("__stop")), "tenant_id").where("__n < __stop").groupBy("tenant_id").agg(F.count("signature").alias("signed"), F.sum(F.col("signature").isNull().cast("long")).alias("unsigned"))
-    out = first.join(before, "tenant_id", "left")
-    return out.select(
-        "tenant_id", F.col("b").isNull().alias("intact"), F.coalesce("b.__n", "rows").cast("long").alias("entries_checked"), F.col("b.sequence").alias("broken_at"),
-        F.col("b.fault").alias("reason"), F.coalesce("signed", F.lit(0)).alias("signed"), F.coalesce("unsigned", F.lit(0)).alias("unsigned"),
+    first = rows.groupBy("tenant_id").agg(F.min(F.when(F.col("fault").isNotNull(), F.struct("sequence", "fault"))).alias("b"))
+    fine = F.col("b").isNull() | (F.col("sequence") < F.col("b.sequence"))
+    told = rows.join(first, "tenant_id").groupBy("tenant_id").agg(
+        F.first("b").alias("b"), F.sum(fine.cast("long")).alias("entries_checked"), F.count(F.when(fine, F.col("signature"))).alias("signed"), F.sum((fine & F.col("signature").isNull()).cast("long")).alias("unsigned")
     )
+    return told.select("tenant_id", F.col("b").isNull().alias("intact"), "entries_checked", F.col("b.sequence").alias("broken_at"), F.col("b.fault").alias("reason"), "signed", "unsigned")
 
 
 def heads(ledger: DataFrame) -> DataFrame:
