@@ -10,8 +10,16 @@ from pyspark.sql import functions as F
 WHITE_SPACE = r"[\x20\x09-\x0D]"
 
 
+#: Tables below this size may be one Parquet row group, which one task would have to read and process alone.
+_SMALL_BYTES, _TASK_BYTES = 20 << 20, 1 << 20
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a small one is dealt over the cores, one task for each megabyte, since its files may not split."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = min(spark.sparkContext.defaultParallelism, size // _TASK_BYTES)
+    return df.repartition(tasks) if size < _SMALL_BYTES and tasks > 1 else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
