@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kelpforge.llm import decontaminate, exact_dedup, language_id, packing, simhash
+from kelpforge.llm import decontaminate, exact_dedup, language_id, near_copies, packing
 from kelpforge.llm._common import ensure_checkpoint_dir, read_table
 
 
@@ -25,8 +25,8 @@ def remove_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of documents linked by a similarity of 0.8 in five-word shingles the smallest id stays."""
+    return near_copies.drop_near_copies(docs)
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ STAGES = [
     ("best_fit_packing", pack_bins),
 ]
 
-#: Mixture inference and fingerprint components are iterative, and packing is sequential; tests hold all stages against brute force.
+#: Mixture inference and near-copy components are iterative, and packing is sequential; tests hold all stages against brute force.
 ORACLE_SQL = None
 
 

@@ -40,6 +40,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """docs with __row, a key of each row's own; written out, so that every later read sees the same key."""
+    return settle(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def empty_if_null(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

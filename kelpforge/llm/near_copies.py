@@ -1,0 +1,110 @@
+"""Near copies by the exact Jaccard similarity of their word shingles; candidates are rows that share a MinHash band.
+
+Reaching similarity 0.8 takes a Hamming ball of over eleven bits of 64, which meets nearly every region of a vantage-point
+tree. Bands cost the same for each row instead, and two rows of similarity s share one of BANDS bands of BAND_ROWS values
+with probability 1 - (1 - s^BAND_ROWS)^BANDS: 0.9996 at 0.8. Candidates are verified in two passes: first each row with
+the least row of its buckets, which takes a dense group down to one row without its square; then all pairs of rows that
+are left in a bucket.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from kelpforge.llm._common import settle, with_row_key
+from kelpforge.llm.components import components
+
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
+BANDS, BAND_ROWS, SEED = 20, 5, 42
+SALTS = 16
+_HASHES_AT_ONCE = 1 << 12
+_RNG = np.random.default_rng(SEED)
+_FACTORS = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Distinct hashes of five words in a row, in order; a shorter text is one shingle."""
+    words = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: A-Z and ASCII white space only
+    joined = b" ".join(words)
+    if len(words) <= SHINGLE_WORDS:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    cut = zip(starts[: len(words) - SHINGLE_WORDS + 1].tolist(), ends[SHINGLE_WORDS - 1 :].tolist(), strict=True)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in cut), np.uint64, len(words) - SHINGLE_WORDS + 1))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), _HASHES_AT_ONCE):
+        some = hashes[k : k + _HASHES_AT_ONCE]
+        for i in range(len(least)):
+            least[i] = min(least[i], (some * _FACTORS[i] + _SHIFTS[i]).min())
+    raw = least.tobytes()
+    width = 8 * BAND_ROWS
+    return np.array([xxhash.xxh64_intdigest(raw[i * width : (i + 1) * width], i) for i in range(BANDS)], np.uint64).view(np.int64).tolist()
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _bands(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for part in texts:
+        yield pd.Series([bands(shingles(t)) for t in part])
+
+
+@F.pandas_udf(T.DoubleType())
+def _jaccard(own: pd.Series, other: pd.Series) -> pd.Series:
+    out, told, held = [], None, None
+    for a, b in zip(own, other, strict=True):
+        if held is None or b != told:
+            told, held = b, shingles(b)
+        mine = shingles(a)
+        both = len(np.intersect1d(mine, held, assume_unique=True))
+        out.append(both / (len(mine) + len(held) - both))
+    return pd.Series(out, dtype=float)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    one = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
+    two = texts.select(F.col("row").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(one, "a").join(two, "b").where(_jaccard("text_a", "text_b") >= similarity).select("a", "b")
+
+
+def _lost(links: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of each component of links but the one with the smallest id, then the smallest row."""
+    moved = settle(components(links))
+    member = moved.select(F.col("a").alias("row"), F.col("b").alias("root")).union(moved.select("b", "b").distinct()).join(ids, "row")
+    member = member.withColumn("order", F.struct(F.col("id").isNull().alias("n"), "id", "row"))
+    best = member.groupBy("root").agg(F.min("order").alias("best"))
+    return settle(member.join(best, "root").where(F.col("row") != F.col("best.row")).select("row"))
+
+
+def near_copies(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """row of every row that is a near copy of another which stays, for rows (row, id, text) with a stable row key."""
+    texts, ids = rows.select("row", "text"), rows.select("row", "id")
+    own = settle(texts.select("row", F.explode(_bands(F.coalesce("text", F.lit("")))).alias("band")))
+    buckets = own.groupBy("band").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = buckets.select("band", "pivot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    shared = settle(own.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(dealt, ["band", "salt"]).select("band", "row", "pivot"))
+    stars = settle(shared.where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct())
+    first = _lost(settle(_verified(stars, texts, similarity)), ids)
+    left = settle(shared.join(first, "row", "left_anti"))
+    x, y = left.alias("x"), left.alias("y")
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.row") > F.col("y.row"))).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
+    rest = settle(pairs.join(stars, ["a", "b"], "left_anti"))
+    return first.union(_lost(settle(_verified(rest, texts, similarity)), ids))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs without near copies, with their columns: of linked rows the one with the smallest id stays."""
+    keyed = with_row_key(docs)
+    lost = near_copies(keyed.select(F.col("__row").alias("row"), F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")), similarity)
+    return keyed.join(lost.select(F.col("row").alias("__row")), "__row", "left_anti").select(*docs.columns)
