@@ -176,6 +176,13 @@ def page_gram_matrix(spark, sf_dir):
     return ranking.gram(table(spark, sf_dir, "embeddings").where("vec_id < 60"), "label", "vec_id", "embedding").withColumn("similarity", r6("similarity"))
 
 
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label || ':' || (vec_id // 60) AS page FROM embeddings) SELECT a.page, a.vec_id AS item_a, b.vec_id AS item_b, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS similarity FROM e a JOIN e b USING (page)""")
+def all_pages_gram_matrix(spark, sf_dir):
+    """page_gram_matrix over the whole table: the vectors of a label are dealt into pages by blocks of 60 ids."""
+    m = table(spark, sf_dir, "embeddings").withColumn("page", F.expr("concat(label, ':', vec_id div 60)"))
+    return ranking.gram(m, "page", "vec_id", "embedding").withColumn("similarity", r6("similarity"))
+
+
 @query()
 def factor_recommendations(spark, sf_dir):
     rows = _baskets(spark, sf_dir).groupBy(F.col("u").cast("int").alias("user"), F.col("i").cast("int").alias("item")).agg(F.count(F.lit(1)).cast("float").alias("weight"))
