@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from kelpforge.llm import decontaminate, exact_dedup, language_id, near_copies, packing
-from kelpforge.llm._common import ensure_checkpoint_dir, read_table
+from kelpforge.llm._common import ensure_checkpoint_dir, read_table, with_row_key
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,8 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, word for word or with other numbers, names or units, go."""
-    return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+    keyed = with_row_key(docs)
+    return decontaminate.drop_contaminated(keyed, read_table(spark, sf_dir, "benchmark"), id_col="__row").select(*docs.columns)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

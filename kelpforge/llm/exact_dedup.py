@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpforge.llm._common import WHITE_SPACE, empty_if_null, settle
+from kelpforge.llm._common import WHITE_SPACE, empty_if_null, settle, with_row_key
 
 SALTS = 16
 #: A winner packs (code points, smallest id) in one number, which a hash aggregate can hold: points * 2^64 + (2^63 - 1 - id).
@@ -62,11 +62,17 @@ def exact_duplicates(
     are one document: each gives a row, all count in group_size, and they share the decision. Other columns of docs are
     neither read nor returned, so their names cannot clash. An empty table gives an empty result.
     """
+    return _decided(docs, id_col, text_col, salts, digest).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, salts: int, digest: Callable[[Column], Column] = sha256_of, row_col: str | None = None) -> DataFrame:
+    """What exact_duplicates returns, with points and with row_col as row_key, by which rows are then salted too."""
     content = normalised(F.col(text_col))
+    row_key = F.col(row_col) if row_col else F.lit(None).cast("long")
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.length(empty_if_null(F.col(text_col))).alias("points"), content.alias("content")
+        row_key.alias("row_key"), F.col(id_col).alias("doc_id"), F.length(empty_if_null(F.col(text_col))).alias("points"), content.alias("content")
     ).withColumn("digest", digest(F.col("content")))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "points"), F.lit(salts)).cast("int"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "points", "row_key"), F.lit(salts)).cast("int"))
 
     salted = rows.groupBy("digest", "salt", "content").agg(
         F.max(_pack(F.col("points"), F.col("doc_id"))).alias("best"), F.count(F.lit(1)).alias("members")
@@ -83,7 +89,7 @@ def exact_duplicates(
     collided = winners.where(F.col("told_by").isNotNull()).select("digest", F.lit(True).alias("collides")).distinct()
 
     members = rows.join(F.broadcast(collided), "digest", "left").select(
-        "doc_id", "salt", "digest", F.when(F.col("collides"), F.col("content")).alias("told_by"), F.sha2("content", 256).alias("sha")
+        "row_key", "points", "doc_id", "salt", "digest", F.when(F.col("collides"), F.col("content")).alias("told_by"), F.sha2("content", 256).alias("sha")
     )
     m, w = members.alias("m"), winners.alias("w")
     same = (F.col("m.digest") == F.col("w.digest")) & (F.col("m.salt") == F.col("w.salt"))
@@ -95,10 +101,17 @@ def exact_duplicates(
         F.col("w.group_size").alias("group_size"),
         F.col("m.doc_id").eqNullSafe(keep_id).alias("kept"),
         F.col("m.sha").alias("text_sha256"),
+        F.col("m.points").alias("points"),
+        F.col("m.row_key").alias("row_key"),
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, with their columns."""
-    lost = exact_duplicates(docs, id_col, text_col, salts).where(~F.col("kept")).select(F.col("doc_id").alias("__lost"))
-    return docs.join(lost.distinct(), docs[id_col].eqNullSafe(F.col("__lost")), "left_anti")
+    """One row of each group of equal texts, with the columns of docs: of the rows with the winning id the longest, then the first.
+
+    Rows are told apart by a key of their own, so rows without an id, with a repeated id or given twice are decided one by one.
+    """
+    keyed = with_row_key(docs)
+    kept = _decided(keyed, id_col, text_col, salts, row_col="__row").where("kept")
+    first = kept.groupBy("text_sha256").agg(F.max(_pack(F.col("points"), F.col("row_key"))).alias("best"))
+    return keyed.join(first.select(_winner_id(F.col("best")).alias("__row")), "__row", "left_semi").select(*docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kelpforge.llm._common import empty_if_null, settle
+from kelpforge.llm._common import empty_if_null, settle, with_row_key
 from kelpforge.llm.components import components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 2
@@ -216,19 +216,28 @@ def near_duplicates(
     component that has an id; repeated rows give a row each. An empty table gives an empty result. Only id and text are
     read, so other columns cannot clash.
     """
-    prints = settle(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(empty_if_null(F.col(text_col))).alias("fp")))
+    return _grouped(docs, id_col, text_col, max_bits, sample, shard_rows).select("doc_id", "fingerprint", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, max_bits: int, sample: int = SAMPLE, shard_rows: int | None = None, row_col: str | None = None) -> DataFrame:
+    """What near_duplicates returns, with the component's root and with row_col as row_key."""
+    row_key = F.col(row_col) if row_col else F.lit(None).cast("long")
+    prints = settle(docs.select(row_key.alias("row_key"), F.col(id_col).alias("doc_id"), _fingerprints(empty_if_null(F.col(text_col))).alias("fp")))
     nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(linked_fingerprints(nodes, max_bits, sample, shard_rows)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return (
-        prints.join(rooted.join(named, "root").select("fp", "component_id"), "fp")
-        .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        prints.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
+        .select("row_key", "root", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of docs whose id names their component, with their columns: one document of each group."""
-    groups = near_duplicates(docs, id_col, text_col, max_bits)
-    lost = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs[id_col].eqNullSafe(F.col("__lost")), "left_anti")
+    """One row of each component, with the columns of docs: of the rows whose id names the component the first.
+
+    Rows are told apart by a key of their own, so rows without an id, with a repeated id or given twice are decided one by one.
+    """
+    keyed = with_row_key(docs)
+    own = _grouped(keyed, id_col, text_col, max_bits, row_col="__row").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return keyed.join(own.groupBy("root").agg(F.min("row_key").alias("__row")), "__row", "left_semi").select(*docs.columns)
