@@ -2,11 +2,11 @@
 
 Texts become sequences of tokens in which numbers, names (capitalised words inside a sentence) and units are replaced by
 typed placeholders; the values they replaced are the slots. Windows of five template tokens are hashed and joined with
-the benchmark's. Hits are gathered by document, item and diagonal (document position minus item position), and a
-diagonal counts only if its slots are consistent: each slot value of the item stands for one value of the document and
-the other way round. A verbatim passage maps every value on itself; a question asked again with other numbers or names
-maps them one to one. A document holds an item if its consistent diagonals cover at least `similarity` of the item's
-windows.
+the benchmark's. Hits are gathered by document, item and diagonal (document position minus item position). In a diagonal
+each slot value of the item stands for one value of the document, the one it has in most windows; windows with another
+value are dropped, but windows whose slots are identical always count. A verbatim passage maps every value on itself; a
+question asked again with other numbers or names may give two of them the same new value. A document holds an item if
+what is left covers at least `similarity` of the item's windows.
 """
 
 from __future__ import annotations
@@ -75,6 +75,23 @@ def _slot_pairs(own: Column, other: Column) -> Column:
     return F.zip_with(cut(own), cut(other), lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
 
 
+def _changed(pair: Column) -> Column:
+    return pair["item"] != pair["doc"]
+
+
+def _outvoted(votes: Column, pairs: Column) -> Column:
+    """Pairs whose item value stands for another document value in more windows; of equals itself stays, then the smallest."""
+    count = lambda p: F.size(F.filter(votes, lambda v: v == p))
+
+    def loses(p: Column) -> Column:
+        first = ~_changed(p)
+        better = lambda q: (count(q) > count(p)) | ((count(q) == count(p)) & ~first & (~_changed(q) | (q["doc"] < p["doc"])))
+        return F.exists(pairs, lambda q: (q["item"] == p["item"]) & (q["doc"] != p["doc"]) & better(q))
+
+    conflict = F.size(pairs) > F.size(F.array_distinct(F.transform(pairs, lambda p: p["item"])))
+    return F.when(conflict, F.filter(pairs, loses)).otherwise(F.slice(pairs, 1, 0))
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -101,16 +118,15 @@ def contaminated(
     found = windows(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")), window)
     hits = found.join(F.broadcast(items) if small else items, "hash")
     # One diagonal holds each item position once, so what is gathered is bounded by the item's length.
-    diagonals = (
-        hits.groupBy(F.col("key").alias("doc_id"), "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"))
-        .agg(
-            F.collect_set("item_at").alias("places"),
-            F.array_distinct(F.flatten(F.collect_set(F.when((F.col("slots") != "") | (F.col("item_slots") != ""), _slot_pairs(F.col("item_slots"), F.col("slots")))))).alias("pairs"),
-        )
-        .where((F.size("pairs") == F.size(F.array_distinct("pairs.item"))) & (F.size("pairs") == F.size(F.array_distinct("pairs.doc"))))
-    )
+    slotted = (F.col("slots") != "") | (F.col("item_slots") != "")
+    hit = F.struct(F.col("item_at").alias("place"), F.when(slotted, F.array_distinct(_slot_pairs(F.col("item_slots"), F.col("slots")))).alias("pairs"))
+    diagonals = hits.groupBy(F.col("key").alias("doc_id"), "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set(hit).alias("hits"))
+    diagonals = diagonals.withColumn("votes", F.flatten(F.filter(F.transform("hits", lambda h: h["pairs"]), lambda p: p.isNotNull())))
+    diagonals = diagonals.withColumn("pairs", F.array_distinct("votes")).withColumn("outvoted", _outvoted(F.col("votes"), F.col("pairs")))
+    fits = lambda h: h["pairs"].isNull() | ~F.exists(h["pairs"], _changed) | ~F.arrays_overlap(h["pairs"], F.col("outvoted"))
     matched = (
-        diagonals.select("doc_id", "item_id", F.explode("places").alias("place"), F.exists("pairs", lambda p: p["item"] != p["doc"]).alias("changed"))
+        diagonals.select("doc_id", "item_id", F.explode(F.filter("hits", fits)).alias("hit"))
+        .select("doc_id", "item_id", F.col("hit.place").alias("place"), F.coalesce(F.exists("hit.pairs", _changed), F.lit(False)).alias("changed"))
         .groupBy("doc_id", "item_id")
         .agg(F.countDistinct("place").alias("matched_windows"), (~F.bool_or("changed")).alias("verbatim"))
     )
