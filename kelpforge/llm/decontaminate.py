@@ -28,11 +28,13 @@ UNITS = (
 ).split()
 _NAME = "\x01"
 _SLOT_END = "\x02"
+#: White space other than a single space; the two marks count as white space.
+_UNEVEN_SPACE = r"[\x01\x02\t-\r\x85\p{Z}&&[^ ]][\x01\x02\t-\r\x85\p{Z}]*| [\x01\x02\t-\r\x85\p{Z}]+"
 
 
 def tokens(text: Column) -> Column:
     """Lower-case words, numbers (ASCII digits) and unit signs; what was a capitalised word inside a sentence has a mark before it."""
-    plain = F.regexp_replace(empty_if_null(text), "[\x01\x02]", " ")
+    plain = F.regexp_replace(empty_if_null(text), _UNEVEN_SPACE, " ")
     marked = F.regexp_replace(plain, r"\p{Lu}(?<=[\p{L}0-9,;] \p{Lu})\p{Ll}+", _NAME + "$0")
     return F.regexp_extract_all(F.lower(marked), F.lit(_NAME + r"?[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*|[%°$€£]"), F.lit(0))
 
@@ -45,7 +47,8 @@ def _kind(token: Column) -> Column:
 def windows(texts: DataFrame, window: int = WINDOW, quoted: bool = False) -> DataFrame:
     """key, at, hash, slots for texts (key, text): all windows of template tokens. A shorter text is one window.
 
-    slots joins what its placeholders replaced, each with its kind. Texts without tokens have no windows. quoted reads
+    slots joins what its placeholders replaced, each with its kind. Windows with names come twice, the second time with the
+    names as plain words, so that a copy in other case still meets them. Texts without tokens have no windows. quoted reads
     a text as it would stand inside another's sentence, where its first word, if capitalised, looks like a name.
     """
     first = F.try_element_at("tokens", F.lit(1))
@@ -53,21 +56,28 @@ def windows(texts: DataFrame, window: int = WINDOW, quoted: bool = False) -> Dat
     capital = F.regexp(F.col("text"), F.lit(r"^[^\p{L}0-9%°$€£]*\p{Lu}\p{Ll}"))
     taken = F.when(capital, named).otherwise(F.col("tokens")) if quoted else F.col("tokens")
     split = texts.select("key", "text", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0).select("key", taken.alias("tokens"))
+    read = lambda c: F.transform(c, lambda t: F.coalesce(_kind(t), t))
+    values = lambda c: F.transform(c, lambda t: F.when(_kind(t).isNotNull(), F.concat(_kind(t), F.ltrim(t, F.lit(_NAME)), F.lit(_SLOT_END))))
+    split = split.select("key", "tokens", F.transform("tokens", lambda t: t < _SLOT_END).alias("names")).withColumn("named", F.exists("names", lambda n: n))
+    split = split.withColumn("bare", F.when(F.col("named"), F.transform("tokens", lambda t: F.ltrim(t, F.lit(_NAME)))))
     split = split.select(
-        "key",
-        F.transform("tokens", lambda t: F.coalesce(_kind(t), t)).alias("template"),
-        F.transform("tokens", lambda t: F.when(_kind(t).isNotNull(), F.concat(_kind(t), F.ltrim(t, F.lit(_NAME)), F.lit(_SLOT_END)))).alias("values"),
-    ).withColumn("slotted", F.exists("values", lambda v: v.isNotNull()))
+        "key", "named", "names", read(F.col("tokens")).alias("template"), values(F.col("tokens")).alias("values"), read(F.col("bare")).alias("bare_template"), values(F.col("bare")).alias("bare_values")
+    ).withColumn("slotted", F.exists("values", lambda v: v.isNotNull()))
     starts = F.sequence(F.lit(0), F.greatest(F.size("template") - window, F.lit(0)))
     part = lambda c, i: [F.get(c, i + k) for k in range(window)]  # noqa: E731  null beyond the end, which neither hash nor join counts
-    every = F.transform(
-        starts,
-        lambda i: F.struct(
-            i.alias("at"), F.xxhash64(*part("template", i)).alias("hash"), F.when(F.col("slotted"), F.concat_ws("", *part("values", i))).otherwise("").alias("slots")
-        ),
-    )
+
+    def every(at: Column, template: str, slots: str) -> Column:
+        return F.transform(
+            at,
+            lambda i: F.struct(
+                i.alias("at"), F.xxhash64(*part(template, i)).alias("hash"), F.when(F.col("slotted"), F.concat_ws("", *part(slots, i))).otherwise("").alias("slots")
+            ),
+        )
+
+    has_name = lambda i: F.exists(F.slice("names", i + 1, window), lambda n: n)
+    both = F.concat(every(starts, "template", "values"), every(F.filter(starts, has_name), "bare_template", "bare_values"))
     # Never empty; but for a plain inline Spark would infer a filter on the array, and work it out a second time.
-    return split.select("key", F.inline_outer(every))
+    return split.select("key", F.inline_outer(F.when(F.col("named"), both).otherwise(every(starts, "template", "values"))))
 
 
 def _slot_pairs(own: Column, other: Column) -> Column:
