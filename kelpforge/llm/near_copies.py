@@ -2,9 +2,9 @@
 
 Reaching similarity 0.8 takes a Hamming ball of over eleven bits of 64, which meets nearly every region of a vantage-point
 tree. Bands cost the same for each row instead, and two rows of similarity s share one of BANDS bands of BAND_ROWS values
-with probability 1 - (1 - s^BAND_ROWS)^BANDS: 0.9996 at 0.8. Candidates are verified in two passes: first each row with
-the least row of its buckets, which takes a dense group down to one row without its square; then all pairs of rows that
-are left in a bucket.
+with probability 1 - (1 - s^BAND_ROWS)^BANDS: 0.9996 at 0.8. Candidates are verified in three passes: each row with
+the least row of all its buckets, which takes a dense group down without its square; what is left with the least row of
+each bucket; then all pairs of rows that are left in a bucket.
 """
 
 from __future__ import annotations
@@ -94,13 +94,16 @@ def near_copies(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     buckets = own.groupBy("band").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     dealt = buckets.select("band", "pivot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     shared = settle(own.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(dealt, ["band", "salt"]).select("band", "row", "pivot"))
-    stars = settle(shared.where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct())
-    first = _lost(settle(_verified(stars, texts, similarity)), ids)
-    left = settle(shared.join(first, "row", "left_anti"))
+    star = shared.where("row <> pivot").groupBy(F.col("row").alias("a")).agg(F.min("pivot").alias("b"))
+    lost = _lost(settle(_verified(star, texts, similarity)), ids)
+    left = settle(shared.join(lost, "row", "left_anti"))
+    heads = left.groupBy("band").agg(F.min("row").alias("pivot"))
+    stars = left.select("band", "row").join(heads, "band").where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct()
+    lost = lost.union(_lost(settle(_verified(settle(stars), texts, similarity)), ids))
+    left = settle(shared.join(lost, "row", "left_anti"))
     x, y = left.alias("x"), left.alias("y")
     pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.row") > F.col("y.row"))).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
-    rest = settle(pairs.join(stars, ["a", "b"], "left_anti"))
-    return first.union(_lost(settle(_verified(rest, texts, similarity)), ids))
+    return lost.union(_lost(settle(_verified(settle(pairs), texts, similarity)), ids))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

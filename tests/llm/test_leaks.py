@@ -19,12 +19,8 @@ def test_two_values_may_take_the_same_new_value(spark):
 def test_one_changed_digit_does_not_hide_a_copy(spark):
     item = "they paid 30 coins for the cart and much later" + TAIL + " while 30 coins were lost on the way back to the small town by the river near the bridge"
     assert found(spark, item, item.replace("while 30", "while 31")) == {0: False}
-<<<<<<< Updated upstream
     many = "anna counted 30 red apples bert sold 30 green pears carl lost 30 blue plums dora found 30 black cherries"
     assert found(spark, many, many.replace("30 red", "1 red").replace("30 green", "2 green").replace("30 blue", "3 blue")) == {}
-=======
-    many = " ".join(f"they paid {k} coins for cart" for k in (30, 30, 30, 30))
-    assert found(spark, many, "they paid 1 coins for cart they paid 2 coins for cart they paid 3 coins for cart they paid 4 coins for cart") == {}
 
 
 NAMES = "Yesterday Alice drove over the hill with Bob, and after a long rest they met Carol again near the lake and Dan too."
@@ -35,4 +31,3 @@ def test_names_in_other_case_or_after_other_white_space(spark):
     assert found(spark, NAMES, wrapped, NAMES.lower(), NAMES.upper(), NAMES.title()) == dict.fromkeys(range(4), True)
     assert found(spark, NAMES.lower(), NAMES) == {0: True}
     assert found(spark, NAMES, NAMES.replace("Alice", "Eve").replace("Bob", "Finn")) == {0: False}
->>>>>>> Stashed changes
