@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,24 +14,34 @@ WHITE_SPACE = r"[\x20\x09-\x0D]"
 
 #: Tables below this size may be one Parquet row group, which one task would have to read and process alone.
 _SMALL_BYTES, _TASK_BYTES = 20 << 20, 1 << 20
+ROW = "__row"
+#: Keys with a share of the rows above one in this many are joined by broadcast, so at most this many rows are.
+HEAVY_KEYS = 1024
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; a small one is dealt over the cores, one task for each megabyte, since its files may not split."""
+    """A table; a small one is dealt over the cores, one task for each megabyte, since its files may not split.
+
+    A session without a JVM of its own (Spark Connect) gives no size: there the table is read as it lies.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if getattr(df, "_jdf", None) is None:
+        return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     tasks = min(spark.sparkContext.defaultParallelism, size // _TASK_BYTES)
     return df.repartition(tasks) if size < _SMALL_BYTES and tasks > 1 else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of this machine only where it names none, as in tests."""
+    """The shared folder that the cluster names. Where it names none: a folder of this machine in local mode, an error elsewhere."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kelpforge-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -40,9 +52,39 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """docs with __row, a key of each row's own; written out, so that every later read sees the same key."""
-    return settle(docs.withColumn("__row", F.monotonically_increasing_id()))
+def settle_table(df: DataFrame, name: str) -> DataFrame:
+    """As settle, as a compressed table, of which later jobs read only the columns that they need."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_row_key(docs: DataFrame, name: str = ROW) -> DataFrame:
+    """docs with a key of each row's own in column name; written out, so that every later read sees the same key."""
+    return settle_table(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes to differ from all columns of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_heavy(
+    rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, each: Callable[[DataFrame], DataFrame] = lambda joined: joined
+) -> DataFrame:
+    """rows joined (inner) with table, which has one row for each combination of keys and says in weight how many rows have it.
+
+    Keys with more than total / HEAVY_KEYS rows number fewer than HEAVY_KEYS, if the weights add up to total at most: they
+    alone are broadcast, so that none of them gathers its rows in one task. All other keys are shuffled. Null keys never
+    join. `each` works on the joined rows of heavy and of other keys apart, where what was shuffled by keys still lies so.
+    """
+    heavy = F.col(weight) * HEAVY_KEYS > total
+    hot = table.where(heavy).limit(HEAVY_KEYS)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return each(rows.join(F.broadcast(hot), keys)).unionByName(each(rest.join(table.where(~heavy), keys)))
 
 
 def empty_if_null(text: Column) -> Column:

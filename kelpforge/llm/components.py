@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpforge.llm._common import settle
+from kelpforge.llm._common import join_heavy, settle
 
 
-def _least_neighbours(pairs: DataFrame) -> DataFrame:
-    """u, m: the smallest of u and its neighbours."""
-    return pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+def _with_least(pairs: DataFrame, total: int) -> DataFrame:
+    """pairs (u, v) with m, the smallest of u and its neighbours; the pairs of a hub stay where they are."""
+    least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("degree"))
+    return join_heavy(pairs, least, ["u"], "degree", total).drop("degree")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    return pairs.join(_least_neighbours(pairs), "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return _with_least(pairs, 2 * total).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    m = _least_neighbours(pairs)
-    moved = pairs.join(m, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return moved.union(m.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
+    moved = _with_least(pairs, total).select(F.col("u"), F.col("v").alias("a"), F.col("m").alias("b"))
+    return moved.select("a", "b").union(moved.select(F.col("u").alias("a"), "b")).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,5 +36,6 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (now := state(edges)) != before and now[0]:
         before = now
-        edges = settle(_small_star(_large_star(edges)))
+        large = settle(_large_star(edges, now[0]))
+        edges = settle(_small_star(large, now[0]))
     return edges

@@ -1,23 +1,34 @@
 """Benchmark contamination by template canonicalisation, in DataFrame functions only.
 
-Texts become sequences of tokens in which numbers, names (capitalised words inside a sentence) and units are replaced by
-typed placeholders; the values they replaced are the slots. Windows of five template tokens are hashed and joined with
-the benchmark's. Hits are gathered by document, item and diagonal (document position minus item position). In a diagonal
-each slot value of the item stands for one value of the document, the one it has in most windows; windows with another
-value are dropped, but windows whose slots are identical always count. A verbatim passage maps every value on itself; a
-question asked again with other numbers or names may give two of them the same new value. A document holds an item if
-what is left covers at least `similarity` of the item's windows.
+Texts become sequences of tokens in which numbers, names (capitalised words) and units are replaced by typed
+placeholders; the values they replaced are the slots. Windows of five template tokens are hashed and joined with the
+benchmark's; a bit array of the benchmark's hashes, of fixed size, leaves the other windows of a text out beforehand.
+An item that covers at least `similarity` of its windows in a text has at least one of its rarest windows there, so
+those alone find candidates: windows of nothing but placeholders, which number tables are full of, are looked at for
+candidates only. There hits are gathered by text, item and diagonal (text position minus item position). In a diagonal
+each slot value of the item stands for one value of the text, the one it has in most windows; windows with another value
+are dropped, but windows whose slots are identical always count. A verbatim passage maps every value on itself; a
+question asked again with other numbers or names may give two of them the same new value. A text holds an item if what
+is left covers at least `similarity` of the item's windows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpforge.llm._common import empty_if_null
+from kelpforge.llm._common import ROW, empty_if_null, free_name, settle, with_row_key
 
 WINDOW = 5
 SIMILARITY = 0.8
+#: Items shorter than a window are found inside longer texts word for word; those below this length only as whole texts.
+LEAST_TOKENS = 3
+#: Words of 64 bits, at least and at most, in the array that says which window hashes the benchmark has; else 16 bits a hash.
+_BIT_WORDS = 1 << 4, 1 << 14
 #: Windows of the benchmark up to which its side of the join is broadcast; above, both sides are shuffled by hash.
 BROADCAST_WINDOWS = 1_000_000
 #: Words that count as units.
@@ -28,56 +39,106 @@ UNITS = (
 ).split()
 _NAME = "\x01"
 _SLOT_END = "\x02"
-#: White space other than a single space; the two marks count as white space.
-_UNEVEN_SPACE = r"[\x01\x02\t-\r\x85\p{Z}&&[^ ]][\x01\x02\t-\r\x85\p{Z}]*| [\x01\x02\t-\r\x85\p{Z}]+"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words, numbers (ASCII digits) and unit signs; what was a capitalised word inside a sentence has a mark before it."""
-    plain = F.regexp_replace(empty_if_null(text), _UNEVEN_SPACE, " ")
-    marked = F.regexp_replace(plain, r"\p{Lu}(?<=[\p{L}0-9,;] \p{Lu})\p{Ll}+", _NAME + "$0")
+    """Lower-case words, numbers (ASCII digits) and unit signs; what was a capitalised word has a mark before it."""
+    plain = F.translate(empty_if_null(text), _NAME + _SLOT_END, "  ")
+    marked = F.regexp_replace(plain, r"\p{Lu}(?<!\p{L}\p{Lu})\p{Ll}+", _NAME + "$0")
     return F.regexp_extract_all(F.lower(marked), F.lit(_NAME + r"?[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*|[%°$€£]"), F.lit(0))
 
 
-def _kind(token: Column) -> Column:
-    """Of a token in lower case; by order, for a mark sorts before all and digits sort between 0 and :."""
-    return F.when(token < _SLOT_END, F.lit("#name")).when((token < ":") & (token >= "0"), F.lit("#number")).when(token.isin(UNITS), F.lit("#unit"))
+def _kind(token: str) -> str:
+    """SQL for the kind of a token in lower case; by order, for a mark sorts before all and digits sort between 0 and :."""
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    return f"CASE WHEN {token} < '{_SLOT_END}' THEN '#name' WHEN {token} < ':' AND {token} >= '0' THEN '#number' WHEN {token} IN ({units}) THEN '#unit' END"
+
+
+def _bare(token: str) -> str:
+    return f"ltrim('{_NAME}', {token})"
+
+
+@dataclass(frozen=True)
+class HashBits:
+    """Which hashes there may be, as a bit array: bit h mod 64 of word h / 64 mod the number of words, a power of two."""
+
+    words: tuple[int, ...]
 
+    @staticmethod
+    def place(hashed: Column, n: int) -> tuple[Column, Column]:
+        return F.shiftrightunsigned(hashed, 6).bitwiseAND(F.lit(n - 1)).cast("int"), hashed.bitwiseAND(F.lit(63)).cast("int")
 
-def windows(texts: DataFrame, window: int = WINDOW, quoted: bool = False) -> DataFrame:
-    """key, at, hash, slots for texts (key, text): all windows of template tokens. A shorter text is one window.
+    @classmethod
+    def of(cls, items: DataFrame) -> HashBits:
+        """The driver gets as many numbers as there are words. Beyond the largest array more hashes pass, but none is left out."""
+        n = min(max(1 << (items.count() // 4).bit_length(), _BIT_WORDS[0]), _BIT_WORDS[1])
+        word, bit = cls.place(F.col("hash"), n)
+        found = items.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+        words = [0] * n
+        for r in found:
+            words[r["word"]] = r["bits"]
+        return cls(tuple(words))
 
-    slots joins what its placeholders replaced, each with its kind. Windows with names come twice, the second time with the
-    names as plain words, so that a copy in other case still meets them. Texts without tokens have no windows. quoted reads
-    a text as it would stand inside another's sentence, where its first word, if capitalised, looks like a name.
+    def may_hold(self, hashed: str) -> str:
+        """SQL for whether a hash may be among them."""
+        words = f"from_json('{json.dumps(self.words)}', 'array<bigint>')"
+        return f"(shiftright(get({words}, CAST(shiftrightunsigned({hashed}, 6) & {len(self.words) - 1} AS int)), CAST({hashed} & 63 AS int)) & 1) = 1"
+
+
+def windows(texts: DataFrame, widths: Sequence[int], bits: HashBits | None = None, whole_only: bool = False) -> DataFrame:
+    """The columns of texts (among them text) but text, with at, hash, slots, alone: windows of template tokens, of each width.
+
+    slots joins what a window's placeholders replaced, each with its kind; alone says whether the window is the whole text.
+    Windows with names come twice, the second time with the names as plain words, so that a copy in other case still meets
+    them. bits leaves out windows whose hash it does not have; whole_only, and widths under LEAST_TOKENS, take windows that
+    are whole texts alone.
     """
-    first = F.try_element_at("tokens", F.lit(1))
-    named = F.concat(F.array(F.concat(F.lit(_NAME), first)), F.slice("tokens", 2, F.size("tokens")))
-    capital = F.regexp(F.col("text"), F.lit(r"^[^\p{L}0-9%°$€£]*\p{Lu}\p{Ll}"))
-    taken = F.when(capital, named).otherwise(F.col("tokens")) if quoted else F.col("tokens")
-    split = texts.select("key", "text", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0).select("key", taken.alias("tokens"))
-    read = lambda c: F.transform(c, lambda t: F.coalesce(_kind(t), t))
-    values = lambda c: F.transform(c, lambda t: F.when(_kind(t).isNotNull(), F.concat(_kind(t), F.ltrim(t, F.lit(_NAME)), F.lit(_SLOT_END))))
-    split = split.select("key", "tokens", F.transform("tokens", lambda t: t < _SLOT_END).alias("names")).withColumn("named", F.exists("names", lambda n: n))
-    split = split.withColumn("bare", F.when(F.col("named"), F.transform("tokens", lambda t: F.ltrim(t, F.lit(_NAME)))))
-    split = split.select(
-        "key", "named", "names", read(F.col("tokens")).alias("template"), values(F.col("tokens")).alias("values"), read(F.col("bare")).alias("bare_template"), values(F.col("bare")).alias("bare_values")
-    ).withColumn("slotted", F.exists("values", lambda v: v.isNotNull()))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("template") - window, F.lit(0)))
-    part = lambda c, i: [F.get(c, i + k) for k in range(window)]  # noqa: E731  null beyond the end, which neither hash nor join counts
-
-    def every(at: Column, template: str, slots: str) -> Column:
-        return F.transform(
-            at,
-            lambda i: F.struct(
-                i.alias("at"), F.xxhash64(*part(template, i)).alias("hash"), F.when(F.col("slotted"), F.concat_ws("", *part(slots, i))).otherwise("").alias("slots")
-            ),
-        )
-
-    has_name = lambda i: F.exists(F.slice("names", i + 1, window), lambda n: n)
-    both = F.concat(every(starts, "template", "values"), every(F.filter(starts, has_name), "bare_template", "bare_values"))
-    # Never empty; but for a plain inline Spark would infer a filter on the array, and work it out a second time.
-    return split.select("key", F.inline_outer(F.when(F.col("named"), both).otherwise(every(starts, "template", "values"))))
+    own = [f"`{c}`" for c in texts.columns if c != "text"]
+    marked = f"exists(tokens, t -> t < '{_SLOT_END}') AS named"
+    split = texts.select(*own, tokens(F.col("text")).alias("tokens")).selectExpr(*own, "tokens", f"transform(tokens, t -> {_kind('t')}) AS kinds", marked)
+    split = split.selectExpr(*own, "tokens", "kinds", "named", f"CASE WHEN named THEN transform(transform(tokens, t -> {_bare('t')}), t -> {_kind('t')}) END AS bare_kinds")
+    split = split.selectExpr(
+        *own, "tokens", "kinds", "named", "bare_kinds", "size(tokens) AS n", "zip_with(tokens, kinds, (t, k) -> xxhash64(coalesce(k, t))) AS codes",
+        f"CASE WHEN named THEN zip_with(tokens, bare_kinds, (t, k) -> xxhash64(coalesce(k, {_bare('t')}))) END AS bare_codes",
+    )
+
+    def every(width: int, bare: str) -> str:
+        """An array of what windows() gives for one width, with the columns whose names begin with `bare`."""
+        fits = f"n {'=' if whole_only or width < LEAST_TOKENS else '>='} {width}" + (" AND named" if bare else "")
+        hashes = f"transform(sequence(0, n - {width}), i -> xxhash64({width}, {', '.join(f'get({bare}codes, i + {k})' for k in range(width))}))"
+        slot = lambda k: f"CASE WHEN get({bare}kinds, i + {k}) IS NOT NULL THEN concat(get({bare}kinds, i + {k}), {_bare(f'get(tokens, i + {k})')}, '{_SLOT_END}') END"
+        told = f"named_struct('at', i, 'hash', h, 'slots', concat_ws('', {', '.join(map(slot, range(width)))}), 'alone', n = {width})"
+        wanted = [bits.may_hold("h")] if bits else []
+        wanted += [f"exists(slice(tokens, i + 1, {width}), t -> t < '{_SLOT_END}')"] if bare else []
+        return f"CASE WHEN {fits} THEN array_compact(transform({hashes}, (h, i) -> CASE WHEN {' AND '.join(wanted or ['true'])} THEN {told} END)) ELSE CAST(array() AS {_WINDOWS}) END"
+
+    found = ", ".join(every(w, bare) for w in widths for bare in ("", "bare_"))
+    # But for the outer form Spark would infer a filter on the array, and work it out a second time.
+    return split.selectExpr(*own, f"inline_outer(concat({found}))").where("hash IS NOT NULL")
+
+
+_WINDOWS = "array<struct<at:int,hash:bigint,slots:string,alone:boolean>>"
+
+
+def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """item (a key of each row's own), item_id, item_at, hash, item_slots, short, item_windows: what is looked for. A shorter item is one window."""
+    asked = settle(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_col).alias("item_id"), F.col(text_col).alias("text")))
+    long = windows(asked, [window]).withColumn("short", F.lit(False))
+    short = windows(asked, range(1, window), whole_only=True).withColumn("short", F.lit(True))
+    items = settle(long.unionByName(short).select("item", "item_id", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), "short").distinct())
+    return settle(items.join(items.groupBy("item").agg(F.countDistinct("item_at").alias("item_windows")), "item"))
+
+
+def rarest(items: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """item, hash of so many places of each item, those with the fewest partners first, that a text which holds it has one."""
+    often = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    asked = items.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).join(often, "hash")
+    weighed = items.join(asked, "hash", "left")
+    places = weighed.groupBy("item", "item_at", "item_windows").agg(F.sum(F.coalesce(F.col("n") * F.col("m"), F.lit(0))).alias("partners"))
+    first = F.row_number().over(Window.partitionBy("item").orderBy("partners", "item_at"))
+    needed = F.ceil(F.col("item_windows") * F.lit(similarity) - F.lit(1e-9))
+    places = places.withColumn("nth", first).where((F.col("nth") <= F.col("item_windows") - needed + 1) & (F.col("partners") > 0))
+    return items.join(places.select("item", "item_at"), ["item", "item_at"], "left_semi").select("item", "hash").distinct()
 
 
 def _slot_pairs(own: Column, other: Column) -> Column:
@@ -115,39 +176,55 @@ def contaminated(
 ) -> DataFrame:
     """doc_id, item_id, matched_windows, item_windows, similarity, verbatim: a row per document and item that it holds.
 
-    verbatim tells whether all slots map on themselves. Null texts count as empty; texts without tokens, on either
-    side, match nothing; items shorter than a window match only texts that are those tokens alone. Rows with equal ids,
-    repeated ones too, are one document; rows without an id are one document with a null id. An empty table on either
-    side gives an empty result. Other columns are not read.
+    verbatim tells whether each of the matched windows stands there with its own slots. Null texts count as empty; texts without tokens, on either
+    side, match nothing. Items shorter than a window are one window: inside longer texts they are found word for word,
+    below LEAST_TOKENS only as whole texts. Every row is judged for itself; rows with equal ids, repeated ones and those
+    without an id among them, that hold an item give one row, the best of them. An empty table on either side gives an
+    empty result. Other columns are not read.
     """
-    asked = benchmark.select(F.col(item_col).alias("key"), F.col(item_text_col).alias("text"))
-    items = windows(asked, window).union(windows(asked, window, quoted=True).where("at = 0")).distinct()
-    items = items.select(F.col("key").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
-    sizes = items.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
+    items = benchmark_windows(benchmark, item_col, item_text_col, window)
     small = items.limit(broadcast_windows + 1).count() <= broadcast_windows
-    found = windows(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")), window)
-    hits = found.join(F.broadcast(items) if small else items, "hash")
+    shared = F.broadcast if small else lambda df: df
+    texts = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = settle(windows(texts, [window, *_short_widths(benchmark, item_text_col, window)], HashBits.of(items)))
+    candidates = settle(found.select("key", "hash").join(shared(rarest(items, found, similarity)), "hash").select("key", "item").distinct())
+    hits = found.join(candidates, "key").join(shared(items), ["item", "hash"])
+    hits = hits.where(~F.col("short") | F.col("alone") | (F.col("slots") == F.col("item_slots")))
     # One diagonal holds each item position once, so what is gathered is bounded by the item's length.
     slotted = (F.col("slots") != "") | (F.col("item_slots") != "")
     hit = F.struct(F.col("item_at").alias("place"), F.when(slotted, F.array_distinct(_slot_pairs(F.col("item_slots"), F.col("slots")))).alias("pairs"))
-    diagonals = hits.groupBy(F.col("key").alias("doc_id"), "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set(hit).alias("hits"))
+    told = ["key", "doc_id", "item", "item_id", "item_windows"]
+    diagonals = hits.groupBy(*told, (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set(hit).alias("hits"))
     diagonals = diagonals.withColumn("votes", F.flatten(F.filter(F.transform("hits", lambda h: h["pairs"]), lambda p: p.isNotNull())))
     diagonals = diagonals.withColumn("pairs", F.array_distinct("votes")).withColumn("outvoted", _outvoted(F.col("votes"), F.col("pairs")))
     fits = lambda h: h["pairs"].isNull() | ~F.exists(h["pairs"], _changed) | ~F.arrays_overlap(h["pairs"], F.col("outvoted"))
     matched = (
-        diagonals.select("doc_id", "item_id", F.explode(F.filter("hits", fits)).alias("hit"))
-        .select("doc_id", "item_id", F.col("hit.place").alias("place"), F.coalesce(F.exists("hit.pairs", _changed), F.lit(False)).alias("changed"))
-        .groupBy("doc_id", "item_id")
-        .agg(F.countDistinct("place").alias("matched_windows"), (~F.bool_or("changed")).alias("verbatim"))
+        diagonals.select(*told, F.explode(F.filter("hits", fits)).alias("hit"))
+        .select(*told, F.col("hit.place").alias("place"), F.coalesce(F.exists("hit.pairs", _changed), F.lit(False)).alias("changed"))
+        .groupBy(*told)
+        .agg(F.countDistinct("place").alias("matched_windows"), F.countDistinct(F.when(~F.col("changed"), F.col("place"))).alias("same"))
+        .withColumn("verbatim", F.col("same") == F.col("matched_windows"))
     )
     share = F.col("matched_windows") / F.col("item_windows")
-    return (
-        matched.join(F.broadcast(sizes) if small else sizes, "item_id").where(share >= similarity)
-        .select("doc_id", "item_id", "matched_windows", "item_windows", share.alias("similarity"), "verbatim")
-    )
+    best = F.max(F.struct("matched_windows", "verbatim", "item_windows")).alias("best")
+    held = matched.where(share >= similarity).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    return held.select("doc_id", "item_id", "matched_windows", "item_windows", share.alias("similarity"), "verbatim")
+
+
+def _short_widths(benchmark: DataFrame, text_col: str, window: int) -> list[int]:
+    """Lengths under a window that items have: window - 1 numbers at most."""
+    size = benchmark.select(F.size(tokens(F.col(text_col))).alias("n")).where((F.col("n") > 0) & (F.col("n") < window))
+    return sorted(r["n"] for r in size.distinct().collect())
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that hold no item of the benchmark, with their columns; rows without an id stay."""
-    held = contaminated(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(held, docs[id_col] == F.col("__held"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that hold no item of the benchmark, with their columns.
+
+    Rows are decided one by one, whatever their ids, so a row without an id that holds an item goes. Rows with null or
+    empty texts stay, repeated rows are decided alike. No column of docs can clash with a name of this operator's own; an
+    empty table on either side leaves docs as they are.
+    """
+    name = free_name(docs, ROW)
+    keyed = with_row_key(docs, name)
+    held = contaminated(keyed.select(name, text_col), benchmark, name, text_col, **options).select(F.col("doc_id").alias(name)).distinct()
+    return keyed.join(held, name, "left_anti").select(*docs.columns)

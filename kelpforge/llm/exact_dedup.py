@@ -7,10 +7,10 @@ by digest *and* full content:
 2. by (digest, salt): rows of a hot text meet in as many tasks as there are salts;
 3. by digest: the salt winners, at most `salts` rows a text, give the group's winner and size.
 
-The way back runs over the same salts: every (digest, salt) row learns its group's winner, and documents join by digest
-and salt with narrow rows (id, salt, digest), so a text that a third of all rows share is spread over the salts there
-too. Documents carry their content into that join only where one digest stands for two contents. SHA-256 makes that set
-empty in practice, which is why it alone may be broadcast; tests give a weak digest to exercise it.
+On the way back rows meet their group's winner by a join on the group, in which the few groups that hold a good share of
+all rows are broadcast (`join_heavy`) and so stay where they lie. A group is named by its digest alone, and by digest and
+content where one digest stands for two contents. SHA-256 makes that set empty in practice, which is why it alone may be
+broadcast whole; tests give a weak digest to exercise it.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpforge.llm._common import WHITE_SPACE, empty_if_null, settle, with_row_key
+from kelpforge.llm._common import WHITE_SPACE, empty_if_null, join_heavy, settle
 
 SALTS = 16
 #: A winner packs (code points, smallest id) in one number, which a hash aggregate can hold: points * 2^64 + (2^63 - 1 - id).
@@ -42,6 +42,10 @@ def _pack(points: Column, doc_id: Column) -> Column:
     return ((points.cast("decimal(11,0)") * F.lit(str(_POINTS_UNIT)).cast("decimal(20,0)")).cast(wide) + rank).cast(wide)
 
 
+def _winner_points(packed: Column) -> Column:
+    return F.floor(packed / F.lit(str(_POINTS_UNIT)).cast("decimal(38,0)")).cast("long")
+
+
 def _winner_id(packed: Column) -> Column:
     rest = packed % F.lit(str(_POINTS_UNIT)).cast("decimal(38,0)")
     return F.when(rest > 0, (F.lit(_ID_TOP).cast("decimal(38,0)") - rest).cast("long"))
@@ -57,61 +61,60 @@ def exact_duplicates(
     """doc_id, keep_id, group_size, kept, text_sha256: one row per input row, dropped ones too.
 
     Of equal texts the row with the most code points stays, then the smallest id (ids are 64-bit integers, not
-    negative). Null text counts as empty; all empty texts are one group. A row without an id loses to every row with
-    one and is kept only as the sole kind of its group (keep_id is then null). Repeated rows (same id and equal text)
-    are one document: each gives a row, all count in group_size, and they share the decision. Other columns of docs are
-    neither read nor returned, so their names cannot clash. An empty table gives an empty result.
+    negative). Null text counts as empty; all empty texts are one group. A row without an id loses to rows of its length
+    with one; where it stays, keep_id is null. Of rows that are equal in all this, repeated rows among them, one is
+    kept; all count in group_size. Other columns of docs are neither read nor returned, so their names cannot clash. An
+    empty table gives an empty result.
     """
-    return _decided(docs, id_col, text_col, salts, digest).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    rows, winners, collided, total = _combined(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", salts, digest)
+    members = _with_group(rows, collided).select("doc_id", "points", "grp", F.sha2("content", 256).alias("text_sha256"))
+    members = settle(members.withColumn("row_key", F.monotonically_increasing_id()))
+    best = members.select("grp", "row_key", "points", "doc_id")
+    chosen = join_heavy(best, winners, ["grp"], "group_size", total, lambda j: j.where(_is_best()).groupBy("grp").agg(F.min("row_key").alias("chosen")))
+    named = winners.join(chosen, "grp")
+    return join_heavy(members, named, ["grp"], "group_size", total).select(
+        "doc_id", "keep_id", "group_size", (F.col("row_key") == F.col("chosen")).alias("kept"), "text_sha256"
+    )
 
 
-def _decided(docs: DataFrame, id_col: str, text_col: str, salts: int, digest: Callable[[Column], Column] = sha256_of, row_col: str | None = None) -> DataFrame:
-    """What exact_duplicates returns, with points and with row_col as row_key, by which rows are then salted too."""
-    content = normalised(F.col(text_col))
-    row_key = F.col(row_col) if row_col else F.lit(None).cast("long")
+def _combined(docs: DataFrame, id_col: str, text_col: str, salts: int, digest: Callable[[Column], Column] = sha256_of) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """docs as (row, doc_id, points, content, digest); its groups' winners, written out; digests of two contents; how many rows."""
     rows = docs.select(
-        row_key.alias("row_key"), F.col(id_col).alias("doc_id"), F.length(empty_if_null(F.col(text_col))).alias("points"), content.alias("content")
+        F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.length(empty_if_null(F.col(text_col))).alias("points"), normalised(F.col(text_col)).alias("content")
     ).withColumn("digest", digest(F.col("content")))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "points", "row_key"), F.lit(salts)).cast("int"))
+    salt = F.pmod(F.xxhash64("doc_id", "points"), F.lit(salts)).cast("int")
+    salted = rows.groupBy("digest", salt.alias("salt"), "content").agg(F.max(_pack(F.col("points"), F.col("doc_id"))).alias("best"), F.count(F.lit(1)).alias("members"))
+    groups = salted.repartition("digest").groupBy("digest", "content").agg(F.max("best").alias("best"), F.sum("members").alias("group_size"))
+    groups = groups.withColumn("collides", F.count(F.lit(1)).over(Window.partitionBy("digest")) > 1)
+    winners = settle(groups.select("digest", "collides", _group_name().alias("grp"), _winner_points(F.col("best")).alias("most"), _winner_id(F.col("best")).alias("keep_id"), "group_size"))
+    collided = winners.where("collides").select("digest", F.lit(True).alias("collides")).distinct()
+    total = winners.agg(F.sum("group_size")).first()[0] or 0
+    return rows, winners.drop("digest", "collides"), collided, total
 
-    salted = rows.groupBy("digest", "salt", "content").agg(
-        F.max(_pack(F.col("points"), F.col("doc_id"))).alias("best"), F.count(F.lit(1)).alias("members")
-    )
-    by_digest = Window.partitionBy("digest")
-    by_content = Window.partitionBy("digest", "content")
-    winners = settle(
-        salted.withColumn("nth", F.dense_rank().over(by_digest.orderBy("content")))
-        .withColumn("best", F.max("best").over(by_content))
-        .withColumn("group_size", F.sum("members").over(by_content))
-        .withColumn("contents", F.max("nth").over(by_digest))
-        .select("digest", "salt", "best", "group_size", F.when(F.col("contents") > 1, F.col("content")).alias("told_by"))
-    )
-    collided = winners.where(F.col("told_by").isNotNull()).select("digest", F.lit(True).alias("collides")).distinct()
 
-    members = rows.join(F.broadcast(collided), "digest", "left").select(
-        "row_key", "points", "doc_id", "salt", "digest", F.when(F.col("collides"), F.col("content")).alias("told_by"), F.sha2("content", 256).alias("sha")
-    )
-    m, w = members.alias("m"), winners.alias("w")
-    same = (F.col("m.digest") == F.col("w.digest")) & (F.col("m.salt") == F.col("w.salt"))
-    same &= F.col("m.told_by").eqNullSafe(F.col("w.told_by"))
-    keep_id = _winner_id(F.col("w.best"))
-    return m.join(w, same).select(
-        F.col("m.doc_id").alias("doc_id"),
-        keep_id.alias("keep_id"),
-        F.col("w.group_size").alias("group_size"),
-        F.col("m.doc_id").eqNullSafe(keep_id).alias("kept"),
-        F.col("m.sha").alias("text_sha256"),
-        F.col("m.points").alias("points"),
-        F.col("m.row_key").alias("row_key"),
-    )
+def _group_name() -> Column:
+    return F.when(F.col("collides"), F.concat("digest", F.lit(":"), "content")).otherwise(F.col("digest"))
+
+
+def _with_group(rows: DataFrame, collided: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(collided), "digest", "left").withColumn("grp", _group_name())
+
+
+def _is_best() -> Column:
+    return (F.col("points") == F.col("most")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row of each group of equal texts, with the columns of docs: of the rows with the winning id the longest, then the first.
+    """One row of each group of equal texts, with the columns of docs: the longest, then the one with the smallest id.
 
-    Rows are told apart by a key of their own, so rows without an id, with a repeated id or given twice are decided one by one.
+    Rows are decided one by one, whatever their ids: of several rows of that length and id (repeated rows, rows without
+    an id, an id that stands for several texts) the one stays whose text, then whose other columns as JSON sort first.
+    Rows that are equal in all columns leave one. Null text counts as empty. No column of docs can clash with a name of
+    this operator's own; an empty table gives an empty result.
     """
-    keyed = with_row_key(docs)
-    kept = _decided(keyed, id_col, text_col, salts, row_col="__row").where("kept")
-    first = kept.groupBy("text_sha256").agg(F.max(_pack(F.col("points"), F.col("row_key"))).alias("best"))
-    return keyed.join(first.select(_winner_id(F.col("best")).alias("__row")), "__row", "left_semi").select(*docs.columns)
+    rows, winners, collided, total = _combined(docs, id_col, text_col, salts)
+    others = [F.col("row")[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text_col]
+    order = F.struct(F.col("row")[text_col], F.to_json(F.struct(*others)))
+    first = lambda j: j.where(_is_best()).groupBy("grp").agg(F.min_by("row", order).alias("row"))
+    keyed = _with_group(rows, collided).select("row", "doc_id", "points", "grp")
+    return join_heavy(keyed, winners, ["grp"], "group_size", total, first).select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -6,6 +6,11 @@ and by the triangle inequality it can only link to fingerprints of those shards
 reaches; to those of them that come before its home it is sent as a visitor, so every pair meets exactly once. Inside a
 shard the same splitting goes on in numpy until blocks are small enough to compare outright. A shard returns a spanning
 forest of its links, never all pairs, and the forests' components are joined over all shards.
+
+`similar_documents` links texts whose shingles have a Jaccard similarity of 0.8 or more, which is checked exactly. Whole
+fingerprints of two such texts differ in ten bits of 64 on average, and a ball of that reach meets nearly every region
+of a tree (see README), so only the closest texts are found through the tree. For all others the fingerprints of small
+samples of a text are compared: PRINTS fingerprints a text, each of PRINT_SHINGLES shingles drawn by least hash.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kelpforge.llm._common import empty_if_null, settle, with_row_key
+from kelpforge.llm._common import ROW, empty_if_null, free_name, join_heavy, settle, with_row_key
 from kelpforge.llm.components import components
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 2
@@ -31,23 +36,33 @@ _BLOCK = 1 << 21
 _HASHES_AT_ONCE = 1 << 14
 
 
-def fingerprint(text: str | None) -> int:
-    """64 bits as a signed integer; bit b is set if it is in over half of the shingles' hashes. No words: 0."""
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """Hashes of all word shingles in order, some at a time; fewer words than width are one shingle, no words none."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # of bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    width = min(SHINGLE_WORDS, len(words))
+    width = min(width, len(words))
     starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
-    total = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for k in range(0, len(starts), _HASHES_AT_ONCE):
         cut = zip(starts[k : k + _HASHES_AT_ONCE].tolist(), ends[k : k + _HASHES_AT_ONCE].tolist(), strict=True)
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in cut], "<u8")
+        yield np.array([digest(joined[s:e], SEED) for s, e in cut], "<u8")
+
+
+def majority(parts: Iterator[np.ndarray]) -> int:
+    """64 bits as a signed integer; bit b is set if it is in over half of the hashes. No hashes: 0."""
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(starts), bitorder="little").view("<i8")[0])
+        n += len(hashes)
+    return int(np.packbits(total * 2 > n, bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None) -> int:
+    return majority(shingle_hashes(text, SHINGLE_WORDS))
 
 
 @F.pandas_udf(T.LongType())
@@ -216,28 +231,156 @@ def near_duplicates(
     component that has an id; repeated rows give a row each. An empty table gives an empty result. Only id and text are
     read, so other columns cannot clash.
     """
-    return _grouped(docs, id_col, text_col, max_bits, sample, shard_rows).select("doc_id", "fingerprint", "component_id")
+    prints = settle(docs.select(F.col(id_col).alias("doc_id"), _fingerprints(empty_if_null(F.col(text_col))).alias("fp")))
+    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members")))
+    named = _roots(nodes, max_bits, sample, shard_rows)
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+    named = join_heavy(named, least, ["root"], "prints", nodes.count()).select("fp", "members", "component_id")
+    shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
+    return join_heavy(prints, named, ["fp"], "members", prints.count()).select("doc_id", shown, "component_id")
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, max_bits: int, sample: int = SAMPLE, shard_rows: int | None = None, row_col: str | None = None) -> DataFrame:
-    """What near_duplicates returns, with the component's root and with row_col as row_key."""
-    row_key = F.col(row_col) if row_col else F.lit(None).cast("long")
-    prints = settle(docs.select(row_key.alias("row_key"), F.col(id_col).alias("doc_id"), _fingerprints(empty_if_null(F.col(text_col))).alias("fp")))
-    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+def _roots(nodes: DataFrame, max_bits: int, sample: int = SAMPLE, shard_rows: int | None = None) -> DataFrame:
+    """nodes (fp, ...) with root, the smallest fingerprint of fp's component."""
     roots = components(linked_fingerprints(nodes, max_bits, sample, shard_rows)).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return (
-        prints.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
-        .select("row_key", "root", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-    )
+    return nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+# Similarity of 0.8 and more
 
+SIMILAR_WORDS, SIMILARITY = 5, 0.8
+#: Two texts of similarity s share the fingerprint of one sample at least with probability 1 - (1 - s^PRINT_SHINGLES)^PRINTS: 0.9996 at 0.8.
+PRINTS, PRINT_SHINGLES = 20, 5
+#: Rows of a text's partners that one task compares with it, about.
+_PARTNERS = 4096
+#: Rows of a bucket that are compared with as many others in one piece.
+_PIECE = 512
+_RNG = np.random.default_rng(SEED)
+_FACTORS = _RNG.integers(0, 1 << 63, (PRINTS * PRINT_SHINGLES, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _RNG.integers(0, 1 << 63, (PRINTS * PRINT_SHINGLES, 1), dtype=np.uint64)
+_COLUMNS_AT_ONCE = 512
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each component, with the columns of docs: of the rows whose id names the component the first.
 
-    Rows are told apart by a key of their own, so rows without an id, with a repeated id or given twice are decided one by one.
+def shingle_set(text: str | None) -> np.ndarray:
+    """Distinct hashes of five words in a row, sorted; a text without words has one, the hash of nothing."""
+    parts = list(shingle_hashes(text, SIMILAR_WORDS)) or [np.array([xxhash.xxh64_intdigest(b"", SEED)], np.uint64)]
+    return np.unique(np.concatenate(parts))
+
+
+def sample_prints(hashes: np.ndarray) -> list[int]:
+    """Fingerprints of PRINTS samples; each shingle of a sample is the one whose hash a bijection of its own makes least."""
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), _COLUMNS_AT_ONCE):
+        np.minimum(least, (hashes[None, k : k + _COLUMNS_AT_ONCE] * _FACTORS + _SHIFTS).min(1), out=least)
+    bits = np.unpackbits(least.view(np.uint8).reshape(PRINTS, PRINT_SHINGLES, 8), axis=2, bitorder="little")
+    return np.packbits(bits.sum(1) * 2 > PRINT_SHINGLES, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
+
+
+_SKETCH = T.StructType([T.StructField("kind", T.StringType()), T.StructField("shingles", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType()))])
+
+
+@F.pandas_udf(_SKETCH)
+def _sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for part in texts:
+        rows = []
+        for text in part:
+            held = shingle_set(text)
+            rows.append((xxhash.xxh3_128_hexdigest(held.tobytes()), len(held), majority(iter([held])), sample_prints(held)))
+        yield pd.DataFrame(rows, columns=["kind", "shingles", "fp", "prints"])
+
+
+@F.pandas_udf(T.DoubleType())
+def _jaccard(own: pd.Series, other: pd.Series) -> pd.Series:
+    out, told, held = [], None, None
+    for a, b in zip(own, other, strict=True):
+        if held is None or b != told:
+            told, held = b, shingle_set(b)
+        mine = shingle_set(a)
+        both = len(np.intersect1d(mine, held, assume_unique=True))
+        out.append(both / (len(mine) + len(held) - both))
+    return pd.Series(out, dtype=float)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of similar texts. A text with many partners is dealt out as often as it has _PARTNERS of them."""
+    pairs = settle(pairs.distinct())
+    total = pairs.count()
+    often = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("deals", F.ceil(F.col("n") / _PARTNERS).cast("int"))
+    dealt = join_heavy(pairs, often, ["b"], "n", total).select("a", "b", F.pmod(F.xxhash64("a"), F.col("deals")).alias("deal"))
+    one = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
+    two = often.join(texts, often.b == texts.row).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals").cast("long") - 1)).alias("deal"), F.col("text").alias("text_b"))
+    return settle(dealt.join(one, "a").join(two, ["b", "deal"]).where(_jaccard("text_a", "text_b") >= similarity).select("a", "b"))
+
+
+def _stars(buckets: DataFrame) -> DataFrame:
+    """Pairs of each row of a bucket (bucket, row, n) with the least row of the bucket."""
+    heads = buckets.groupBy("bucket").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("size"))
+    both = join_heavy(buckets.select("bucket", "row"), heads, ["bucket"], "size", buckets.count())
+    return both.where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct()
+
+
+def _open_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of rows of a bucket (bucket, row, root, shingles) that are not joined yet and whose sizes allow for the similarity.
+
+    Only buckets with two roots or more are left. Each is cut into pieces of about _PIECE rows and every two pieces meet as a
+    join key of their own, so that no bucket is one task's work.
+    """
+    sizes = buckets.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
+    left = join_heavy(buckets, sizes, ["bucket"], "size", buckets.count())
+    left = settle(left.select("bucket", "row", "root", "shingles", F.ceil(F.col("size") / _PIECE).cast("int").alias("pieces")))
+    left = left.withColumn("piece", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int"))
+    x = left.select("bucket", F.col("row").alias("a"), F.col("root").alias("root_a"), F.col("shingles").alias("n_a"), F.col("piece").alias("p"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("q"))
+    y = left.select("bucket", F.col("row").alias("b"), F.col("root").alias("root_b"), F.col("shingles").alias("n_b"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p"), F.col("piece").alias("q"))
+    fit = (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+    return x.join(y, ["bucket", "p", "q"]).where(fit).select("a", "b")
+
+
+def similar_documents(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """row, root for rows (row, text) with a row key: root is the least row reachable over links of `similarity` or more.
+
+    Texts of equal shingle sets are one class, told by its least row. Classes of one component of the vantage-point tree,
+    and classes that share the fingerprint of a sample, are candidates. Each is first checked against the least row of its
+    candidates, twice, so that a dense group becomes one component without its square; after that only pairs of candidates
+    that are still in different components are checked.
+    """
+    texts = rows.select("row", empty_if_null(F.col("text")).alias("text"))
+    own = settle(texts.select("row", _sketches("text").alias("s")).select("row", "s.*"))
+    total = own.count()
+    classes = own.groupBy("kind").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"))
+    known = settle(join_heavy(own.select("row", "kind"), classes, ["kind"], "copies", total).select("row", "first"))
+    heads = settle(own.join(classes.select(F.col("first").alias("row")), "row").select("row", "shingles", "fp", "prints"))
+
+    fps = settle(heads.groupBy("fp").agg(F.count(F.lit(1)).alias("members")))
+    near = join_heavy(heads.select("row", "fp"), _roots(fps, MAX_BITS), ["fp"], "members", total).select(F.col("root").alias("bucket"), "row")
+    flat = heads.select("row", "shingles", F.explode("prints").alias("bucket"))
+    shared = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = settle(join_heavy(flat, shared, ["bucket"], "size", total * PRINTS).select("bucket", "row", "shingles"))
+
+    def rooted(part: DataFrame, links: DataFrame) -> DataFrame:
+        moved = components(links).select(F.col("a").alias("row"), F.col("b").alias("root"))
+        return settle(part.join(moved, "row", "left").withColumn("root", F.coalesce("root", "row")))
+
+    links = _verified(_stars(settle(near)).union(_stars(buckets)), texts, similarity)
+    left = rooted(buckets, links)
+    heads_left = left.groupBy("bucket").agg(F.min("root").alias("low"), F.count(F.lit(1)).alias("size"))
+    apart = settle(join_heavy(left, heads_left, ["bucket"], "size", left.count()).where("root <> low").select("bucket", "row"))
+    links = links.union(_verified(_stars(apart), texts, similarity))
+    links = links.union(_verified(_open_pairs(rooted(buckets, links), similarity), texts, similarity))
+    moved = components(links).select(F.col("a").alias("first"), F.col("b").alias("root"))
+    return known.join(moved, "first", "left").select("row", F.coalesce("root", "first").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of similar texts, with the columns of docs: the one with the smallest id, rows without an id last.
+
+    Rows are told apart by a key of their own, so rows without an id, with a repeated id or given twice are decided one by
+    one; of equal ids the row stays that comes first in the table as it is read. Null texts and texts without words are
+    similar to each other only. No column of docs can clash with a name of this operator's own; an empty table gives an
+    empty result.
     """
-    keyed = with_row_key(docs)
-    own = _grouped(keyed, id_col, text_col, max_bits, row_col="__row").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return keyed.join(own.groupBy("root").agg(F.min("row_key").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    name = free_name(docs, ROW)
+    keyed = with_row_key(docs, name)
+    rows = keyed.select(F.col(name).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    roots = settle(similar_documents(rows, similarity).join(rows.select("row", "id"), "row"))
+    first = roots.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias(name))
+    return keyed.join(first.select(name), name, "left_semi").select(*docs.columns)

@@ -31,3 +31,56 @@ def test_names_in_other_case_or_after_other_white_space(spark):
     assert found(spark, NAMES, wrapped, NAMES.lower(), NAMES.upper(), NAMES.title()) == dict.fromkeys(range(4), True)
     assert found(spark, NAMES.lower(), NAMES) == {0: True}
     assert found(spark, NAMES, NAMES.replace("Alice", "Eve").replace("Bob", "Finn")) == {0: False}
+
+
+SOLD = "Natalia sold clips to 48 of her friends in April, and then Natalia sold half as many clips in May. How many clips did Natalia sell in all?"
+
+
+def test_names_at_the_start_of_a_sentence_are_slots(spark):
+    asked = SOLD.replace("Natalia", "Bob").replace("48", "60").replace("April", "June").replace("May", "July")
+    mixed = asked.replace("did Bob", "did Carl").replace("then Bob", "then Dan")
+    other = "Natalia bought 48 clips. Her friends sold them in May, and then she went home to sleep for half of the day."
+    assert found(spark, SOLD, "Please answer this. " + asked, asked.replace("Bob", "Natalia"), other) == {0: False, 1: False}
+    assert 0 not in found(spark, SOLD, mixed)
+
+
+def test_short_items(spark):
+    """Inside longer texts word for word, as whole texts with other slots too; below three tokens as whole texts only."""
+    assert found(spark, "What is 2+2?", "So tell me: what is 2 + 2, please?", "What is 2 + 3 then?", "what is 7+7", "what is 7+8", "what was it") == {0: True, 2: False}
+    assert found(spark, "Paris", "We went to Paris once", "paris!", "London") == {1: True, 2: False}
+
+
+def test_tables_of_numbers_meet_no_item_by_themselves(spark):
+    table = " ".join(str(k) for k in range(3000))
+    item = "add 1 2 3 4 5 6 7 8 and tell which of them are odd numbers in this list"
+    assert found(spark, item, table, table + " " + item + " " + table, table.replace("7", "x")) == {1: True}
+
+
+def test_reparameterised_questions_planted_in_texts(spark):
+    """Of fifty items asked again with other names, numbers and units, inside other text, all are found and nothing else."""
+    import random
+
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(5))
+    name = lambda: word().capitalize()
+
+    def question(texts, n, m, a, b, unit):
+        return f"{a} has {n} {unit} of {texts[0]} and gives {m} {unit} of it to {b}. {' '.join(texts[1:])} How much does {a} have after {b} went home?"
+
+    shapes = [[word() for _ in range(12)] for _ in range(50)]
+    fill = lambda: (draw.randint(2, 99), draw.randint(100, 999), name(), name(), draw.choice(["km", "kg", "litres"]))
+    items = [(k, question(t, *fill())) for k, t in enumerate(shapes)]
+    docs = [(k, " ".join(word() for _ in range(30)) + ". " + question(t, *fill()) + " " + " ".join(word() for _ in range(30))) for k, t in enumerate(shapes)]
+    docs += [(100 + k, question([word() for _ in range(12)], *fill())) for k in range(50)]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(50)}
+
+
+def test_clashing_names_nulls_and_long_texts(spark):
+    docs = spark.createDataFrame([(None, SOLD), (1, None), (1, ""), (2, "word " * 200_000 + SOLD)], "doc_id long, text string")
+    for name in ("__row", "__held", "key", "hash", "item", "at"):
+        docs = docs.selectExpr("*", f"1 AS {name}")
+    items = spark.createDataFrame([(None, SOLD), (3, SOLD), (3, None)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == {(None, None), (None, 3), (2, None), (2, 3)}
+    kept = decontaminate.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and [r.text for r in kept.collect()] in ([None, ""], ["", None])

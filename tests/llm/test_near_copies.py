@@ -3,7 +3,7 @@
 import collections
 
 import corpus_pipeline
-from kelpforge.llm import exact_dedup, near_copies
+from kelpforge.llm import exact_dedup, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -50,9 +50,9 @@ def test_stage_drops_three_word_edits_and_keeps_the_rest(spark):
     edited = [f"x{k}" if k in (20, 120, 220) else w for k, w in enumerate(words)]
     other = words[:124] + [f"y{k}" for k in range(124)]
     docs = spark.createDataFrame([(5, " ".join(edited)), (3, " ".join(words)), (4, " ".join(other)), (None, None), (6, "a b"), (None, " ".join(words)), (7, "a c")], SCHEMA)
-    kept = near_copies.drop_near_copies(docs).collect()
+    kept = simhash.drop_near_duplicates(docs).collect()
     assert collections.Counter(r.doc_id for r in kept) == {3: 1, 4: 1, None: 1, 6: 1, 7: 1}
-    assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
 def test_dense_group_leaves_one(spark):
@@ -60,4 +60,24 @@ def test_dense_group_leaves_one(spark):
     base = [f"w{k}" for k in range(300)]
     rows = [(k, " ".join(f"e{k}" if j == k else w for j, w in enumerate(base))) for k in range(40)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    assert [r.doc_id for r in near_copies.drop_near_copies(docs).collect()] == [0]
+    assert [r.doc_id for r in simhash.drop_near_duplicates(docs).collect()] == [0]
+
+
+def test_links_reach_over_rows_that_are_lost(spark):
+    """a-b and b-c are similar, a-c isn't: all three are one group, also where b is no one's least partner."""
+    base = [f"w{k}" for k in range(200)]
+    edit = lambda n, c: " ".join(f"{c}{j}" if j in n else w for j, w in enumerate(base))
+    a, b, c = edit((), "x"), edit((20, 60, 100), "x"), edit((20, 60, 100, 140, 160, 180), "x")
+    rows = [(1, a), (3, b), (2, c), (9, " ".join(base[::-1]))]
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()) == [1, 9]
+
+
+def test_buckets_of_unlike_rows_and_clashing_names(spark):
+    """Texts that share two thirds of their shingles with all others are compared in pieces and all stay."""
+    base = [f"w{k}" for k in range(100)]
+    rows = [(k, " ".join(base + [f"e{k}_{j}" for j in range(40)])) for k in range(30)] + [(99, " ".join(base + [f"e7_{j}" for j in range(38)]))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name in ("__row", "__row_", "row", "root", "bucket"):
+        docs = docs.selectExpr("*", f"1 AS {name}")
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(30))

@@ -5,7 +5,8 @@ import re
 
 import corpus_pipeline
 from kelpforge.llm import language_id
-from tests.llm.test_operators import plain_components, plain_contaminated, plain_fingerprint
+from tests.llm.test_near_copies import plain_lost
+from tests.llm.test_operators import plain_contaminated
 
 
 def test_stages_keep_what_they_should(spark, tmp_path):
@@ -25,8 +26,8 @@ def test_stages_keep_what_they_should(spark, tmp_path):
     for d, t in texts[1].items():
         groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), d))
     assert set(texts[2]) == {min(m)[1] for m in groups.values()}
-    parts = plain_components([(d, plain_fingerprint(t)) for d, t in texts[2].items()])
-    assert set(texts[3]) == {d for (d, _), c in parts.items() if d == c}
+    lost = plain_lost(list(texts[2].items()))
+    assert set(texts[3]) == set(texts[2]) - lost and lost
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     leaks = {d for d, _ in plain_contaminated(texts[3].items(), items)}
     assert set(texts[4]) == set(texts[3]) - leaks and leaks
