@@ -27,7 +27,9 @@ SAMPLE_PER_LANGUAGE = 4000
 SMOOTHING = 0.2
 HELD_OUT = (4, 2)
 ROUNDS = 20
-_WORD = re.compile(r"[^\W\d_]+")
+#: Numerals such as fractions and circled digits, which count as word characters in expressions but aren't letters.
+_NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 #: Words whose likelihoods a worker keeps; they are worked out again after that many, so memory is bounded.
 _CACHED_WORDS = 400_000
 _TEXTS_AT_ONCE = 100
@@ -148,11 +150,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     own = own.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), *HELD_OUT))
     sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
-    whole = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1_000_000, per_language * 1_000_000 // n)))) if sizes else None
+    whole = F.create_map(*(F.lit(x) for x in sum(sizes.items(), ()))) if sizes else None
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32))
-    taken = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < whole[F.col("lang")]).select("lang", empty_if_null(F.col("text")).alias("text"))
+    taken = own.where(F.pmod(F.xxhash64("doc_id"), whole[F.col("lang")].cast("long")) < per_language).select("lang", empty_if_null(F.col("text")).alias("text"))
     counted = taken.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros((BUCKETS, len(languages)))
     n[counted["bucket"].to_numpy(int), [languages.index(x) for x in counted["lang"]]] = counted["n"].to_numpy(float)
@@ -185,7 +187,11 @@ def identify(docs: DataFrame, model: LanguageModel | None = None, id_col: str =
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.34, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs in which one learned language has at least least_score of the words, with their columns."""
+    """The rows of docs in which one learned language has at least least_score of the words, with their columns.
+
+    Rows are decided by their text alone: null and empty texts and texts without a letter go, repeated rows and rows
+    without an id are decided alike. Columns of docs cannot clash, for none is added; an empty table gives an empty result.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col))
 
     @F.pandas_udf("boolean")

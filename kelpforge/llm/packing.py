@@ -24,7 +24,8 @@ from kelpforge.llm._common import WHITE_SPACE, empty_if_null, settle
 CAPACITY = 2048
 #: Documents in a shard, about. More shards are made as the table grows; no document is left out.
 SHARD_DOCUMENTS = 4096
-PACKED = "doc_id long, piece int, start_word long, n_words long, bin_id long, bin_offset int"
+#: Equal rows that go to one shard together, at most.
+_COPIES = 256
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -103,7 +104,7 @@ def pack(
     cluster: Column | None = None,
     shard_documents: int = SHARD_DOCUMENTS,
 ) -> DataFrame:
-    """doc_id, piece, start_word, n_words, bin_id, bin_offset: a row per piece, lengths and offsets in words.
+    """doc_id, piece, start_word, n_words, bin_id, bin_offset: a row per piece, lengths and offsets in words; ids of any type.
 
     Every word of every row is in exactly one piece. A text without words (null, empty, white space) gives one piece of
     0 words in no bin. A null source or cluster conflicts with nothing. cluster is a column of docs' rows; by default
@@ -111,33 +112,44 @@ def pack(
     they never meet in a bin. An empty table gives an empty result. Bin ids are unique over all shards.
     """
     n_words = word_count(F.col(text_col))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    numbers = id_type in ("tinyint", "smallint", "int", "bigint")
     narrow = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(id_col).cast("string").alias("doc_id"),
         n_words.alias("n_words"),
         (F.col(source_col).cast("string") if source_col else F.lit(None).cast("string")).alias("source"),
-        F.when(n_words > 0, text_cluster(F.col(text_col)) if cluster is None else cluster).alias("cluster"),
+        F.when(n_words > 0, text_cluster(F.col(text_col)) if cluster is None else cluster).cast("string").alias("cluster"),
     )
-    narrow = settle(narrow)
-    shards = max(1, -(-narrow.count() // shard_documents))
+    # Rows that are equal in all this are counted before they move, and then dealt over the shards by _COPIES.
+    narrow = settle(narrow.groupBy("doc_id", "n_words", "source", "cluster").agg(F.count(F.lit(1)).alias("copies")))
+    shards = max(1, -(-(narrow.agg(F.sum("copies")).first()[0] or 0) // shard_documents))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("copies") - 1).cast("long"), F.lit(_COPIES).cast("long")))
+    narrow = narrow.withColumn("block", block).withColumn("copies", F.least(F.col("copies") - F.col("block"), F.lit(_COPIES).cast("long")))
 
     def pack_shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ids = [None if pd.isna(i) else int(i) for i in rows["doc_id"]]
-        sources = [None if s is None or pd.isna(s) else s for s in rows["source"]]
-        clusters = [None if pd.isna(c) else int(c) for c in rows["cluster"]]
-        order = [(i is not None, i or 0, c or 0) for i, c in zip(ids, clusters, strict=True)]
-        packed = pack_rows(list(zip(order, ids, map(int, rows["n_words"]), sources, clusters, strict=True)), capacity)
+        told = []
+        for doc_id, n, source, group, copies, first in zip(*(rows[c] for c in ("doc_id", "n_words", "source", "cluster", "copies", "block")), strict=True):
+            at = None if doc_id is None or pd.isna(doc_id) else int(doc_id) if numbers else doc_id
+            group = None if group is None or pd.isna(group) else group
+            order = (at is not None, at if at is not None else 0 if numbers else "", group or "", first)
+            told += [(order, at, int(n), None if source is None or pd.isna(source) else source, group)] * int(copies)
+        packed = pack_rows(told, capacity)
         frame = pd.DataFrame(packed, columns=["doc_id", "piece", "start_word", "n_words", "bin", "bin_offset"], dtype=object)
+        frame["doc_id"] = [None if i is None else str(i) for i in frame["doc_id"]]
         frame["bin_id"] = [None if b is None else (int(key[0]) << 32) + b for b in frame["bin"]]
-        return frame.astype({"doc_id": "Int64", "piece": "int32", "start_word": "int64", "n_words": "int64", "bin_id": "Int64", "bin_offset": "Int32"})[
+        return frame.astype({"piece": "int32", "start_word": "int64", "n_words": "int64", "bin_id": "Int64", "bin_offset": "Int32"})[
             ["doc_id", "piece", "start_word", "n_words", "bin_id", "bin_offset"]
         ]
 
-    shard = F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("int")
-    # A cluster id is 64 bits, which pandas cannot hold beside nulls in a float column: it travels as text.
-    return (
-        narrow.withColumn("cluster", F.col("cluster").cast("string")).withColumn("doc_id", F.col("doc_id").cast("string"))
-        .groupBy(shard.alias("shard")).applyInPandas(pack_shard, PACKED)
-    )
+    shard = F.pmod(F.xxhash64("doc_id", "cluster", "block"), F.lit(shards)).cast("int")
+    packed = narrow.groupBy(shard.alias("shard")).applyInPandas(pack_shard, "doc_id string, piece int, start_word long, n_words long, bin_id long, bin_offset int")
+    return packed.withColumn("doc_id", F.col("doc_id").cast(id_type))
+
+
+def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """bins, words, share: how full the bins are; share is null without bins."""
+    held = packed.where("bin_id IS NOT NULL").agg(F.countDistinct("bin_id").alias("bins"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"))
+    return held.select("bins", "words", F.try_divide(F.col("words"), F.col("bins") * capacity).alias("share"))
 
 
 def bin_texts(docs: DataFrame, packed: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n\n") -> DataFrame:

@@ -15,17 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kelpforge.llm._common import empty_if_null, held_out
+from kelpforge.llm._common import empty_if_null, held_out, settle
 from kelpforge.llm._grams import hashed_grams
 
 BUCKETS, DIM = 1 << 17, 16
 GRAM_LEAST, GRAM_MOST = 2, 4
 #: Labelled rows that the model is fitted on at most, by hash order of the id.
-SAMPLE = 2500
+SAMPLE = 4000
+#: Features that those rows have together at most: where very long texts have more, fewer rows are taken, in that order.
+SAMPLE_FEATURES = 12_000_000
 EPOCHS, RATE, SEED = 6, 0.5, 42
 HELD_OUT = (4, 2)
 _REPEATED = "\x00repeated"
@@ -91,8 +93,22 @@ class QualityModel:
         return out
 
 
+def gradients(part: np.ndarray, vectors: np.ndarray, out: np.ndarray, bias: np.ndarray, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the loss -log p(label) by vectors (those of a document's features), out and bias; part is each feature's share of the document."""
+    hidden = part @ vectors
+    z = out @ hidden + bias
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    p[label] -= 1
+    return part[:, None] * (out.T @ p)[None, :], np.outer(p, hidden), p
+
+
 def fit(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE) -> QualityModel:
-    """Softmax over averaged vectors by stochastic gradient descent; one class or no rows give the share of class 1."""
+    """Softmax over averaged vectors by stochastic gradient descent; one class or no rows give the share of class 1.
+
+    Steps are preconditioned by a fixed positive diagonal: a feature of share s of a document moves by 1 / sqrt(s) of its
+    gradient, so that rare features learn as well, and the bias by a tenth of its own.
+    """
     share = (labels.sum() + 1) / (len(labels) + 2)
     if len(set(labels.tolist())) < 2:
         return QualityModel(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
@@ -106,17 +122,10 @@ def fit(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoc
             lr = rate * (1 - done / steps)
             done += 1
             part = n / max(n.sum(), 1)
-            hidden = part @ vectors[at] if len(at) else np.zeros(DIM, np.float32)
-            z = out @ hidden + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[labels[k]] -= 1
-            back = out.T @ p
-            out -= lr * np.outer(p, hidden)
-            bias -= lr * p * 0.1
-            if len(at):
-                # Each vector moves by its share of the average, raised so that rare features learn as well.
-                vectors[at] -= (lr * np.sqrt(part))[:, None] * back[None, :]
+            by_vectors, by_out, by_bias = gradients(part, vectors[at], out, bias, labels[k])
+            out -= lr * by_out
+            bias -= lr * 0.1 * by_bias
+            vectors[at] -= lr / np.sqrt(part)[:, None] * by_vectors
     return QualityModel(vectors @ (out[1] - out[0]), float(bias[1] - bias[0]))
 
 
@@ -135,18 +144,25 @@ def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, remainder: int, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, label of at most `rows` labelled documents that may be learned from, in hash order of the id.
 
-    Their ids are broadcast, which `rows` bounds. Of several labels of one id the greatest counts.
+    Their ids are broadcast, which `rows` bounds. Of several labels of one id the greatest counts, of several texts of one
+    id the one whose hash is least.
     """
     told = labels.select(F.col("doc_id").alias("labelled"), F.col(label).cast("int").alias("label")).where("labelled IS NOT NULL AND label IN (0, 1)")
     told = told.where(~held_out(F.col("labelled"), divisor, remainder)).groupBy("labelled").agg(F.max("label").alias("label"))
     chosen = told.orderBy(F.xxhash64("labelled"), "labelled").limit(rows)
     own = docs.select(F.col(id_col).alias("doc_id"), empty_if_null(F.col(text_col)).alias("text"))
-    return own.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "label")
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    found = labelled_sample(docs, labels, "quality", *HELD_OUT, sample).select("doc_id", _features("text").alias("f"), "label")
-    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["f"]))
+    found = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("least"))
+    return one.select("doc_id", "least.text", "least.label")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_features: int = SAMPLE_FEATURES) -> QualityModel:
+    """Fitted on the driver, which gets `sample` rows and about `most_features` features at most."""
+    found = settle(labelled_sample(docs, labels, "quality", *HELD_OUT, sample).select("doc_id", _features("text").alias("f"), "label"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # of `sample` narrow rows at most
+    sizes = found.select("doc_id", F.sum(F.octet_length("f") / 8).over(order).alias("so_far"), F.row_number().over(order).alias("nth"))
+    kept = found.join(F.broadcast(sizes.where((F.col("so_far") <= most_features) | (F.col("nth") == 1))), "doc_id")
+    rows = sorted(kept.collect(), key=lambda r: (r["doc_id"], r["f"]))
     documents = [_unpacked(bytes(r["f"])) for r in rows]
     return fit(documents, np.array([r["label"] for r in rows], int))
 

@@ -478,3 +478,66 @@ def test_reparameterised_questions(spark):
     assert decontaminate.contaminated(docs.limit(0), items).count() == decontaminate.contaminated(docs, items.limit(0)).count() == 0
     kept = decontaminate.drop_contaminated(docs, items)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "5", "6"]
+
+
+# Models against plain versions
+
+
+def test_softmax_gradient_is_the_numerical_one():
+    rng = np.random.default_rng(4)
+    part, vectors, out, bias = rng.dirichlet(np.ones(5)), rng.normal(size=(5, 3)), rng.normal(size=(2, 3)), rng.normal(size=2)
+
+    def loss():
+        z = out @ (part @ vectors) + bias
+        return float(np.log(np.exp(z).sum()) - z[1])
+
+    for told, values in zip(quality.gradients(part, vectors, out, bias, 1), (vectors, out, bias), strict=True):
+        for at in np.ndindex(values.shape):
+            kept = values[at]
+            values[at] = kept + 1e-6
+            above = loss()
+            values[at] = kept - 1e-6
+            below = loss()
+            values[at] = kept
+            assert abs(told[at] - (above - below) / 2e-6) < 1e-6
+
+
+def test_labelled_sample_is_bounded_by_rows(spark):
+    docs = documents(spark, [(k % 30, f"t{k}") for k in range(3000)])
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(30)], LABELS)
+    assert quality.labelled_sample(docs, labels, "quality", 4, 2, 10).count() == 10
+
+
+def test_mixture_against_plain_em():
+    rng = np.random.default_rng(6)
+    ll, times = np.log(rng.dirichlet(np.ones(3), 40)), rng.integers(1, 5, 40).astype(float)
+    weights = [1 / 3] * 3
+    for _ in range(language_id.ROUNDS):
+        sums = [0.0] * 3
+        for row, n in zip(np.exp(ll), times, strict=True):
+            mixed = sum(w * p for w, p in zip(weights, row, strict=True))
+            for j in range(3):
+                sums[j] += n * weights[j] * row[j] / mixed
+        after = [x / times.sum() for x in sums]
+        done = max(abs(a - b) for a, b in zip(after, weights, strict=True)) < 1e-4
+        weights = after
+        if done:
+            break
+    got, fit = language_id._mix(ll, times)
+    assert np.allclose(got, weights, atol=1e-9)
+    assert abs(fit - sum(n * np.log(sum(w * p for w, p in zip(weights, row, strict=True))) for row, n in zip(np.exp(ll), times, strict=True))) < 1e-6
+
+
+def test_numerals_are_no_letters():
+    model = language_id.LanguageModel(["xx"], np.zeros((language_id.BUCKETS, 1), np.float32))
+    assert [model.predict(t)[0] for t in ("½ ² ①", "١٢", "a½", "Ⅷ", "ª")] == ["und", "und", "xx", "und", "xx"]
+
+
+def test_packing_takes_text_ids_and_repeated_rows(spark):
+    docs = spark.createDataFrame([("a", "x y z", "s")] * 700 + [("b", "u", None)], "doc_id string, text string, source string")
+    packed = packing.pack(docs, capacity=10, shard_documents=100)
+    rows = packed.collect()
+    assert collections.Counter(r.doc_id for r in rows) == {"a": 700, "b": 1}
+    assert len({r.bin_id for r in rows if r.doc_id == "a"}) == 700
+    told = packing.fill(packed, 10).first()
+    assert told.words == 2101 and 0 < told.share <= 1
