@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"
-PHONE = r"\+?[0-9][0-9 ().-]{6,}[0-9]"
+#: What is scrubbed. Letters and digits of any script count, and so does any white space.
+_SPACE = r"\t-\r\x1C-\x20\x{85}\p{Z}"
+EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
+PHONE = rf"\+?\p{{Nd}}[\p{{Nd}}{_SPACE}().-]{{7,}}\p{{Nd}}"
 SPELLED = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10}
 
 
@@ -29,50 +31,42 @@ def skill_tokens(text: Column) -> Column:
     return F.transform(found, lambda t: F.rtrim(t, F.lit(".-+#")))
 
 
-def collapse_whitespace(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+@F.pandas_udf(T.StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.str.casefold()
 
 
-def casefold(text: Column) -> Column:
-    return F.lower(text)
-
-
-def _canonical_json_text(text: str | None) -> str | None:
-    import json
-
-    if text is None:
-        return None
+def _sorted_json(text: str | None) -> str | None:
+    """JSON with sorted keys and no blanks, characters as they are; None for what is no JSON."""
     try:
-        return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"))
+        return text and json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     except ValueError:
-        return " ".join(text.split())
-
-
-def canonical_json(text: Column) -> Column:
-    """JSON with sorted keys and no blanks; other texts with white space collapsed."""
-
-    @F.pandas_udf(T.StringType())
-    def canonical(texts: pd.Series) -> pd.Series:
-        return texts.map(_canonical_json_text)
-
-    return canonical(text)
-
-
-NORMALISERS: dict[str, Callable[[Column], Column]] = {
-    "identity": lambda c: c,
-    "whitespace": collapse_whitespace,
-    "casefold": lambda c: casefold(collapse_whitespace(c)),
-    "json": canonical_json,
-}
-
+        return None
 
-def chain(*steps: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    def run(c: Column) -> Column:
-        for step in steps:
-            c = step(c)
-        return c
 
-    return run
+@F.pandas_udf(T.StringType())
+def _json(texts: pd.Series) -> pd.Series:
+    return texts.map(_sorted_json)
+
+
+def normalise(value: Column, steps: str = "") -> Column:
+    """value after the named steps in order, separated by blanks; no step leaves it as it is, null stays null.
+
+    space: runs of white space become one blank, none at the ends. case: case folding, for which Spark has no function, after
+    space. json: sorted keys without blanks; what is no JSON has its white space collapsed.
+    """
+    for step in steps.split():
+        spaced = F.btrim(F.regexp_replace(value, f"[{_SPACE}]+", " "))
+        match step:
+            case "space":
+                value = spaced
+            case "case":
+                value = _folded(spaced)
+            case "json":
+                value = F.coalesce(_json(value), spaced)
+            case _:
+                raise ValueError(f"no such step: {step}")
+    return value
 
 
 def signals(brief: Column) -> Column:

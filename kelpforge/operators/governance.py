@@ -183,8 +183,9 @@ def rebuild_runs(runs: DataFrame, steps: DataFrame, definition: DataFrame) -> Da
 
 # Registry: events (name, version, seq, stage, actor, reason)
 
+#: The stage after each stage.
 EDGES = {
-    "DRAFT": ("SHADOW", "ARCHIVED"), "SHADOW": ("CANARY", "ROLLED_BACK", "ARCHIVED"), "CANARY": ("LIVE", "ROLLED_BACK", "ARCHIVED"),
+    "DRAFT": ("SHADOW", "ARCHIVED"), "SHADOW": ("CANARY", "ARCHIVED", "ROLLED_BACK"), "CANARY": ("LIVE", "ROLLED_BACK"),
     "LIVE": ("ROLLED_BACK", "ARCHIVED"), "ROLLED_BACK": ("ARCHIVED",), "ARCHIVED": (),
 }
 

@@ -463,18 +463,10 @@ def knn_cells_recall(spark, sf_dir):
     return retrieval.recall_against(retrieval.cell_neighbours(queries, corpus, 10, 16, 10), retrieval.exact_neighbours(queries, corpus, 10))
 
 
-@query(f"""WITH {_VECTORS}, m AS (SELECT * FROM u WHERE vec_id < 200), p AS (SELECT a.label, avg(1 - list_dot_product(a.v, b.v)) AS d FROM m a JOIN m b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1)
-SELECT l.label, round(coalesce(d, 0), 6) AS diversity FROM (SELECT DISTINCT label FROM m) l LEFT JOIN p USING (label)""")
-def list_diversity(spark, sf_dir):
-    """A list is a served page; the first 200 vectors by id, ten lists of about twenty, stand for pages."""
-    m = table(spark, sf_dir, "embeddings").where("vec_id < 200")
-    return ranking.intra_list_diversity(m, "label", "vec_id", "embedding").withColumn("diversity", r6("diversity"))
-
-
 @query(f"""WITH {_VECTORS}, m AS (SELECT *, label || ':' || (vec_id // 200) AS page FROM u), p AS (SELECT a.page, avg(1 - list_dot_product(a.v, b.v)) AS d FROM m a JOIN m b ON a.page = b.page AND a.vec_id < b.vec_id GROUP BY 1)
 SELECT l.page, round(coalesce(d, 0), 6) AS diversity FROM (SELECT DISTINCT page FROM m) l LEFT JOIN p USING (page)""")
-def page_diversity(spark, sf_dir):
-    """list_diversity over the whole table: the vectors of a label are dealt into pages by blocks of 200 ids."""
+def list_diversity(spark, sf_dir):
+    """A list is a served page: the vectors of a label are dealt into pages by blocks of 200 ids."""
     m = table(spark, sf_dir, "embeddings").withColumn("page", F.expr("concat(label, ':', vec_id div 200)"))
     return ranking.intra_list_diversity(m, "page", "vec_id", "embedding").withColumn("diversity", r6("diversity"))
 

@@ -50,10 +50,9 @@ def missing_context(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_sort(governance.missing_context(needed, context)), ",").alias("missing"))
 
 
-@query("SELECT doc_id, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS normalised FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, sha256(replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss')) AS normalised FROM documents")
 def text_normaliser(spark, sf_dir):
-    chosen = text.chain(text.NORMALISERS["whitespace"], text.NORMALISERS["casefold"])
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.sha2(chosen(F.col("text")), 256).alias("normalised"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalise(F.col("text"), "space case"), 256).alias("normalised"))
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN date_part('us', ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || '+00:00' AS at FROM events")
@@ -170,15 +169,9 @@ def evaluation_summary(spark, sf_dir):
     return ranking.evaluation_summary(table(spark, sf_dir, "events").select("event_id", (1 + F.col("event_id") % 37).alias("rank")), "rank", 10, 500)
 
 
-@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE vec_id < 60) SELECT a.label, a.vec_id AS item_a, b.vec_id AS item_b, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS similarity FROM e a JOIN e b USING (label)""")
-def page_gram_matrix(spark, sf_dir):
-    """Pages are short lists: the first 60 vectors by id stand for ten of them."""
-    return ranking.gram(table(spark, sf_dir, "embeddings").where("vec_id < 60"), "label", "vec_id", "embedding").withColumn("similarity", r6("similarity"))
-
-
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label || ':' || (vec_id // 60) AS page FROM embeddings) SELECT a.page, a.vec_id AS item_a, b.vec_id AS item_b, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 6) AS similarity FROM e a JOIN e b USING (page)""")
-def all_pages_gram_matrix(spark, sf_dir):
-    """page_gram_matrix over the whole table: the vectors of a label are dealt into pages by blocks of 60 ids."""
+def page_gram_matrix(spark, sf_dir):
+    """The vectors of a label are dealt into pages by blocks of 60 ids."""
     m = table(spark, sf_dir, "embeddings").withColumn("page", F.expr("concat(label, ':', vec_id div 60)"))
     return ranking.gram(m, "page", "vec_id", "embedding").withColumn("similarity", r6("similarity"))
 

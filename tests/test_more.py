@@ -65,8 +65,13 @@ def test_text_and_sentiment_parts(spark):
     report = spark.createDataFrame([("g", False, 0.5, "pay", -0.5), ("g", False, 0.5, "lead", 0.2), ("h", False, -0.2, "pay", -0.9), ("k", True, None, None, None)], "grp string, suppressed boolean, overall double, aspect string, score double")
     assert [(r.grp, r.aspect) for r in sentiment.concerns(report).collect()] == [("g", "pay"), ("h", "pay")]
     assert tuple(sentiment.extremes(report).first()) == ("h", "g")
-    clean = text.NORMALISERS["casefold"](F.lit("  A \n b "))
-    assert one(spark, clean)[0] == "a b"
+    assert one(spark, text.normalise(F.lit("  A \n\u00a0b Stra\u00dfe"), "case"))[0] == "a b strasse"
+    assert one(spark, text.normalise(F.lit(" A "), ""))[0] == " A " and one(spark, text.normalise(F.lit(None).cast("string"), "json case"))[0] is None
+    assert one(spark, text.scrub(F.lit("j\u00f6rg@x.de or +49 (30) 1234-567, not 12345678")))[0] == "[email] or [phone], not 12345678"
+    told = privacy.Policy("sixteen-byte-salt", 2024)
+    for column in ("sex", "race", "first_name", "last_name", "passport_number"):
+        with pytest.raises(ValueError):
+            privacy.assert_clean([column], told)
     df = spark.createDataFrame([("mail a@b.org", "x")], "summary string, notes string")
     assert privacy.scrub_changes(df, ["summary", "notes"]).first().asDict() == {"summary": True, "notes": False}
     with pytest.raises(ValueError):

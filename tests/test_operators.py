@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -247,7 +248,31 @@ def test_diversity_and_rerank(spark):
     explored = ranking.rerank(pool, 5, 0.5, explore=0.2).orderBy("position").collect()
     assert explored[-1].reason.startswith("explored") and explored == ranking.rerank(pool, 5, 0.5, explore=0.2).orderBy("position").collect()
     s = np.array([0.3, 0.9, 0.5])
-    assert ranking.greedy_diversity(s, np.eye(3), 2, 1.0) == [1, 2] and ranking.greedy_diversity(s, np.eye(3), 0, 1.0) == []
+    assert ranking.marginal_relevance(s, np.eye(3), 2, 1.0) == [1, 2] and ranking.marginal_relevance(s, np.eye(3), 0, 1.0) == []
+    assert ranking.marginal_relevance(np.zeros(0), np.zeros((0, 0)), 3, 0.5) == []
+
+
+def test_marginal_relevance_against_its_formula():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        n = int(rng.integers(1, 9))
+        scores, m = rng.random(n).round(1), rng.random((n, n)).round(1)
+        m, trade, got = (m + m.T) / 2, float(rng.random()), []
+        while len(got) < min(5, n):
+            worth = {i: (trade * scores[i] - (1 - trade) * max(m[i, j] for j in got) if got else scores[i]) for i in range(n) if i not in got}
+            got.append(next(i for i in worth if worth[i] == max(worth.values())))
+        assert ranking.marginal_relevance(scores, m, 5, trade) == got
+
+
+def test_exploration_takes_each_topics_best_rows_in_turn(spark):
+    reserve = pd.DataFrame({"item_id": list("abcd"), "score": [4.0, 3.0, 2.0, 1.0], "topic": ["x", "y", "x", "x"]})
+    got = ranking._explored(reserve, 4, {"x": (1e6, 1.0), "y": (1.0, 1e6)}, [1])
+    assert list(zip(got["slot"], got["item_id"], strict=True)) == [(0, "a"), (1, "c"), (2, "d")]
+
+
+def test_list_diversity_of_equal_vectors(spark):
+    rows = [("r", f"i{k}", 1.0 - k / 100, "t" + str(k % 2), [1.0, float(k % 2)] if k != 3 else None) for k in range(8)]
+    pool = spark.createDataFrame(rows, "request_id string, item_id string, score double, topic string, vector array<double>")
     d = ranking.intra_list_diversity(pool.where("item_id IN ('i0', 'i2')"), "request_id", "item_id", "vector").first()
     assert abs(d.diversity) < 1e-12
 
@@ -342,9 +367,9 @@ def test_screening(spark):
 def test_text_functions(spark):
     row = spark.range(1).select(
         text.required_years(F.lit("role_requirement: 3+ years of x")).alias("a"), text.required_years(F.lit("role_requirement: none")).alias("b"), text.skill_tokens(F.lit("C++, node.js and spark-sql.")).alias("c"),
-        text.canonical_json(F.lit('{"b": 1, "a": [1,  2]}')).alias("d"), text.canonical_json(F.lit("no  json")).alias("e"), text.spreadsheet_safe(F.lit("=1+1")).alias("f"), text.signals(F.lit("x: 1\ny: 0.5\nx: 2")).alias("g"),
+        text.normalise(F.lit('{"b": "é", "a": [1,  2]}'), "json").alias("d"), text.normalise(F.lit("no  json"), "json").alias("e"), text.spreadsheet_safe(F.lit("=1+1")).alias("f"), text.signals(F.lit("x: 1\ny: 0.5\nx: 2")).alias("g"),
     ).first()
-    assert (row.a, row.b, row.c, row.d, row.e, row.f, row.g) == (3.0, None, ["c", "node.js", "and", "spark-sql"], '{"a":[1,2],"b":1}', "no json", "'=1+1", {"x": 2.0, "y": 0.5})
+    assert (row.a, row.b, row.c, row.d, row.e, row.f, row.g) == (3.0, None, ["c", "node.js", "and", "spark-sql"], '{"a":[1,2],"b":"é"}', "no json", "'=1+1", {"x": 2.0, "y": 0.5})
 
 
 @given(st.text(max_size=40), st.binary(min_size=1, max_size=90))
