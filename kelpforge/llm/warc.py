@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections import Counter
@@ -17,11 +18,12 @@ from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpforge.llm._common import empty_if_null, ensure_checkpoint_dir
+from kelpforge.llm._common import empty_if_null, ensure_checkpoint_dir, join_heavy, settle
 
 CHUNK_BYTES = 1 << 18
 #: Payloads below this length are never told by reference.
@@ -31,24 +33,37 @@ _BATCH_BYTES = 4 << 20
 CHUNKS = "record_id string, chunk_no int, last boolean, head binary, data binary, running_sha256 string"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
 _CHUNK_SCHEMA = pa.schema([("record_id", pa.string()), ("chunk_no", pa.int32()), ("last", pa.bool_()), ("head", pa.binary()), ("data", pa.binary()), ("running_sha256", pa.string())])
+_FILE_SCHEMA = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 _RECORD_SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("intact", pa.bool_())])
 
 
-def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, html, digest, size, refers_to: which record of equal payloads of `least` bytes is the response.
+def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
+    """page_id, digest, refers_to of pages (page_id, html) whose payload of `least` bytes or more is that of a smaller page_id.
 
-    Digests and smallest ids move without payloads; a payload that many pages share is one row per task before it moves.
+    Only digests and ids move; a payload that a good share of all pages has stays where it lies.
     """
-    html = empty_if_null(F.col(html_col))
-    read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"))
-    told = read.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size"))
-    first = told.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
-    again = (
-        told.where(F.col("size") >= least).join(first, "digest").where(F.col("page_id") > F.col("first"))
-        .select(F.col("page_id").alias("again"), F.col("digest").alias("again_digest"), F.col("first").alias("refers_to")).distinct()
-    )
-    rows = read.withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html").cast("long"))
-    return rows.join(again, (rows.page_id == again.again) & (rows.digest == again.again_digest), "left").drop("again", "again_digest")
+    told = settle(pages.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size")).where(F.col("size") >= least).select("page_id", "digest"))
+    first = told.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("pages"))
+    again = join_heavy(told, first, ["digest"], "pages", told.count()).where(F.col("page_id") > F.col("refers_to"))
+    return again.select("page_id", "digest", "refers_to").distinct()
+
+
+def cut(pages: DataFrame, chunk_bytes: int, least: int = REVISIT_BYTES) -> DataFrame:
+    """row, page_id, url, digest, size, refers_to, chunk_no, last, data: payloads of pages (page_id, url, html) cut before they move.
+
+    A record's chunks lie together in order. Payloads that may be revisits meet what they refer to as chunks, never as a whole;
+    of revisits only the first chunk is left, without data.
+    """
+    size = F.octet_length("html").cast("long")
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", F.sha2("html", 256).alias("digest"), size.alias("size"), F.encode("html", "UTF-8").alias("payload"))
+    places = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / chunk_bytes) - 1, F.lit(0)).cast("int"))
+    parts = F.transform(places, lambda k: F.struct(k.alias("chunk_no"), (k == F.element_at(places, -1)).alias("last"), F.substring(F.col("payload"), k * chunk_bytes + 1, F.lit(chunk_bytes)).alias("data")))
+    # But for the outer form Spark would infer a filter on the array, and work it out a second time.
+    told = rows.select("row", "page_id", "url", "digest", "size", F.inline_outer(parts))
+    once = (F.col("size") < least) | F.col("page_id").isNull()
+    joined = told.where(~once).join(settle(revisits(pages, least)), ["page_id", "digest"], "left").where("refers_to IS NULL OR chunk_no = 0")
+    joined = joined.withColumn("data", F.when(F.col("refers_to").isNull(), F.col("data"))).withColumn("last", F.col("last") | F.col("refers_to").isNotNull())
+    return joined.sortWithinPartitions("row", "chunk_no").unionByName(told.where(once).withColumn("refers_to", F.lit(None).cast("long")))
 
 
 def _header(page_id: int | None, record_id: str, url: str | None, size: int, digest: str, refers_to: int | None) -> bytes:
@@ -64,14 +79,6 @@ def _header(page_id: int | None, record_id: str, url: str | None, size: int, dig
     return "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n" + http
 
 
-def chunked(record_id: str, head: bytes, payload: bytes, chunk_bytes: int) -> Iterator[tuple]:
-    digest, view, n = hashlib.sha256(), memoryview(payload), max(1, -(-len(payload) // chunk_bytes))
-    for k in range(n):
-        part = view[k * chunk_bytes : (k + 1) * chunk_bytes]
-        digest.update(part)
-        yield record_id, k, k == n - 1, head if k == 0 else None, part, digest.copy().hexdigest()
-
-
 def _batches(rows: Iterable[tuple], schema: pa.Schema, size_of) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for row in rows:
@@ -84,27 +91,35 @@ def _batches(rows: Iterable[tuple], schema: pa.Schema, size_of) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def _writer(chunk_bytes: int):
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            context, seen = TaskContext.get(), Counter()
-            for batch in batches:
-                for page_id, url, html, digest, size, refers_to in zip(*(batch.column(c) for c in ("page_id", "url", "html", "digest", "size", "refers_to")), strict=True):
+def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of cut() to chunk rows; the state is one hash, whatever the record's size."""
+
+    def rows() -> Iterator[tuple]:
+        context, seen, digest, record_id = TaskContext.get(), Counter(), None, None
+        columns = ("page_id", "url", "digest", "size", "refers_to", "chunk_no", "last", "data")
+        for batch in batches:
+            for page_id, url, sha, size, refers_to, chunk_no, last, data in zip(*(batch.column(c) for c in columns), strict=True):
+                no, head, part = chunk_no.as_py(), None, memoryview(data.as_buffer()) if data.is_valid else b""
+                if no == 0:
                     # Unique for each row, repeated ones too, and whatever the order in which a task that is run again gets its rows.
-                    key = f"{page_id}/{digest}"
+                    key = f"{page_id}/{sha}"
                     seen[key] += 1
-                    record_id = str(uuid.uuid5(uuid.NAMESPACE_OID, f"{key}/{context.partitionId()}/{seen[key]}"))
-                    head = _header(page_id.as_py(), record_id, url.as_py(), size.as_py(), digest.as_py(), refers_to.as_py())
-                    payload = html.as_buffer() if refers_to.as_py() is None else b""
-                    yield from chunked(record_id, head, payload, chunk_bytes)
+                    record_id, digest = str(uuid.uuid5(uuid.NAMESPACE_OID, f"{key}/{context.partitionId()}/{seen[key]}")), hashlib.sha256()
+                    head = _header(page_id.as_py(), record_id, url.as_py(), size.as_py(), sha.as_py(), refers_to.as_py())
+                digest.update(part)
+                yield record_id, no, last.as_py(), head, part, digest.copy().hexdigest()
+
+    yield from _batches(rows(), _CHUNK_SCHEMA, _chunk_size)
 
-        yield from _batches(rows(), _CHUNK_SCHEMA, lambda r: len(r[4]) + len(r[3] or b"") + 150)
 
-    return write
+def _chunk_size(row: tuple) -> int:
+    return len(row[4]) + len(row[3] or b"") + 150
 
 
-def to_chunks(planned: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    return planned.select("page_id", "url", "html", "digest", "size", "refers_to").mapInArrow(_writer(chunk_bytes), CHUNKS)
+def to_chunks(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """The chunk table of pages; see archive_and_read for nulls and repeated rows."""
+    read = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), empty_if_null(F.col(html_col)).alias("html"))
+    return cut(read, chunk_bytes).drop("row").mapInArrow(_write, CHUNKS)
 
 
 def parse_header(head: bytes) -> dict[str, str]:
@@ -117,28 +132,46 @@ def _number(text: str | None) -> int | None:
     return int(text) if text else None
 
 
+class _Record:
+    """A record as far as its chunks have come; it holds one hash and one header."""
+
+    def __init__(self, record_id: str):
+        self.record_id, self.fields, self.digest, self.size, self.next, self.intact, self.closed = record_id, {}, hashlib.sha256(), 0, 0, True, False
+
+    def add(self, no: int, last: bool, head: bytes | None, data: pa.Buffer, running: str) -> None:
+        if no == 0:
+            self.fields = parse_header(head or b"")
+        self.intact &= no == self.next and not self.closed
+        self.next, self.closed = no + 1, last
+        self.digest.update(data)
+        self.size += len(data)
+        self.intact &= self.digest.hexdigest() == running
+
+    def row(self) -> tuple:
+        """What the stream gave; a revisit has no payload of its own, so it tells what its header tells."""
+        told, kind = self.fields.get("warc-payload-digest", "").removeprefix("sha256:"), self.fields.get("warc-type")
+        length, digest = _number(self.fields.get("x-payload-length")), self.digest.hexdigest()
+        intact = self.intact and self.closed and bool(self.fields)
+        page_id, refers_to = _number(self.fields.get("x-page-id")), _number(self.fields.get("x-refers-to-page-id"))
+        if kind == "revisit":
+            return page_id, length, told, kind, refers_to, intact
+        return page_id, self.size, digest, kind, refers_to, intact and digest == told and self.size == length
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks in order to records; the state is one hash and one header, whatever the record's size."""
+    """Chunks in order to records. Whatever chunks are lost, the others of a record give a row that isn't intact."""
 
     def rows() -> Iterator[tuple]:
-        record, fields, digest, size, intact = None, {}, None, 0, True
+        record = None
         for batch in batches:
             for record_id, chunk_no, last, head, data, running in zip(*batch.columns, strict=True):
-                no = chunk_no.as_py()
-                if no == 0:
-                    record, fields, digest, size, intact = record_id.as_py(), parse_header(head.as_py()), hashlib.sha256(), 0, True
-                    expected = 0
-                intact &= record == record_id.as_py() and no == expected
-                expected = no + 1
-                digest.update(data.as_buffer())
-                size += len(data.as_buffer())
-                intact &= digest.hexdigest() == running.as_py()
-                if last.as_py():
-                    told = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-                    kind = fields.get("warc-type")
-                    if kind == "response":
-                        intact &= digest.hexdigest() == told and size == _number(fields.get("x-payload-length"))
-                    yield _number(fields.get("x-page-id")), _number(fields.get("x-payload-length")), told, kind, _number(fields.get("x-refers-to-page-id")), intact
+                if record is None or record.record_id != record_id.as_py() or chunk_no.as_py() == 0:
+                    if record:
+                        yield record.row()
+                    record = _Record(record_id.as_py())
+                record.add(chunk_no.as_py(), last.as_py(), head.as_py(), data.as_buffer(), running.as_py())
+        if record:
+            yield record.row()
 
     yield from _batches(rows(), _RECORD_SCHEMA, lambda r: 200)
 
@@ -158,23 +191,50 @@ def archive_and_read(spark: SparkSession, pages: DataFrame, folder: str | None =
     The archive is a Parquet chunk table in `folder` (default: a new folder in the shared checkpoint folder). Null html
     is an empty payload, a null url leaves its field out, repeated rows become records of their own (those with the
     smallest id are responses), an empty table gives an empty archive. Rows without a page_id are responses. Columns
-    other than page_id, url and html are not read.
+    other than page_id, url and html are not read. intact tells whether all chunks of the record came, in order and with
+    their digests; a record of which any chunk is left gives a row, without a page_id if its first chunk is lost.
     """
     folder = folder or f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
-    to_chunks(plan_records(pages), chunk_bytes).write.option("compression", "zstd").parquet(folder)
+    to_chunks(pages, chunk_bytes).write.option("compression", "zstd").parquet(folder)
     return read_records(spark.read.schema(CHUNKS).parquet(folder))
 
 
-def export_warc(chunks: DataFrame, path: str) -> int:
-    """Write the records of a chunk table to one .warc or .warc.gz file on this machine, chunk by chunk; returns how many."""
-    n = 0
-    with (gzip.open if path.endswith(".gz") else open)(path, "wb") as out:
-        for r in chunks.sort("record_id", "chunk_no").toLocalIterator():
-            out.write(bytes(r["head"] or b"") + bytes(r["data"]))
-            if r["last"]:
-                out.write(b"\r\n\r\n")
-                n += 1
-    return n
+def write_files(chunks: DataFrame, folder: str, files: int | None = None) -> DataFrame:
+    """path, records, bytes: each task writes its records to one .warc.gz file in folder, chunk by chunk, a gzip member a record.
+
+    folder is a path or URI that all executors can write to. A file gets its name, which depends on the task's number alone,
+    when it is whole, so a task that is run again replaces what it wrote. A record that lacks a chunk is an error.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        store, base = pa_fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        path = f"{base}/part-{context.partitionId():06d}.warc.gz"
+        hidden, n, size, member, expected = f"{base}/.{context.taskAttemptId()}.tmp", 0, 0, None, None
+        with store.open_output_stream(hidden, compression=None) as out:
+            for batch in batches:
+                for record_id, no, last, head, data, _ in zip(*batch.columns, strict=True):
+                    if (record_id.as_py(), no.as_py()) != (expected or (record_id.as_py(), 0)):
+                        raise ValueError(f"a chunk of record {expected and expected[0] or record_id} is missing")
+                    member = member or gzip.GzipFile(fileobj=out, mode="wb", mtime=0)
+                    member.write(head.as_py() or b"")
+                    member.write(data.as_buffer())
+                    size += len(data.as_buffer()) + len(head.as_py() or b"")
+                    expected = (record_id.as_py(), no.as_py() + 1)
+                    if last.as_py():
+                        member.write(b"\r\n\r\n")
+                        member.close()
+                        member, expected, n = None, None, n + 1
+        if expected:
+            raise ValueError(f"the last chunk of record {expected[0]} is missing")
+        store.move(hidden, path) if n else store.delete_file(hidden)
+        yield pa.RecordBatch.from_pydict({"path": [path] * bool(n), "records": [n] * bool(n), "bytes": [size] * bool(n)}, schema=_FILE_SCHEMA)
+
+    columns = [c.split()[0] for c in CHUNKS.split(", ")]
+    dealt = chunks.select(*columns)
+    dealt = dealt.repartition(files, "record_id") if files else dealt.repartition("record_id")
+    return settle(dealt.sortWithinPartitions("record_id", "chunk_no").mapInArrow(write, "path string, records long, bytes long"))
 
 
 def parse_stream(stream: BinaryIO, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple]:
@@ -217,16 +277,18 @@ def parse_stream(stream: BinaryIO, chunk_bytes: int = CHUNK_BYTES) -> Iterator[t
 
 
 def read_files(spark: SparkSession, paths: list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Chunk rows of .warc and .warc.gz files that all executors can open under these paths; a task streams one file at a time."""
+    """Chunk rows of .warc and .warc.gz files that all executors can open under these paths or URIs; a task streams one file at a time."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for path in batch.column("path").to_pylist():
-                    with (gzip.open if path.endswith(".gz") else open)(path, "rb") as f:
-                        yield from parse_stream(f, chunk_bytes)
+                    store, inner = pa_fs.FileSystem.from_uri(path)
+                    with store.open_input_stream(inner, compression=None) as f:
+                        plain = gzip.GzipFile(fileobj=f) if path.endswith(".gz") else f
+                        yield from parse_stream(io.BufferedReader(plain, 1 << 20), chunk_bytes)
 
-        yield from _batches(rows(), _CHUNK_SCHEMA, lambda r: len(r[4]) + len(r[3] or b"") + 150)
+        yield from _batches(rows(), _CHUNK_SCHEMA, _chunk_size)
 
     listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
     return listed.mapInArrow(stream, CHUNKS)

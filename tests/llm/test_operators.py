@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and their stated results in odd cases."""
 
 import collections
+import gzip
 import hashlib
 import io
 import re
@@ -138,13 +139,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert ("revisit", 7) not in {(t[1], t[0]) for t in told}
     chunks = spark.read.schema(warc.CHUNKS).parquet(str(tmp_path / "a"))
     assert chunks.agg(F.max(F.octet_length("data"))).first()[0] == 64
-    path = str(tmp_path / "all.warc")
-    assert warc.export_warc(chunks, path) == len(rows)
+    files = warc.write_files(chunks, str(tmp_path / "files"), 3).collect()
+    assert sum(f.records for f in files) == len(rows)
     records = collections.defaultdict(list)
-    with open(path, "rb") as f:
-        for record_id, no, last, head, data, running in warc.parse_stream(f, 64):
-            assert no == len(records[record_id])
-            records[record_id].append((head, data, running, last))
+    for told in files:
+        with gzip.open(told.path, "rb") as f:
+            for record_id, no, last, head, data, running in warc.parse_stream(f, 64):
+                assert no == len(records[record_id])
+                records[record_id].append((head, data, running, last))
     assert len(records) == len(rows)
     for parts in records.values():
         head = warc.parse_header(parts[0][0])
@@ -156,21 +158,28 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_warc_files(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"http://x/{k}", "payload " * k) for k in range(40)], "page_id long, url string, html string")
-    warc.to_chunks(warc.plan_records(pages), 64).write.parquet(str(tmp_path / "chunks"))
+    warc.to_chunks(pages, 64).write.parquet(str(tmp_path / "chunks"))
     chunks = spark.read.schema(warc.CHUNKS).parquet(str(tmp_path / "chunks"))
-    paths = [str(tmp_path / n) for n in ("a.warc", "b.warc.gz")]
-    for p in paths:
-        assert warc.export_warc(chunks, p) == 40
-    back = warc.read_files(spark, paths, 64)
-    assert back.exceptAll(chunks.union(chunks)).count() == 0 and back.count() == 2 * chunks.count()
-    assert warc.read_records(back.dropDuplicates(["record_id", "chunk_no"])).where("intact").count() == 40
+    told = warc.write_files(chunks, str(tmp_path / "files"), 3)
+    paths = [r.path for r in told.collect()]
+    with gzip.open(paths[0]) as f, open(tmp_path / "plain.warc", "wb") as out:
+        out.write(f.read())
+    back = warc.read_files(spark, ["file://" + paths[0], *paths[1:]], 64)
+    assert back.exceptAll(chunks).count() == 0 and back.count() == chunks.count()
+    assert warc.read_records(back).where("intact").count() == 40
+    assert warc.read_files(spark, [str(tmp_path / "plain.warc")], 64).exceptAll(chunks).count() == 0
+    with pytest.raises(Exception, match="missing"):
+        warc.write_files(chunks.where("NOT last OR chunk_no = 0"), str(tmp_path / "bad"), 2)
 
 
 def test_warc_finds_damage_and_empty_table(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "a" * 200), (2, "u", "b" * 10)], "page_id long, url string, html string")
-    chunks = warc.to_chunks(warc.plan_records(pages), 64)
+    chunks = warc.to_chunks(pages, 64)
     bad = chunks.withColumn("data", F.when(F.col("chunk_no") == 1, F.encode(F.lit("z" * 64), "UTF-8")).otherwise(F.col("data")))
     assert {r.page_id: r.intact for r in warc.read_records(bad).collect()} == {1: False, 2: True}
+    for lost, page in ((0, None), (1, 1), (3, 1)):
+        rows = warc.read_records(chunks.where(F.col("last") & (F.col("chunk_no") == 0) | (F.col("chunk_no") != lost))).collect()
+        assert {(r.page_id, r.intact) for r in rows} == {(page, False), (2, True)}, lost
     assert warc.archive_and_read(spark, pages.limit(0), str(tmp_path / "e")).count() == 0
     with pytest.raises(ValueError):
         list(warc.parse_stream(io.BytesIO(b"no archive\r\n")))
