@@ -3,8 +3,8 @@
 1. A character trigram model is counted over the words of the whole corpus.
 2. Suspicious words (letters mixed with digits or signs, letters repeated three times or more, single letters set apart)
    become lattices: a sign or digit may stand for letters, for nothing or for itself, a run of a letter for one or two
-   of it, single letters in a row for one word. Viterbi decoding takes the path that is likeliest under the character
-   model and the channel's costs. All other words stand as they are.
+   of it, a blank or sign between letters for the end of a word or for nothing. Viterbi decoding takes the path that is
+   likeliest under the character model and the channel's costs. All other words stand as they are.
 3. Restored words give whole words and character n-grams, most of them tied to the word's beginning. On labelled rows
    each is counted in toxic and other documents. A decision list is learned from them: the evidence that best tells the
    toxic documents not yet explained is taken, these are then explained, and so on, so that n-grams which only happen to
@@ -30,8 +30,8 @@ from kelpforge.llm.quality import labelled_sample
 HELD_OUT = (3, 1)
 #: Labelled rows that evidence is counted on at most, by hash order of the id.
 SAMPLE = 20_000
-#: Pieces of evidence that the decision list is chosen from at most, the strongest first.
-EVIDENCE = 20_000
+#: Documents of the sample that must have a piece of evidence; all pieces that do are weighed.
+LEAST_DOCUMENTS = 2
 #: A piece of evidence is worth (toxic + PRIOR_DOCUMENTS * share of toxic) / (all + PRIOR_DOCUMENTS).
 PRIOR_DOCUMENTS = 3.0
 LEAST_POSTERIOR = 0.3
@@ -47,10 +47,15 @@ LEET = {
 }
 #: Channel costs, as log probabilities: a sign read as a letter, left out, kept; a run read as two letters.
 _AS_LETTER, _LEFT_OUT, _KEPT, _SINGLED, _DOUBLED = -1.0, -8.0, -10.0, -6.0, -0.5
+#: The same for what stands between letters: it joins them, or ends a word; and for a sign at a token's end that is left out.
+_JOINS, _ENDS, _TRAILS = -0.7, -0.2, -2.5
 _EDGE = re.compile(r"^[\"'(\[{<¿]+|(?:[.,;:?\"')\]}>|]+|([^\w\s])\1*)+$")
+_EDGE_FRONT = re.compile(r"^[\"'(\[{<¿]+")
 _RUN = re.compile(r"(.)\1\1")
-_APART = re.compile(r"[^\W_]([.\-_*]+)[^\W_](?:\1[^\W_])+")
-_SEPARATORS = frozenset(".-_*")
+#: Signs at a token's end that punctuation doesn't explain.
+_TRAILING = re.compile(r"[$@+€£|0-9]\W*$")
+#: Tokens of nothing but digits and signs that stand for letters, of a word's length.
+_SIGNS_ONLY = re.compile(rf"[{re.escape(''.join(LEET))}]{{3,12}}")
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHED_WORDS = 200_000
 
@@ -85,7 +90,7 @@ class CharModel:
 
 
 def _lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each place of a token what it may stand for, with the channel's cost."""
+    """For each place of a token what it may stand for, with the channel's cost; a blank in it stands for a blank or nothing."""
     places, k = [], 0
     while k < len(token):
         end = k
@@ -95,19 +100,21 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
         read = [(x, _AS_LETTER) for x in LEET.get(c, "")]
         if c.isalpha():
             options = [(c, 0.0)] if run == 1 else [(c, -0.1 if run > 2 else _SINGLED), (c + c, _DOUBLED if run > 2 else 0.0)]
+        elif read:
+            options = [*read, *((x + x, _AS_LETTER + _DOUBLED) for x, _ in read if run > 1), ("", _TRAILS if end == len(token) else _LEFT_OUT), (c if c.isdigit() else " ", _KEPT)]
         else:
-            options = [*read, *((x + x, _AS_LETTER + _DOUBLED) for x, _ in read if run > 1), ("", _LEFT_OUT if read else -0.2), (c if c.isdigit() else "", _KEPT)]
+            options = [("", _JOINS), (" ", _ENDS)]
         places.append(options)
         k = end
     return places
 
 
 def decode(token: str, model: CharModel) -> str:
-    """The likeliest reading of a lower-case token, by Viterbi search over the last two character classes."""
-    beams: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest reading of a lower-case token, by Viterbi search over the last two character classes; words in it are set apart by blanks."""
+    beams: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in _lattice(token):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in beams.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in beams.items():
             for piece, cost in options:
                 x, y, s = a, b, score + cost
                 for c in piece:
@@ -115,9 +122,14 @@ def decode(token: str, model: CharModel) -> str:
                     s += model.log_p[x, y, z]
                     x, y = y, z
                 if (x, y) not in after or s > after[x, y][0]:
-                    after[x, y] = (s, text + piece)
+                    after[x, y] = (s, (piece, path))
         beams = after
-    return max((score + model.log_p[a, b, 0], text) for (a, b), (score, text) in beams.items())[1]
+    _, _, path = max((score + model.log_p[a, b, 0], (a, b), path or ()) for (a, b), (score, path) in beams.items())
+    pieces = []
+    while path:
+        pieces.append(path[0])
+        path = path[1]
+    return "".join(reversed(pieces))
 
 
 def _suspicious(token: str) -> bool:
@@ -131,27 +143,22 @@ class Restorer:
         self._known: dict[str, tuple[str, ...]] = {}
 
     def _token(self, token: str) -> tuple[str, ...]:
-        """Words of one lower-case token: as it stands, and restored if it is suspicious."""
+        """Words of one lower-case token, or of single characters set apart by blanks, as they are restored."""
         if token.isalpha() and not _RUN.search(token):
             return (token,)
+        if " " in token or _SIGNS_ONLY.fullmatch(token):
+            return tuple(_WORD.findall(decode(token, self.model)))
         core = _EDGE.sub("", token)
-        if core.isalpha() and not _RUN.search(core):
-            return (core,)
-        found = _WORD.findall(token)
-        if _APART.fullmatch(core):
-            core = "".join(filter(str.isalnum, core))
-            found.append("".join(filter(str.isalpha, core)))
-        if _suspicious(core):
-            found += _WORD.findall(decode(core, self.model))
+        found = [core] if core.isalpha() and not _RUN.search(core) else _WORD.findall(decode(core, self.model)) if _suspicious(core) else _WORD.findall(core)
+        if _TRAILING.search(token) and not core.endswith(token[-1]):
+            found += _WORD.findall(decode(_EDGE_FRONT.sub("", token), self.model))
         return tuple(filter(None, found))
 
     def words(self, text: str | None) -> set[str]:
         """Distinct words of the restored text, in lower case."""
         tokens = (text or "").lower().split()
-        distinct = set(tokens)
-        distinct.update(_set_apart(tokens))
         found: set[str] = set()
-        for token in distinct:
+        for token in {*tokens, *_set_apart(tokens)}:
             told = self._known.get(token)
             if told is None:
                 if len(self._known) > _CACHED_WORDS:
@@ -162,23 +169,18 @@ class Restorer:
 
 
 def _set_apart(tokens: list[str]) -> Iterator[str]:
-    """Three or more single letters in a row, with or without a sign between them, as one token."""
-    short = [k for k, t in enumerate(tokens) if len(t) == 1]
-    if len(short) < 2:
-        return
+    """Runs of single characters, three letters or more among them, with the blanks between them; the last may have a sign behind it."""
     run: list[str] = []
-    last = -2
-    for k in [*short, len(tokens) + 2]:
-        if k != last + 1:
-            if run and last + 1 < len(tokens):  # the last letter may have a sign behind it
-                tail = _EDGE.sub("", tokens[last + 1])
-                run += [tail] if len(tail) == 1 and tail.isalnum() else []
-            if len(run) >= 3:
-                yield "".join(run)
-            run = []
-        if k < len(tokens) and tokens[k] not in _SEPARATORS:
-            run.append(tokens[k])
-        last = k
+    for token in [*tokens, "  "]:
+        if len(token) == 1:
+            run.append(token)
+            continue
+        tail = _EDGE.sub("", token)
+        if run and len(tail) == 1 and len(token) == 2:
+            run.append(tail)
+        if len(run) > 2 and sum(c.isalnum() or c in LEET for c in run) > 2 and any(map(str.isalpha, run)):
+            yield " ".join(run)
+        run = []
 
 
 def evidence_of(word: str) -> list[str]:
@@ -261,8 +263,11 @@ def _evidence_frame(counts: dict[str, list[int]]) -> pd.DataFrame:
     return pd.DataFrame([(e, c[1], c[0]) for e, c in counts.items()], columns=["evidence", "toxic", "other"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, evidence: int = EVIDENCE) -> ToxicityModel:
-    """docs has doc_id and text. The character model is counted on all of docs, evidence on a bounded labelled sample."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
+    """docs has doc_id and text. The character model is counted on all of docs, evidence on a bounded labelled sample.
+
+    All evidence that LEAST_DOCUMENTS toxic rows of the sample have is weighed on the driver, which `sample` bounds.
+    """
     characters = count_characters(docs)
     shared = docs.sparkSession.sparkContext.broadcast(characters)  # CLASSES ^ 3 numbers
     rows = settle(labelled_sample(docs, labels, "toxic", *HELD_OUT, sample).select("text", "label").dropDuplicates())
@@ -271,8 +276,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, evidence: in
     share = ((base[0] or 0) + 0.5) / (base[1] + 1)
     counted = rows.mapInPandas(_count_evidence(shared), "evidence string, toxic long, other long")
     counted = counted.groupBy("evidence").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    kept = counted.where("toxic >= 2").withColumn("worth", _worth(F.col("toxic"), F.col("other"), share)).where(F.col("worth") >= max(LEAST_POSTERIOR, 1.5 * share))
-    best = kept.orderBy(F.desc("worth"), F.desc("toxic"), F.desc(F.length("evidence")), "evidence").limit(evidence).collect()
+    kept = counted.where(F.col("toxic") >= LEAST_DOCUMENTS).withColumn("worth", _worth(F.col("toxic"), F.col("other"), share)).where(F.col("worth") >= max(LEAST_POSTERIOR, 1.5 * share))
+    best = kept.orderBy(F.desc("worth"), F.desc("toxic"), F.desc(F.length("evidence")), "evidence").collect()
     number = {r["evidence"]: k for k, r in enumerate(best)}
     places = docs.sparkSession.sparkContext.broadcast(number)
     held = rows.where("label = 1").select("text").mapInPandas(_find_evidence(shared, places), "found array<int>").collect()
@@ -314,7 +319,7 @@ def decision_list(documents: list[np.ndarray], names: list[str], toxic: np.ndarr
         while True:
             left = np.bincount(what[(times < limit)[of]], minlength=len(names)).astype(float)
             worth = _worth(left, other, share)
-            usable = free & allowed & (left >= 2) & (worth >= max(LEAST_POSTERIOR, 1.5 * share))
+            usable = free & allowed & (left >= LEAST_DOCUMENTS) & (worth >= max(LEAST_POSTERIOR, 1.5 * share))
             gain = np.where(usable, left * np.log(worth / share), 0)
             k = int(gain.argmax())  # the first of equals: the more particular one
             if gain[k] <= 0:

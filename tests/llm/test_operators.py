@@ -4,6 +4,7 @@ import collections
 import gzip
 import hashlib
 import io
+import itertools
 import re
 import zlib
 
@@ -550,3 +551,31 @@ def test_packing_takes_text_ids_and_repeated_rows(spark):
     assert len({r.bin_id for r in rows if r.doc_id == "a"}) == 700
     told = packing.fill(packed, 10).first()
     assert told.words == 2101 and 0 < told.share <= 1
+
+
+def small_restorer():
+    words = "the idiot and the moron went to a pathetic stupid loser trash ass " * 50
+    codes, n = np.unique(toxicity.trigram_codes(words), return_counts=True)
+    return toxicity.Restorer(toxicity.CharModel(codes, n))
+
+
+@pytest.mark.parametrize("token", ["1d10t", "i d i o t", "m.o-r o n", "l00ser", "a$$", "tr@@sh!", "st4 nd"])
+def test_decoding_against_all_paths(token):
+    model = small_restorer().model
+
+    def cost(pieces):
+        text, s = "".join(p for p, _ in pieces), sum(c for _, c in pieces)
+        classes = [0, 0, *map(toxicity.char_class, text), 0]
+        return s + sum(float(model.log_p[a, b, c]) for a, b, c in zip(classes, classes[1:], classes[2:], strict=False))
+
+    paths = list(itertools.product(*toxicity._lattice(token)))
+    best = max(map(cost, paths))
+    assert any("".join(p for p, _ in path) == toxicity.decode(token, model) and abs(cost(path) - best) < 1e-3 for path in paths)
+
+
+def test_restoration_of_ends_signs_and_blanks():
+    restore = small_restorer()
+    for told, word in (("idio+", "idiot"), ("a$$", "ass"), ("@$$", "ass"), ("so l 0 s e r now", "loser"), ("m - o - r - o - n", "moron"), ("idiot$$$", "idiot"), ("l.o.s.e.r", "loser")):
+        assert word in restore.words(told), told
+    assert restore.words("loser-trash, the (idiot)!!") == {"loser", "trash", "the", "idiot"}
+    assert "idiot" in restore.words(("i d i o t " * 3000).strip()[:-1] + "t")
