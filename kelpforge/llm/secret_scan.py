@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re._constants as sre
 import re._parser as sre_parser
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -118,23 +118,48 @@ def candidates(postings: DataFrame, queries: dict[str, list[frozenset[str]]]) ->
     return hits.where("found = needed").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+#: Matches whose starts are summed in one run; the runs' own starts are summed after that, so work grows with the matches.
+_RUN = 256
+_SPAN = "struct<start:int,rank:int,kind:string,stop:int>"
+
+
 def _spans(text: Column, rule: SecretRule, rank: int) -> Column:
     """Structs (start, rank, kind, stop) of the rule's matches in text."""
-    shape = "array<struct<start:int,rank:int,kind:string,stop:int>>"
+    none = F.array().cast(f"array<{_SPAN}>")
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     told = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     pieces = F.split(text, rule.pattern, -1)
-    steps = F.zip_with(F.zip_with(whole, F.slice(pieces, 1, F.size(whole)), lambda m, p: F.struct(F.length(p).alias("gap"), F.length(m).alias("size"))), told, lambda s, t: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), F.length(t).alias("told")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(shape).alias("out"))
+    lengths = lambda c, name: F.transform(c, lambda x: F.length(x).alias(name))
+
+    def steps_of(sizes: Column) -> Column:
+        gaps = F.zip_with(F.slice(lengths(pieces, "gap"), 1, F.size(sizes)), sizes, lambda g, n: F.struct(g.alias("gap"), n.alias("size")))
+        return F.zip_with(gaps, lengths(told, "told") if rule.group else sizes, lambda s, t: F.struct(s["gap"].alias("gap"), s["size"].alias("size"), t.alias("told")))
+
+    def runs_of(steps: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(steps) / _RUN).cast("int") - 1), lambda k: F.slice(steps, k * _RUN + 1, _RUN))
+
+    def starts_of(runs: Column) -> Column:
+        """Where each run begins."""
+        sums = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda at, s: at + s["gap"] + s["size"]))
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(sums, begin, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    def spans_of(run: Column, begin: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            at = acc["at"] + s["gap"]
+            span = F.struct(at.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (at + s["size"]).alias("stop")).cast(_SPAN)
+            return F.struct((at + s["size"]).alias("at"), F.when(s["told"] >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        begin = acc["at"] + s["gap"]
-        span = F.array(F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (begin + s["size"]).alias("stop")))
-        so_far = F.coalesce(acc["out"], F.array().cast(shape))
-        return F.struct((begin + s["size"]).alias("at"), F.when(s["told"] >= rule.least, F.concat(so_far, span.cast(shape))).otherwise(so_far).alias("out"))
+        return F.aggregate(run, F.struct(begin.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
-    found = F.aggregate(steps, start, step, lambda acc: F.coalesce(acc["out"], F.array().cast(shape)))
-    return F.when(F.regexp(text, F.lit(rule.pattern)), found).otherwise(F.array().cast(shape))
+    every = lambda runs: _let(starts_of(runs), lambda starts: F.flatten(F.transform(runs, lambda run, k: spans_of(run, F.get(starts, k)))))
+    found = _let(lengths(whole, "size"), lambda sizes: _let(steps_of(sizes), lambda steps: _let(runs_of(steps), every)))
+    return F.when(F.regexp(text, F.lit(rule.pattern)), found).otherwise(none)
 
 
 def scan_secrets(

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpforge.llm._common import join_heavy, settle
+
 INLINE_RULES = 256
 _HOST, _PATH = "h:", "p:"
 _RULE_TYPE = "struct<rule:string,verdict:string,weight:int,pattern:string>"
@@ -126,17 +128,23 @@ def _inline_verdicts(urls: DataFrame, index: dict[str, list[dict]]) -> DataFrame
     return urls.withColumn("best", F.array_max(hits))
 
 
-def _joined_verdicts(urls: DataFrame, index: dict[str, list[dict]]) -> DataFrame:
-    """By a join on the token. Verdicts are worked out once for each distinct host and path, and found again by them."""
+def _joined_verdicts(urls: DataFrame, index: dict[str, list[dict]], counts: dict[str, int]) -> DataFrame:
+    """By a join on the token, in which frequent tokens, and rules without one, don't move the URLs.
+
+    Verdicts are worked out once for each distinct host and path, and found again by them.
+    """
     spark = urls.sparkSession
-    rows = [(t, r["rule"], r["verdict"], r["weight"], r["pattern"]) for t, found in index.items() for r in found]
-    table = spark.createDataFrame(rows, "token string, rule string, verdict string, weight int, pattern string")
-    known = urls.select("host", "path").distinct()
+    known = settle(urls.groupBy("host", "path").agg(F.count(F.lit(1)).alias("pages")))
+    n = known.count()
+    rows = [(t, [(r["rule"], r["verdict"], r["weight"], r["pattern"]) for r in found], counts.get(t, n)) for t, found in index.items()]
+    table = spark.createDataFrame(rows, f"token string, rules array<{_RULE_TYPE}>, n long")
     tokens = F.array_append(url_tokens(F.col("host"), F.col("path")), F.lit(""))
-    pairs = known.select("host", "path", F.explode(tokens).alias("token")).join(table, "token")
-    rule = F.struct("rule", "verdict", "weight", "pattern")
-    hits = pairs.where(_fits(F.concat("host", "path"), rule)).groupBy("host", "path").agg(F.max(_ranked(rule)).alias("best"))
-    return urls.join(hits, ["host", "path"], "left")
+    pairs = known.select("host", "path", F.explode(tokens).alias("token"))
+    held = join_heavy(pairs, table, ["token"], "n", n + sum(counts.values())).select("host", "path", F.explode("rules").alias("told"))
+    rule = F.col("told")
+    hits = held.where(_fits(F.concat("host", "path"), rule)).groupBy("host", "path").agg(F.max(_ranked(rule)).alias("best"))
+    best = known.join(hits, ["host", "path"], "left")
+    return join_heavy(urls, best, ["host", "path"], "pages", urls.count())
 
 
 def judge_urls(
@@ -154,8 +162,9 @@ def judge_urls(
     Repeated rows are judged alike, an empty table gives an empty result, other columns are not read.
     """
     urls = pages.select(F.col(id_col).alias("page_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
-    index = rule_index(rules, token_counts(urls, rules))
-    judged = (_inline_verdicts if len(rules) <= inline_rules else _joined_verdicts)(urls, index)
+    counts = token_counts(urls, rules)
+    index = rule_index(rules, counts)
+    judged = _inline_verdicts(urls, index) if len(rules) <= inline_rules else _joined_verdicts(urls, index, counts)
     return judged.select(
         "page_id",
         "host",

@@ -579,3 +579,17 @@ def test_restoration_of_ends_signs_and_blanks():
         assert word in restore.words(told), told
     assert restore.words("loser-trash, the (idiot)!!") == {"loser", "trash", "the", "idiot"}
     assert "idiot" in restore.words(("i d i o t " * 3000).strip()[:-1] + "t")
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"token={k:08d}x é {'ab' * 20}" for k in range(3000))
+    got = secret_scan.scan_secrets(documents(spark, [(1, text)])).first().spans
+    assert [(s.start, s.rank, s.kind, s.stop) for s in got] == plain_spans(text)
+
+
+def test_many_url_rules_with_and_without_tokens(spark):
+    rules = [url_filter.UrlRule("block", f"host{k}.com", f"/a{k % 7}/") for k in range(400)] + list(url_filter.BASE_RULES + url_filter.PATTERN_RULES)
+    rows = [(k, f"http://www.host{k % 50}.com/a{k % 7}/x") for k in range(300)] + list(enumerate(URLS, 1000))
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    told = [sorted(map(tuple, url_filter.judge_urls(pages, rules, inline_rules=n).collect()), key=str) for n in (10_000, 0)]
+    assert told[0] == told[1] and sum(r[4] == "block" for r in told[0]) > 40
