@@ -101,7 +101,11 @@ def _with_group(rows: DataFrame, collided: DataFrame) -> DataFrame:
 
 
 def _is_best() -> Column:
-    return (F.col("points") == F.col("most")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    """Of a row beside its group's winner, which has the most points and, of those rows, the smallest id; a null id comes last.
+
+    Told by order, for Spark would take equalities into the join's keys, and the rows of a group would then lie apart.
+    """
+    return (F.col("points") >= F.col("most")) & (F.col("keep_id").isNull() | (F.col("doc_id") <= F.col("keep_id")))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
