@@ -340,8 +340,8 @@ def similar_documents(rows: DataFrame, similarity: float = SIMILARITY) -> DataFr
 
     Texts of equal shingle sets are one class, told by its least row. Classes of one component of the vantage-point tree,
     and classes that share the fingerprint of a sample, are candidates. Each is first checked against the least row of its
-    candidates, twice, so that a dense group becomes one component without its square; after that only pairs of candidates
-    that are still in different components are checked.
+    candidates, so that a dense group becomes one component without its square; after that only pairs of candidates that are
+    still in different components are checked.
     """
     texts = rows.select("row", empty_if_null(F.col("text")).alias("text"))
     own = settle(texts.select("row", _sketches("text").alias("s")).select("row", "s.*"))
@@ -356,17 +356,10 @@ def similar_documents(rows: DataFrame, similarity: float = SIMILARITY) -> DataFr
     shared = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets = settle(join_heavy(flat, shared, ["bucket"], "size", total * PRINTS).select("bucket", "row", "shingles"))
 
-    def rooted(part: DataFrame, links: DataFrame) -> DataFrame:
-        moved = components(links).select(F.col("a").alias("row"), F.col("b").alias("root"))
-        return settle(part.join(moved, "row", "left").withColumn("root", F.coalesce("root", "row")))
-
     links = _verified(_stars(settle(near)).union(_stars(buckets)), texts, similarity)
-    left = rooted(buckets, links)
-    heads_left = left.groupBy("bucket").agg(F.min("root").alias("low"), F.count(F.lit(1)).alias("size"))
-    apart = settle(join_heavy(left, heads_left, ["bucket"], "size", left.count()).where("root <> low").select("bucket", "row"))
-    links = links.union(_verified(_stars(apart), texts, similarity))
-    links = links.union(_verified(_open_pairs(rooted(buckets, links), similarity), texts, similarity))
-    moved = components(links).select(F.col("a").alias("first"), F.col("b").alias("root"))
+    stars = components(links).select(F.col("a").alias("row"), F.col("b").alias("root"))
+    rooted = settle(buckets.join(stars, "row", "left").withColumn("root", F.coalesce("root", "row")))
+    moved = components(links.union(_verified(_open_pairs(rooted, similarity), texts, similarity))).select(F.col("a").alias("first"), F.col("b").alias("root"))
     return known.join(moved, "first", "left").select("row", F.coalesce("root", "first").alias("root"))
 
 
