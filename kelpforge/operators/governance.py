@@ -199,13 +199,25 @@ def illegal_transitions(events: DataFrame) -> DataFrame:
 
 
 def current_stages(events: DataFrame) -> DataFrame:
-    """name, version, stage, history. A later LIVE archives the earlier LIVE version; SHADOW and CANARY have one holder, the latest."""
+    """name, version, stage, history. A later LIVE archives the earlier LIVE version; SHADOW and CANARY have one holder, the latest.
+
+    Where the live version was withdrawn (rolled back or archived) and none has followed it, the newest version that was
+    archived before is LIVE again.
+    """
+    before = F.lag("stage").over(Window.partitionBy("name", "version").orderBy("seq"))
+    withdrawn = events.withColumn("before", before).where("before = 'LIVE' AND stage IN ('ROLLED_BACK', 'ARCHIVED')")
+    withdrawn = withdrawn.groupBy("name").agg(F.max_by("version", "seq").alias("gone"), F.max("seq").alias("gone_at"))
     own = events.groupBy("name", "version").agg(
         F.max_by("stage", "seq").alias("stage"), F.max("seq").alias("at"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "stage"))), lambda s: s["stage"]).alias("history")
     )
     newest = Window.partitionBy("name", "stage").orderBy(F.desc("at"))
     held = F.col("stage").isin("LIVE", "CANARY", "SHADOW") & (F.row_number().over(newest) > 1)
-    return own.withColumn("stage", F.when(held, F.lit("ARCHIVED")).otherwise(F.col("stage"))).select("name", "version", "stage", "history")
+    told = own.withColumn("stage", F.when(held, F.lit("ARCHIVED")).otherwise(F.col("stage"))).join(withdrawn, "name", "left")
+    ready = (F.col("stage") == "ARCHIVED") & (F.col("version") != F.col("gone")) & (F.col("at") < F.col("gone_at"))
+    whole = Window.partitionBy("name")
+    back = ~F.max(F.col("stage") == "LIVE").over(whole) & (F.col("version") == F.max(F.when(ready, F.col("version"))).over(whole))
+    told = told.withColumn("stage", F.when(ready & back, F.lit("LIVE")).otherwise(F.col("stage")))
+    return told.select("name", "version", "stage", "history")
 
 
 def by_stage(stages: DataFrame, name: str, stage: str) -> DataFrame:

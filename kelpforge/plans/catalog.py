@@ -136,9 +136,9 @@ def semi_join_status(spark, sf_dir):
     return tables.having_status(table(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey", F.col("o_orderstatus") == "P")
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
 def anti_join_seen(spark, sf_dir):
-    seen = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").withColumnRenamed("l_partkey", "p_partkey")
+    seen = table(spark, sf_dir, "lineitem").where("l_quantity > 48").withColumnRenamed("l_partkey", "p_partkey")
     return retrieval.exclude(table(spark, sf_dir, "part").select("p_partkey"), seen, "p_partkey")
 
 

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from kelpforge.functions import hashing, numeric, text
-from kelpforge.operators import features, governance, ledger, models, planning, privacy, ranking, retrieval, statistics, tables
-from kelpforge.plans.catalog import _baskets, _entries, _vectors, query, r6, table
+from kelpforge.operators import features, governance, ledger, models, planning, privacy, proximity, ranking, retrieval, statistics, tables
+from kelpforge.plans.catalog import _VECTORS, _baskets, _entries, _vectors, query, r6, table
 from kelpforge.sources import files
 from kelpforge.streaming import streams
 
@@ -119,7 +119,8 @@ def window_promotion(spark, sf_dir):
     return tables.relabel_window(n, "r1", "live").select("n_nationkey", "window")
 
 
-@query()
+@query("""WITH h AS (SELECT o_orderkey, o_orderstatus, sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderkey AS VARCHAR) ELSE concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) END AS key_id FROM h""")
 def backfilled_keys(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("key_id", F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey").cast("string")))
     return tables.backfill(o, "key_id", "o_orderkey").select("o_orderkey", "key_id")
@@ -176,14 +177,23 @@ def page_gram_matrix(spark, sf_dir):
     return ranking.gram(m, "page", "vec_id", "embedding").withColumn("similarity", r6("similarity"))
 
 
+@query()
+def graph_recall(spark, sf_dir):
+    """Recall at 10 of layered graphs at four search budgets."""
+    queries, corpus = _vectors(spark, sf_dir)
+    return proximity.recall_by_budget(queries, corpus, retrieval.exact_neighbours(queries, corpus, 10), 10)
+
+
 @query()
 def factor_recommendations(spark, sf_dir):
+    """Each user's ten best items by the model's factors."""
     rows = _baskets(spark, sf_dir).groupBy(F.col("u").cast("int").alias("user"), F.col("i").cast("int").alias("item")).agg(F.count(F.lit(1)).cast("float").alias("weight"))
     model = retrieval.factor_model(rows, rank=8, rounds=3)
-    return model.userFactors.select(F.col("id").alias("user"), F.size("features").alias("width"))
+    return retrieval.factor_recommendations(model, 10)
 
 
-@query()
+@query(f"""WITH {_VECTORS}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_dot_product(a.v, b.v), 12) AS s FROM u a, u b WHERE a.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM p) SELECT query_id, item_id, CAST(rank AS INT) AS rank FROM k WHERE rank BETWEEN 6 AND 20""")
 def reserve_pool(spark, sf_dir):
     queries, corpus = _vectors(spark, sf_dir)
     near = retrieval.exact_neighbours(queries, corpus, 20)
@@ -208,7 +218,7 @@ def attrition_scores(spark, sf_dir):
     people = files.synthetic_employees(spark, table(spark, sf_dir, "customer").count())
     rows = planning.attrition_features(people).join(people.select("subject_key", "left"), "subject_key")
     names = [c for c in rows.columns if c not in ("subject_key", "left")]
-    model = models.train(rows, names, "left", "logistic_regression")
+    model = models.train(rows, names, "left", "gradient_boosting")
     means, weight = models.cohort_means(rows, names), models.importance(model, names)
     scored = models.score(model, rows, names)
     return scored.select("subject_key", F.round("probability", 6).alias("probability"), numeric.risk_band(F.col("probability")).alias("band"), planning.top_drivers({n: F.col(n) for n in names}, means, weight).alias("drivers"))
@@ -275,11 +285,17 @@ def workflow_folds(spark, sf_dir):
     return governance.fold_runs(definition, events)
 
 
-@query()
+@query("""WITH e AS (SELECT event_type AS name, user_id AS version, event_id AS seq, ['DRAFT', 'SHADOW', 'CANARY', 'LIVE', 'ROLLED_BACK', 'ARCHIVED'][event_id % 6 + 1] AS stage FROM events),
+b AS (SELECT *, lag(stage) OVER (PARTITION BY name, version ORDER BY seq) AS before FROM e),
+w AS (SELECT name, arg_max(version, seq) AS gone, max(seq) AS gone_at FROM b WHERE before = 'LIVE' AND stage IN ('ROLLED_BACK', 'ARCHIVED') GROUP BY 1),
+o AS (SELECT name, version, arg_max(stage, seq) AS stage, max(seq) AS last_seq, string_agg(stage, ',' ORDER BY seq) AS history FROM e GROUP BY 1, 2),
+d AS (SELECT * REPLACE (CASE WHEN stage IN ('LIVE', 'CANARY', 'SHADOW') AND row_number() OVER (PARTITION BY name, stage ORDER BY last_seq DESC) > 1 THEN 'ARCHIVED' ELSE stage END AS stage) FROM o),
+r AS (SELECT d.name, max(d.version) AS version FROM d JOIN w USING (name) WHERE d.stage = 'ARCHIVED' AND d.version <> w.gone AND d.last_seq < w.gone_at AND d.name NOT IN (SELECT name FROM d WHERE stage = 'LIVE') GROUP BY 1)
+SELECT d.name, d.version, CASE WHEN r.version IS NOT NULL THEN 'LIVE' ELSE d.stage END AS stage, d.history FROM d LEFT JOIN r ON d.name = r.name AND d.version = r.version""")
 def registry_stages(spark, sf_dir):
     stages = F.element_at(F.array(*map(F.lit, governance.EDGES)), (F.col("event_id") % 6 + 1).cast("int"))
     events = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("user_id").alias("version"), F.col("event_id").alias("seq"), stages.alias("stage"))
-    return governance.current_stages(events)
+    return governance.current_stages(events).withColumn("history", F.array_join("history", ","))
 
 
 @query("SELECT p_brand AS name, max(p_partkey) AS version FROM part WHERE p_type <> 'ECONOMY' AND p_size > 5 GROUP BY 1")
