@@ -29,12 +29,22 @@ HELD_OUT = (4, 2)
 ROUNDS = 20
 #: Numerals such as fractions and circled digits, which count as word characters in expressions but aren't letters.
 _NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_WORD, _LETTERS = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{_NUMERALS}]+")
 #: Words whose likelihoods a worker keeps; they are worked out again after that many, so memory is bounded.
 _CACHED_WORDS = 400_000
 _TEXTS_AT_ONCE = 100
 
 
+def count_words(text: str | None) -> Counter:
+    """Runs of letters in lower case and how often they stand; only words that hold a numeral take the slower expression."""
+    counted = Counter(_WORD.findall((text or "").lower()))
+    for word in [w for w in counted if not w.isalpha()]:
+        n = counted.pop(word)
+        for part in _LETTERS.findall(word):
+            counted[part] += n
+    return counted
+
+
 def word_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and word numbers of all letter trigrams of `<word>`, in the order of words; a word has as many as letters."""
     return hashed_grams(words, (3,), BUCKETS)
@@ -84,7 +94,7 @@ class LanguageModel:
         """As mixture; the words of some texts are looked up together."""
         out = []
         for k in range(0, len(texts), _TEXTS_AT_ONCE):
-            counted = [Counter(_WORD.findall((t or "").lower())) for t in texts[k : k + _TEXTS_AT_ONCE]]
+            counted = [count_words(t) for t in texts[k : k + _TEXTS_AT_ONCE]]
             if self.languages:
                 self.likelihoods(list(set().union(*counted)))
             out += [self._mixture(c) for c in counted]
@@ -92,7 +102,7 @@ class LanguageModel:
 
     def mixture(self, text: str | None) -> dict[str, float]:
         """Chosen languages and their shares of the words, which add up to 1; empty without a letter or a language."""
-        return self._mixture(Counter(_WORD.findall((text or "").lower())))
+        return self._mixture(count_words(text))
 
     def _mixture(self, counted: Counter) -> dict[str, float]:
         if not counted or not self.languages:
@@ -134,7 +144,7 @@ def _count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         for lang, text in zip(part["lang"], part["text"], strict=True):
             into = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            words = Counter(_WORD.findall(text.lower()))
+            words = count_words(text)
             buckets, of = word_buckets(list(words))
             into += np.bincount(buckets, weights=np.fromiter(words.values(), np.float64, len(words))[of], minlength=BUCKETS).astype(np.int64)
     for lang, n in counts.items():
