@@ -15,12 +15,14 @@ samples of a text are compared: PRINTS fingerprints a text, each of PRINT_SHINGL
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -251,6 +253,11 @@ def _roots(nodes: DataFrame, max_bits: int, sample: int = SAMPLE, shard_rows: in
 SIMILAR_WORDS, SIMILARITY = 5, 0.8
 #: Two texts of similarity s share the fingerprint of one sample at least with probability 1 - (1 - s^PRINT_SHINGLES)^PRINTS: 0.9996 at 0.8.
 PRINTS, PRINT_SHINGLES = 20, 5
+#: Of each of the shingles drawn so many bits are kept; in two texts of similarity s a share of (1 - s)(1 - 2^-MARK_BITS) of
+#: the shingles differs in them. Texts that differ in over MARKS_APART of 100 are not compared (chance 0.00002 at 0.8).
+MARK_BITS, MARKS_APART, _MARK_SHIFT = 4, 36, 24
+#: Bits that tell whether an odd number of a text's shingles falls on them: sets differ in as many shingles as bits, or more.
+PARITY_BITS = 1024
 #: Rows of a text's partners that one task compares with it, about.
 _PARTNERS = 4096
 #: Rows of a bucket that are compared with as many others in one piece.
@@ -267,16 +274,46 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
-def sample_prints(hashes: np.ndarray) -> list[int]:
-    """Fingerprints of PRINTS samples; each shingle of a sample is the one whose hash a bijection of its own makes least."""
+def drawn_hashes(hashes: np.ndarray) -> np.ndarray:
+    """For each of PRINTS * PRINT_SHINGLES bijections of hashes the least value."""
     least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(hashes), _COLUMNS_AT_ONCE):
         np.minimum(least, (hashes[None, k : k + _COLUMNS_AT_ONCE] * _FACTORS + _SHIFTS).min(1), out=least)
+    return least
+
+
+def sample_prints(least: np.ndarray) -> list[int]:
+    """Fingerprints of PRINTS samples of PRINT_SHINGLES drawn hashes each."""
     bits = np.unpackbits(least.view(np.uint8).reshape(PRINTS, PRINT_SHINGLES, 8), axis=2, bitorder="little")
     return np.packbits(bits.sum(1) * 2 > PRINT_SHINGLES, axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
 
-_SKETCH = T.StructType([T.StructField("kind", T.StringType()), T.StructField("shingles", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType()))])
+def marks(least: np.ndarray) -> list[int]:
+    """MARK_BITS bits of each drawn hash, as planes of 64-bit integers: first all first bits, then all second ones."""
+    held = np.zeros((MARK_BITS, -(-len(least) // 64) * 64), np.uint8)
+    for k in range(MARK_BITS):
+        held[k, : len(least)] = (least >> np.uint64(_MARK_SHIFT + k)) & np.uint64(1)
+    return np.packbits(held, axis=1, bitorder="little").view("<i8").ravel().tolist()
+
+
+def parities(hashes: np.ndarray) -> list[int]:
+    odd = np.bincount((hashes % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def parities_apart(one: str, two: str) -> Column:
+    """In how many bits two columns of parities differ."""
+    return reduce(operator.add, (F.bit_count(F.col(one)[w].bitwiseXOR(F.col(two)[w])) for w in range(PARITY_BITS // 64)))
+
+
+def marks_apart(one: str, two: str) -> Column:
+    """In how many of the drawn hashes two columns of marks differ."""
+    words = -(-PRINTS * PRINT_SHINGLES // 64)
+    differ = [[F.col(one)[k * words + w].bitwiseXOR(F.col(two)[k * words + w]) for k in range(MARK_BITS)] for w in range(words)]
+    return reduce(operator.add, (F.bit_count(reduce(Column.bitwiseOR, planes)) for planes in differ))
+
+
+_SKETCH = T.StructType([T.StructField("kind", T.StringType()), T.StructField("shingles", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType())), T.StructField("marks", T.ArrayType(T.LongType())), T.StructField("odd", T.ArrayType(T.LongType()))])
 
 
 @F.pandas_udf(_SKETCH)
@@ -285,8 +322,9 @@ def _sketches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         rows = []
         for text in part:
             held = shingle_set(text)
-            rows.append((xxhash.xxh3_128_hexdigest(held.tobytes()), len(held), majority(iter([held])), sample_prints(held)))
-        yield pd.DataFrame(rows, columns=["kind", "shingles", "fp", "prints"])
+            least = drawn_hashes(held)
+            rows.append((xxhash.xxh3_128_hexdigest(held.tobytes()), len(held), majority(iter([held])), sample_prints(least), marks(least), parities(held)))
+        yield pd.DataFrame(rows, columns=["kind", "shingles", "fp", "prints", "marks", "odd"])
 
 
 @F.pandas_udf(T.DoubleType())
@@ -319,19 +357,23 @@ def _stars(buckets: DataFrame) -> DataFrame:
     return both.where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct()
 
 
-def _open_pairs(buckets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of rows of a bucket (bucket, row, root, shingles) that are not joined yet and whose sizes allow for the similarity.
+def _open_pairs(buckets: DataFrame, heads: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of rows of a bucket (bucket, row, root, shingles) that are not joined yet and whose sizes and marks allow for the similarity.
 
     Only buckets with two roots or more are left. Each is cut into pieces of about _PIECE rows and every two pieces meet as a
-    join key of their own, so that no bucket is one task's work.
+    join key of their own, so that no bucket is one task's work. Of two sets of similarity s that hold n shingles together at most n (1 - s) / (1 + s)
+    are in one set only, so sets with more parities apart are left out for certain; marks tell long texts apart, where
+    parities don't. Rows of which only a passage is equal so meet inside the join and leave no pair behind.
     """
     sizes = buckets.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
     left = join_heavy(buckets, sizes, ["bucket"], "size", buckets.count())
-    left = settle(left.select("bucket", "row", "root", "shingles", F.ceil(F.col("size") / _PIECE).cast("int").alias("pieces")))
+    left = settle(left.select("bucket", "row", "root", "shingles", F.ceil(F.col("size") / _PIECE).cast("int").alias("pieces")).join(heads.select("row", "marks", "odd"), "row"))
     left = left.withColumn("piece", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int"))
-    x = left.select("bucket", F.col("row").alias("a"), F.col("root").alias("root_a"), F.col("shingles").alias("n_a"), F.col("piece").alias("p"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("q"))
-    y = left.select("bucket", F.col("row").alias("b"), F.col("root").alias("root_b"), F.col("shingles").alias("n_b"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p"), F.col("piece").alias("q"))
+    x = left.select("bucket", F.col("row").alias("a"), F.col("root").alias("root_a"), F.col("shingles").alias("n_a"), F.col("marks").alias("marks_a"), F.col("odd").alias("odd_a"), F.col("piece").alias("p"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("q"))
+    y = left.select("bucket", F.col("row").alias("b"), F.col("root").alias("root_b"), F.col("shingles").alias("n_b"), F.col("marks").alias("marks_b"), F.col("odd").alias("odd_b"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p"), F.col("piece").alias("q"))
     fit = (F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+    fit &= parities_apart("odd_a", "odd_b") * (1 + similarity) <= (F.col("n_a") + F.col("n_b")) * (1 - similarity) + 1e-6
+    fit &= marks_apart("marks_a", "marks_b") <= MARKS_APART
     return x.join(y, ["bucket", "p", "q"]).where(fit).select("a", "b")
 
 
@@ -348,7 +390,7 @@ def similar_documents(rows: DataFrame, similarity: float = SIMILARITY) -> DataFr
     total = own.count()
     classes = own.groupBy("kind").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"))
     known = settle(join_heavy(own.select("row", "kind"), classes, ["kind"], "copies", total).select("row", "first"))
-    heads = settle(own.join(classes.select(F.col("first").alias("row")), "row").select("row", "shingles", "fp", "prints"))
+    heads = settle(own.join(classes.select(F.col("first").alias("row")), "row").select("row", "shingles", "fp", "prints", "marks", "odd"))
 
     fps = settle(heads.groupBy("fp").agg(F.count(F.lit(1)).alias("members")))
     near = join_heavy(heads.select("row", "fp"), _roots(fps, MAX_BITS), ["fp"], "members", total).select(F.col("root").alias("bucket"), "row")
@@ -359,7 +401,7 @@ def similar_documents(rows: DataFrame, similarity: float = SIMILARITY) -> DataFr
     links = _verified(_stars(settle(near)).union(_stars(buckets)), texts, similarity)
     stars = components(links).select(F.col("a").alias("row"), F.col("b").alias("root"))
     rooted = settle(buckets.join(stars, "row", "left").withColumn("root", F.coalesce("root", "row")))
-    moved = components(links.union(_verified(_open_pairs(rooted, similarity), texts, similarity))).select(F.col("a").alias("first"), F.col("b").alias("root"))
+    moved = components(links.union(_verified(_open_pairs(rooted, heads, similarity), texts, similarity))).select(F.col("a").alias("first"), F.col("b").alias("root"))
     return known.join(moved, "first", "left").select("row", F.coalesce("root", "first").alias("root"))
 
 

@@ -3,6 +3,7 @@
 import collections
 
 import corpus_pipeline
+import numpy as np
 from kelpforge.llm import exact_dedup, simhash
 
 SCHEMA = "doc_id long, text string"
@@ -81,3 +82,33 @@ def test_buckets_of_unlike_rows_and_clashing_names(spark):
         docs = docs.selectExpr("*", f"1 AS {name}")
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == list(range(30))
+
+
+def test_sketches_tell_apart_no_similar_texts(spark):
+    """Parities never exceed the shingles that are in one set only; marks differ in as many hashes as the low bits drawn do."""
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 5, 150, 900, 20_000)]
+    pairs = [(s, s[: max(1, int(len(s) * share))]) for s in sets for share in (1, 0.95, 0.8, 0.5)]
+    rows, wanted = [], []
+    for k, (a, b) in enumerate(pairs):
+        x, y = simhash.drawn_hashes(a), simhash.drawn_hashes(b)
+        rows.append((k, simhash.marks(x), simhash.marks(y), simhash.parities(a), simhash.parities(b)))
+        low = np.uint64(simhash._MARK_SHIFT)
+        wanted.append((len(a) - len(b), int((((x ^ y) >> low) & np.uint64((1 << simhash.MARK_BITS) - 1) != 0).sum())))
+    df = spark.createDataFrame(rows, "k int, ma array<long>, mb array<long>, oa array<long>, ob array<long>")
+    told = df.select("k", simhash.parities_apart("oa", "ob").alias("odd"), simhash.marks_apart("ma", "mb").alias("marks")).orderBy("k").collect()
+    for r, (a, b), (apart, marks) in zip(told, pairs, wanted, strict=True):
+        assert r.odd <= apart and r.marks == marks
+        assert len(b) < 0.8 * len(a) or r.marks <= simhash.MARKS_APART
+
+
+def test_group_around_the_threshold(spark):
+    """Edits of one text, from few to many: rows that are similar to any other row go, all others stay."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(150)]
+    docs = []
+    for k in range(120):
+        at = set(rng.choice(150, rng.integers(0, 9), replace=False).tolist())
+        docs.append((k, " ".join(f"e{k}" if j in at else w for j, w in enumerate(base))))
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert kept == {k for k, _ in docs} - plain_lost(docs) and 1 < len(kept) < 119
