@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpforge.llm import decontaminate, exact_dedup, language_id, packing, quality, secret_scan, simhash, toxicity, url_filter, warc
+from kelpforge.llm import centroids, decontaminate, exact_dedup, language_id, packing, periodic_runs, quality, secret_scan, simhash, token_counts, toxicity, url_filter, warc
 from kelpforge.llm._common import read_table
 
 
@@ -59,6 +59,30 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # where the driver finds the vocabulary's file; executors need none
+
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.with_planted_runs(read_table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(best[c].alias(c) for c in ("start", "length", "period")),
+        F.floor(best["length"] * 1000 / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -70,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
+    "op11_token_counts": op11_token_counts,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_centroids": op13_centroids,
 }
 
 
@@ -116,9 +143,33 @@ _WARC_SQL = """
            CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to, TRUE AS intact
     FROM f"""
 
+
+
+def _centroid_sql() -> str:
+    distance = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    ctes = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+             WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = 64)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, x FROM v ORDER BY k LIMIT 16)",
+    ]
+    for n in range(centroids.ROUNDS + 1):
+        ctes.append(f"a{n} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS x, arg_min(k, d * 100 + k) AS k, min(d) AS d FROM (SELECT v.r, v.vec_id, v.x, c.k, {distance} AS d FROM v, c{n} c) GROUP BY r)")
+        if n < centroids.ROUNDS:
+            ctes.append(f"""m{n} AS MATERIALIZED (SELECT k, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS x
+                FROM (SELECT k, i, sum(y) AS s, count(*) AS n FROM (SELECT k, unnest(x) AS y, unnest(range(64)) AS i FROM a{n}) GROUP BY k, i) GROUP BY k)""")
+            ctes.append(f"c{n + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN m{n} m USING (k))")
+    last = centroids.ROUNDS
+    return f"""
+    WITH {", ".join(ctes)}
+    SELECT a.vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+           CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+    FROM a{last} a JOIN c{last} c USING (k)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": _WARC_SQL,
     "op5_secret_scan": _secret_sql(),
     "op8_exact_dedup": _EXACT_SQL,
     "op9_url_filter": _URL_SQL,
+    "op13_centroids": _centroid_sql(),
 }
