@@ -479,17 +479,20 @@ def diversity_rerank(spark, sf_dir):
     return ranking.rerank(pool, 15, 0.7, 0.1)
 
 
-_BASKETS = "b AS (SELECT DISTINCT o_custkey AS u, l_partkey % 200 AS i FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+_BASKETS = "b AS (SELECT DISTINCT o_custkey AS u, l_partkey AS i FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 
 
 def _baskets(spark, sf_dir):
     joined = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return joined.select(F.col("o_custkey").alias("u"), (F.col("l_partkey") % 200).alias("i"), F.col("o_orderdate").alias("t"), F.col("l_quantity").alias("q"))
+    return joined.select(F.col("o_custkey").alias("u"), F.col("l_partkey").alias("i"), F.col("o_orderdate").alias("t"), F.col("l_quantity").alias("q"))
 
 
-@query(f"WITH {_BASKETS}, n AS (SELECT i, count(*) AS n FROM b GROUP BY 1), c AS (SELECT x.i AS a, y.i AS b, count(*) AS c FROM b x JOIN b y ON x.u = y.u AND x.i <> y.i GROUP BY 1, 2) SELECT a AS item_a, b AS item_b, round(c / sqrt(p.n * q.n), 6) AS similarity FROM c JOIN n p ON p.i = a JOIN n q ON q.i = b")
+@query(f"""WITH {_BASKETS}, n AS (SELECT i, count(*) AS n FROM b GROUP BY 1), c AS (SELECT x.i AS a, y.i AS b, count(*) AS c FROM b x JOIN b y ON x.u = y.u AND x.i <> y.i GROUP BY 1, 2),
+w AS (SELECT a, b, c, CAST(c AS DOUBLE) * c / CAST(p.n * q.n AS DOUBLE) AS w FROM c JOIN n p ON p.i = a JOIN n q ON q.i = b), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS rank FROM w)
+SELECT a AS item_a, b AS item_b, c AS shared, round(sqrt(w), 6) AS similarity, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20""")
 def item_knn(spark, sf_dir):
-    return retrieval.item_cosine(_baskets(spark, sf_dir), "u", "i").withColumn("similarity", r6("similarity"))
+    """The twenty likest parts of every part, by the customers that bought both."""
+    return retrieval.item_neighbours(_baskets(spark, sf_dir), "u", "i", 20).withColumn("similarity", r6("similarity"))
 
 
 @query("SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1")

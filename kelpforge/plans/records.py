@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from kelpforge.functions import hashing, numeric, text
-from kelpforge.operators import features, governance, ledger, models, planning, privacy, proximity, ranking, retrieval, statistics, tables
+from kelpforge.operators import features, governance, ledger, models, planning, privacy, proximity, ranking, retrieval, statistics, tables, towers
 from kelpforge.plans.catalog import _VECTORS, _baskets, _entries, _vectors, query, r6, table
 from kelpforge.sources import files
+from kelpforge.sources.shared import scratch, settle
 from kelpforge.streaming import streams
 
 # Projections and predicates
@@ -184,12 +183,58 @@ def graph_recall(spark, sf_dir):
     return proximity.recall_by_budget(queries, corpus, retrieval.exact_neighbours(queries, corpus, 10), 10)
 
 
+def _bought(spark, sf_dir):
+    """Customers' newest part as test, the one before as validation, the rest to train on: id, item, part."""
+    bought = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = bought.select(F.col("o_custkey").alias("id"), F.col("l_partkey").alias("item"), F.lit(5).alias("rating"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    return settle(ranking.leave_last_out(rows, "id", "item", "rating", "at"))
+
+
+def _weighed(rows):
+    return rows.groupBy(F.col("id").cast("int").alias("user"), F.col("item").cast("int").alias("item")).agg(F.count(F.lit(1)).cast("float").alias("weight"))
+
+
 @query()
 def factor_recommendations(spark, sf_dir):
-    """Each user's ten best items by the model's factors."""
-    rows = _baskets(spark, sf_dir).groupBy(F.col("u").cast("int").alias("user"), F.col("i").cast("int").alias("item")).agg(F.count(F.lit(1)).cast("float").alias("weight"))
-    model = retrieval.factor_model(rows, rank=8, rounds=3)
-    return retrieval.factor_recommendations(model, 10)
+    """The ten best parts that they haven't bought, for customers whose number is divisible by 20."""
+    rows = _baskets(spark, sf_dir).select(F.col("u").alias("id"), F.col("i").alias("item"))
+    asked = rows.where("id % 20 = 0")
+    return retrieval.factor_recommendations(retrieval.factor_model(_weighed(rows), rank=8, rounds=3), asked.select(F.col("id").cast("int").alias("id")), 10, asked)
+
+
+TOWERS = towers.TowerConfig(dimension=16, epochs=4, shard_rows=100_000)
+
+
+@query()
+def two_tower_recommendations(spark, sf_dir):
+    """As factor_recommendations, by the two-tower model."""
+    rows = _baskets(spark, sf_dir).select(F.col("u").alias("id"), F.col("i").alias("item"))
+    asked = rows.where("id % 20 = 0")
+    found = towers.retrieve(towers.train_towers(rows, "id", "item", TOWERS), asked.select("id"), 10, asked)
+    return found.select(F.col("query_id").cast("long").alias("user"), F.col("item_id").cast("long").alias("item"), "score", "rank")
+
+
+@query()
+def two_tower_evaluation(spark, sf_dir):
+    """Hit rate, NDCG and MRR at 10 of the newest part of customers whose number is divisible by 20, by model; losses of the first and last epoch."""
+    rows = _bought(spark, sf_dir)
+    train, test = rows.where("part = 'train'"), rows.where("part = 'test' AND id % 20 = 0").select("id", "item")
+    seen = rows.where("part <> 'test' AND id % 20 = 0").select("id", "item")
+    model = towers.train_towers(train, "id", "item", TOWERS)
+    kept = lambda t: t.select(F.col("id").cast("long").alias("id"), "vector")
+    counts = ranking.popularity(train, "item").select(F.col("item").alias("id"), F.array(F.col("n").cast("float")).alias("vector"))
+    everyone = test.select("id", F.array(F.lit(1.0).cast("float")).alias("vector")).distinct()
+    told = [
+        ("two_tower", kept(model.users), kept(model.items), model.losses[0], model.losses[-1]),
+        ("factors", *map(kept, retrieval.factors(retrieval.factor_model(_weighed(train), rank=16, rounds=4))), None, None),
+        ("popularity", everyone, counts, None, None),
+    ]
+    out = None
+    for name, users, items, first, last in told:
+        ranks = retrieval.held_out_ranks(users, items, test, seen)
+        row = ranking.evaluation_summary(ranks, "rank", 10, 500).select(F.lit(name).alias("model"), "*", F.lit(first).cast("double").alias("first_loss"), F.lit(last).cast("double").alias("last_loss"))
+        out = out.union(row) if out else row
+    return out
 
 
 @query(f"""WITH {_VECTORS}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_dot_product(a.v, b.v), 12) AS s FROM u a, u b WHERE a.vec_id % 20 = 0),
@@ -307,18 +352,9 @@ def eligible_versions(spark, sf_dir):
 # Sources and scheduled checks
 
 
-def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="kelpforge-")
-    return f"{base}/records-{uuid.uuid4().hex}"
-
-
 @query("SELECT o_orderkey, '''=' || o_orderpriority AS note, CAST(o_totalprice AS DOUBLE) AS price FROM orders")
 def csv_round_trip(spark, sf_dir):
-    path = _scratch(spark)
+    path = scratch(spark, "records")
     files.write_csv(table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("="), "o_orderpriority").alias("note"), F.col("o_totalprice").alias("price")), path)
     return spark.read.schema("o_orderkey long, note string, price double").csv(path, header=True)
 
@@ -331,7 +367,7 @@ def checked_json(spark, sf_dir):
 
 @query()
 def evidence_round_trip(spark, sf_dir):
-    path = _scratch(spark)
+    path = scratch(spark, "records")
     book = ledger.append(_entries(spark, sf_dir).where("tenant_id = 't2'"), key=b"key")
     files.write_evidence(book, ledger.evidence_manifest(book, "t2", b"key"), path)
     manifest, back = files.read_evidence(spark, path, ledger.ENTRY)
