@@ -4,12 +4,13 @@ Texts become sequences of tokens in which numbers, names (capitalised words) and
 placeholders; the values they replaced are the slots. Windows of five template tokens are hashed and joined with the
 benchmark's; a bit array of the benchmark's hashes, of fixed size, leaves the other windows of a text out beforehand.
 An item that covers at least `similarity` of its windows in a text has at least one of its rarest windows there, so
-those alone find candidates: windows of nothing but placeholders, which number tables are full of, are looked at for
-candidates only. There hits are gathered by text, item and diagonal (text position minus item position). In a diagonal
-each slot value of the item stands for one value of the text, the one it has in most windows; windows with another value
-are dropped, but windows whose slots are identical always count. A verbatim passage maps every value on itself; a
-question asked again with other numbers or names may give two of them the same new value. A text holds an item if what
-is left covers at least `similarity` of the item's windows.
+those alone find candidates. There hits are gathered by text, item and diagonal (text position minus item position).
+Windows of nothing but placeholders, which number tables are full of, are all alike: they count where their slots are
+identical, and else only on diagonals where a window with a word has met its own, so that n numbers never meet n others.
+In a diagonal each slot value of the item stands for one value of the text, the one it has in most windows; windows with
+another value are dropped, but windows whose slots are identical always count. A verbatim passage maps every value on
+itself; a question asked again with other numbers or names may give two of them the same new value. A text holds an item
+if what is left covers at least `similarity` of the item's windows.
 """
 
 from __future__ import annotations
@@ -39,11 +40,12 @@ UNITS = (
 ).split()
 _NAME = "\x01"
 _SLOT_END = "\x02"
+_BECOMES = "\x03"
 
 
 def tokens(text: Column) -> Column:
     """Lower-case words, numbers (ASCII digits) and unit signs; what was a capitalised word has a mark before it."""
-    plain = F.translate(empty_if_null(text), _NAME + _SLOT_END, "  ")
+    plain = F.translate(empty_if_null(text), _NAME + _SLOT_END + _BECOMES, "   ")
     marked = F.regexp_replace(plain, r"\p{Lu}(?<!\p{L}\p{Lu})\p{Ll}+", _NAME + "$0")
     return F.regexp_extract_all(F.lower(marked), F.lit(_NAME + r"?[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*|[%°$€£]"), F.lit(0))
 
@@ -121,11 +123,15 @@ _WINDOWS = "array<struct<at:int,hash:bigint,slots:string,alone:boolean>>"
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """item (a key of each row's own), item_id, item_at, hash, item_slots, short, item_windows: what is looked for. A shorter item is one window."""
+    """item (a key of each row's own), item_id, item_at, hash, item_slots, short, bare, item_windows: what is looked for.
+
+    A shorter item is one window. bare tells that a window of a longer one holds nothing but placeholders.
+    """
     asked = settle(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_col).alias("item_id"), F.col(text_col).alias("text")))
     long = windows(asked, [window]).withColumn("short", F.lit(False))
     short = windows(asked, range(1, window), whole_only=True).withColumn("short", F.lit(True))
-    items = settle(long.unionByName(short).select("item", "item_id", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), "short").distinct())
+    bare = ~F.col("short") & (F.regexp_count("slots", F.lit(_SLOT_END)) == window)
+    items = settle(long.unionByName(short).select("item", "item_id", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"), "short", bare.alias("bare")).distinct())
     return settle(items.join(items.groupBy("item").agg(F.countDistinct("item_at").alias("item_windows")), "item"))
 
 
@@ -142,25 +148,29 @@ def rarest(items: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
 
 
 def _slot_pairs(own: Column, other: Column) -> Column:
+    """Which value of the item becomes which of the text, as one string a pair; those are hashed, where structs would be compared."""
     cut = lambda c: F.split(c, _SLOT_END)
-    return F.zip_with(cut(own), cut(other), lambda a, b: F.struct(a.alias("item"), b.alias("doc")))
+    return F.array_distinct(F.zip_with(cut(own), cut(other), lambda a, b: F.concat(a, F.lit(_BECOMES), b)))
 
 
-def _changed(pair: Column) -> Column:
-    return pair["item"] != pair["doc"]
+def _item_value(pair: Column) -> Column:
+    return F.substring_index(pair, _BECOMES, 1)
 
 
-def _outvoted(votes: Column, pairs: Column) -> Column:
-    """Pairs whose item value stands for another document value in more windows; of equals itself stays, then the smallest."""
-    count = lambda p: F.size(F.filter(votes, lambda v: v == p))
+def _outvoted(diagonals: DataFrame) -> DataFrame:
+    """key, item, diagonal, outvoted: pairs whose item value becomes another text value in more windows; of equals itself stays, then the smallest.
 
-    def loses(p: Column) -> Column:
-        first = ~_changed(p)
-        better = lambda q: (count(q) > count(p)) | ((count(q) == count(p)) & ~first & (~_changed(q) | (q["doc"] < p["doc"])))
-        return F.exists(pairs, lambda q: (q["item"] == p["item"]) & (q["doc"] != p["doc"]) & better(q))
-
-    conflict = F.size(pairs) > F.size(F.array_distinct(F.transform(pairs, lambda p: p["item"])))
-    return F.when(conflict, F.filter(pairs, loses)).otherwise(F.slice(pairs, 1, 0))
+    Votes are counted by grouping, and only where a value of the item becomes two.
+    """
+    votes = F.flatten(F.transform("hits", lambda h: h["pairs"]))
+    pairs = F.array_distinct(votes)
+    conflict = F.size(pairs) > F.size(F.array_distinct(F.transform(pairs, _item_value)))
+    own = ["key", "item", "diagonal"]
+    counts = diagonals.where(conflict).select(*own, F.explode_outer(votes).alias("pair")).groupBy(*own, "pair").agg(F.count(F.lit(1)).alias("n"))
+    value = F.substring_index("pair", _BECOMES, -1)
+    best = Window.partitionBy(*own, _item_value(F.col("pair"))).orderBy(F.desc("n"), _item_value(F.col("pair")) != value, value)
+    lost = counts.withColumn("nth", F.row_number().over(best)).where("nth > 1")
+    return lost.groupBy(*own).agg(F.collect_set("pair").alias("outvoted"))
 
 
 def contaminated(
@@ -187,27 +197,38 @@ def contaminated(
     shared = F.broadcast if small else lambda df: df
     texts = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = settle(windows(texts, [window, *_short_widths(benchmark, item_text_col, window)], HashBits.of(items)))
-    candidates = settle(found.select("key", "hash").join(shared(rarest(items, found, similarity)), "hash").select("key", "item").distinct())
-    hits = found.join(candidates, "key").join(shared(items), ["item", "hash"])
-    hits = hits.where(~F.col("short") | F.col("alone") | (F.col("slots") == F.col("item_slots")))
-    # One diagonal holds each item position once, so what is gathered is bounded by the item's length.
-    slotted = (F.col("slots") != "") | (F.col("item_slots") != "")
-    hit = F.struct(F.col("item_at").alias("place"), F.when(slotted, F.array_distinct(_slot_pairs(F.col("item_slots"), F.col("slots")))).alias("pairs"))
-    told = ["key", "doc_id", "item", "item_id", "item_windows"]
-    diagonals = hits.groupBy(*told, (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set(hit).alias("hits"))
-    diagonals = diagonals.withColumn("votes", F.flatten(F.filter(F.transform("hits", lambda h: h["pairs"]), lambda p: p.isNotNull())))
-    diagonals = diagonals.withColumn("pairs", F.array_distinct("votes")).withColumn("outvoted", _outvoted(F.col("votes"), F.col("pairs")))
-    fits = lambda h: h["pairs"].isNull() | ~F.exists(h["pairs"], _changed) | ~F.arrays_overlap(h["pairs"], F.col("outvoted"))
-    matched = (
-        diagonals.select(*told, F.explode(F.filter("hits", fits)).alias("hit"))
-        .select(*told, F.col("hit.place").alias("place"), F.coalesce(F.exists("hit.pairs", _changed), F.lit(False)).alias("changed"))
-        .groupBy(*told)
-        .agg(F.countDistinct("place").alias("matched_windows"), F.countDistinct(F.when(~F.col("changed"), F.col("place"))).alias("same"))
-        .withColumn("verbatim", F.col("same") == F.col("matched_windows"))
+    rare = rarest(items, found, similarity)
+    # Windows that a text has over and over are one before they meet the items.
+    met = found.select("key", "doc_id", "hash").join(shared(rare.select("hash").distinct()), "hash", "left_semi").distinct()
+    candidates = met.join(shared(rare), "hash").select("key", "doc_id", "item").distinct()
+    # By window as well as by text, so that a very long text is not one task's work.
+    wanted = settle(candidates.join(shared(items.select("item", "hash", "bare").distinct()), "item"))
+    near = found.drop("doc_id").join(wanted, ["key", "hash"])
+    of_item = shared(items.select("item", "hash", "item_at", "item_slots", "short"))
+    hits = near.where("NOT bare").join(of_item, ["item", "hash"])
+    hits = settle(hits.where(~F.col("short") | F.col("alone") | (F.col("slots") == F.col("item_slots"))).select("key", "item", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), "slots", "item_slots"))
+
+    copies = near.where("bare").select("key", "item", "hash", F.col("slots").alias("item_slots")).distinct()
+    copied = copies.join(shared(items.where("bare").select("item", "hash", "item_slots", "item_at")), ["item", "hash", "item_slots"])
+    copied = copied.select("key", "item", F.col("item_at").alias("place"), F.lit(False).alias("changed"))
+    beside = hits.select("key", "item", "diagonal").distinct().join(shared(items.where("bare").select("item", "hash", "item_at", "item_slots")), "item")
+    beside = beside.withColumn("at", F.col("item_at") + F.col("diagonal")).join(found.select("key", "at", "hash", "slots"), ["key", "at", "hash"])
+    hits = hits.unionByName(beside.select(*hits.columns))
+
+    # One diagonal holds each item position once or twice, so what is gathered is bounded by the item's length.
+    hit = F.struct(F.col("item_at").alias("place"), (F.col("slots") != F.col("item_slots")).alias("changed"), _slot_pairs(F.col("item_slots"), F.col("slots")).alias("pairs"))
+    diagonals = settle(hits.groupBy("key", "item", "diagonal").agg(F.collect_set(hit).alias("hits")))
+    judged = diagonals.join(_outvoted(diagonals), ["key", "item", "diagonal"], "left")
+    fits = lambda h: ~h["changed"] | F.col("outvoted").isNull() | ~F.arrays_overlap(h["pairs"], F.col("outvoted"))
+    places = judged.select("key", "item", F.explode_outer(F.transform(F.filter("hits", fits), lambda h: F.struct(h["place"], h["changed"]))).alias("hit")).where("hit IS NOT NULL")
+    matched = places.select("key", "item", "hit.*").unionByName(copied).groupBy("key", "item").agg(
+        F.countDistinct("place").alias("matched_windows"), F.countDistinct(F.when(~F.col("changed"), F.col("place"))).alias("same")
     )
+    matched = matched.join(shared(items.select("item", "item_id", "item_windows").distinct()), "item").withColumn("verbatim", F.col("same") == F.col("matched_windows"))
     share = F.col("matched_windows") / F.col("item_windows")
     best = F.max(F.struct("matched_windows", "verbatim", "item_windows")).alias("best")
-    held = matched.where(share >= similarity).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    named = wanted.select("key", "doc_id", "item").distinct().join(matched.where(share >= similarity), ["key", "item"])
+    held = named.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
     return held.select("doc_id", "item_id", "matched_windows", "item_windows", share.alias("similarity"), "verbatim")
 
 
