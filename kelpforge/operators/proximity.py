@@ -1,160 +1,203 @@
-"""Approximate nearest neighbours by navigable small-world graphs in layers, one graph for each shard of the corpus.
+"""Approximate nearest neighbours by a proximity graph that is a table, built and searched by joins.
 
-A shard's graph is built in memory by one task, so shards have a bounded expected size and their number grows with the
-corpus. Every shard answers every query with its own k best, which are merged by similarity; a graph errs only inside its
-shard, so recall doesn't fall as shards are added.
+Nodes are (id, vector), unit vectors under cosine; links are (id, other, similarity), `degree` a node. Building starts from
+small random-projection leaves and goes on in rounds of NN-descent: what a node's neighbours (both ways) have near them
+becomes a candidate for each other. A group is one node's neighbourhood, of a bounded size, so rounds are joins and
+grouped maps with no graph in any one task. Searching is a best-first walk for all queries and budgets at once: each step
+joins the best open nodes of every query with the links and their vectors, and keeps the best `budget` seen.
+
+The links are pruned as they are stored: a link to a node that lies nearer to a kept neighbour than to the node itself goes to
+the end of the list, so that links lead in different directions.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Hashable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 20_000
+from kelpforge.functions.numeric import dot, normalised
+from kelpforge.operators.blocks import block_top_k
+from kelpforge.sources.shared import settle
 
+#: Rows of a random-projection leaf at most, about; and of the levels that a tree may have.
+LEAF_ROWS, MOST_LEVELS = 64, 40
+#: Nodes that queries may start from, at least; there are as many as the root of the nodes' number.
+ENTRIES = 64
 
-class LayeredGraph:
-    """Unit vectors under cosine similarity. A node stands in layer 0 and, with a chance of 1 / degree each, in the layers above.
 
-    Layers are kept as lists of neighbour arrays: `degree` links a node, twice that in layer 0. A key that is added again
-    replaces its vector: the old node still leads on, but is never an answer.
-    """
+@dataclass(frozen=True)
+class GraphConfig:
+    degree: int = 16
+    trees: int = 4
+    rounds: int = 3
+    seed: int = 7
+    leaf_rows: int = LEAF_ROWS
+
+    def __post_init__(self):
+        if min(self.degree, self.trees, self.leaf_rows) < 1 or self.rounds < 0:
+            raise ValueError("a graph needs links and leaves")
+
+
+@dataclass
+class Graph:
+    """nodes (id, vector), links (id, other, similarity), entries (id, vector)."""
+
+    nodes: DataFrame
+    links: DataFrame
+    entries: DataFrame
+
+
+def unit_nodes(corpus: DataFrame) -> DataFrame:
+    """id, vector of length one as array<float>; null vectors take no part, of equal ids the vector counts that sorts first."""
+    own = corpus.where("vector IS NOT NULL AND id IS NOT NULL").groupBy("id").agg(F.min("vector").alias("vector"))
+    return own.select("id", F.transform(normalised(F.col("vector")), lambda x: x.cast("float")).alias("vector"))
+
+
+def _leaves(nodes: DataFrame, tree: int, levels: int, config: GraphConfig, width: int) -> DataFrame:
+    """leaf, id, vector: nodes by the signs of as many random projections as there are levels, dealt by hash where vectors crowd."""
+    planes = np.random.default_rng([config.seed, tree]).normal(size=(max(levels, 1), max(width, 1)))
+
+    @F.pandas_udf("long")
+    def code(v: pd.Series) -> pd.Series:
+        m = np.array([np.asarray(x, np.float64) for x in v]) if len(v) else np.zeros((0, width))
+        return pd.Series(((m @ planes.T > 0) @ (1 << np.arange(len(planes), dtype=np.int64))) if len(v) else [], dtype="int64")
 
-    def __init__(self, degree: int = 12, breadth: int = 80, seed: int = 7):
-        self.degree, self.breadth = degree, breadth
-        self.rng = np.random.default_rng(seed)
-        self.keys: list[Hashable] = []
-        self.vectors = np.zeros((0, 0), np.float32)
-        self.layers: list[dict[int, np.ndarray]] = []
-        self.node_of: dict[Hashable, int] = {}
-        self.entry = -1
-
-    def __len__(self) -> int:
-        return len(self.node_of)
-
-    def _likeness(self, nodes: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return self.vectors[nodes] @ v
-
-    def _beam(self, v: np.ndarray, starts: list[int], layer: int, width: int) -> list[tuple[float, int]]:
-        """The `width` nodes likest to v that a best-first walk from starts meets, the likest first."""
-        links = self.layers[layer]
-        seen = set(starts)
-        best = list(zip(self._likeness(np.array(starts), v).tolist(), starts, strict=True))
-        heapq.heapify(best)
-        frontier = [(-s, n) for s, n in best]
-        heapq.heapify(frontier)
-        while frontier:
-            s, node = heapq.heappop(frontier)
-            if len(best) >= width and -s < best[0][0]:
-                break
-            new = [n for n in links[node].tolist() if n not in seen]
-            if not new:
-                continue
-            seen.update(new)
-            for likeness, n in zip(self._likeness(np.array(new), v).tolist(), new, strict=True):
-                if len(best) < width:
-                    heapq.heappush(best, (likeness, n))
-                elif likeness > best[0][0]:
-                    heapq.heapreplace(best, (likeness, n))
-                else:
-                    continue
-                heapq.heappush(frontier, (-likeness, n))
-        return sorted(best, reverse=True)
-
-    def _spread(self, v: np.ndarray, found: list[tuple[float, int]], most: int) -> np.ndarray:
-        """Up to `most` of found that lie in different directions: one is passed over while it is liker to a chosen one than to v."""
-        chosen: list[int] = []
-        for likeness, n in found:
-            if len(chosen) == most:
-                break
-            if not chosen or float(self._likeness(np.array(chosen), self.vectors[n]).max()) < likeness:
-                chosen.append(n)
-        rest = [n for _, n in found if n not in set(chosen)]
-        return np.array((chosen + rest)[:most], np.int64)
-
-    def _descend(self, v: np.ndarray, layer: int) -> list[int]:
-        """Greedy walk from the top down to the layer above `layer`."""
-        at = [self.entry]
-        for k in range(len(self.layers) - 1, layer, -1):
-            at = [self._beam(v, at, k, 1)[0][1]]
-        return at
-
-    def add(self, key: Hashable, vector: np.ndarray) -> None:
-        v = np.asarray(vector, np.float32)
-        norm = float(np.linalg.norm(v))
-        v = v / norm if norm else v
-        node = len(self.keys)
-        if node >= len(self.vectors):
-            grown = np.zeros((max(64, 2 * node), len(v)), np.float32)
-            grown[: len(self.vectors)] = self.vectors if node else 0
-            self.vectors = grown
-        self.vectors[node] = v
-        self.keys.append(key)
-        self.node_of[key] = node
-        top = int(self.rng.geometric(1 - 1 / self.degree)) - 1
-        held = len(self.layers)
-        at = self._descend(v, top) if held and top < held else [self.entry]
-        for layer in range(min(top, held - 1), -1, -1):
-            found = self._beam(v, at, layer, self.breadth)
-            at, most = [n for _, n in found], self.degree * (2 if layer == 0 else 1)
-            self.layers[layer][node] = self._spread(v, found, self.degree)
-            for other in self.layers[layer][node].tolist():
-                linked = np.append(self.layers[layer][other], node)
-                if len(linked) > most:
-                    likeness = self._likeness(linked, self.vectors[other])
-                    order = np.argsort(-likeness, kind="stable")
-                    linked = self._spread(self.vectors[other], list(zip(likeness[order].tolist(), linked[order].tolist(), strict=True)), most)
-                self.layers[layer][other] = linked
-        if top >= held:
-            self.layers += [{node: np.zeros(0, np.int64)} for _ in range(held, top + 1)]
-            self.entry = node
-
-    def search(self, vector: np.ndarray, k: int, budget: int) -> list[tuple[Hashable, float]]:
-        """The k keys found likest, with their cosine; budget is how many nodes the walk in layer 0 keeps."""
-        if not self.keys:
-            return []
-        v = np.asarray(vector, np.float32)
-        norm = float(np.linalg.norm(v))
-        v = v / norm if norm else v
-        stale = len(self.keys) - len(self.node_of)
-        found = self._beam(v, self._descend(v, 0), 0, max(budget, k) + stale)
-        live = [(self.keys[n], s) for s, n in found if self.node_of[self.keys[n]] == n]
-        return live[:k]
-
-
-def graph_neighbours(queries: DataFrame, corpus: DataFrame, k: int, budget: int = 64, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """query_id, item_id, similarity, rank for queries and corpus (id, vector): about the k likest items of each query.
-
-    Null vectors take no part; of equal ids in the corpus one vector counts. An empty side gives no rows.
+    coded = nodes.select(code("vector").alias("code"), "id", "vector")
+    crowd = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).withColumn("deals", F.ceil(F.col("n") / config.leaf_rows).cast("int"))
+    return coded.join(crowd, "code").select("code", F.pmod(F.xxhash64("id", F.lit(tree)), F.col("deals")).alias("deal"), "id", "vector")
+
+
+def _near_in_group(degree: int, fresh: bool):
+    """A grouped map: of the pairs of a small group's rows each row's `degree` best; with fresh, only pairs one of which is new."""
+
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("other").sort_values("other", kind="stable")
+        ids = rows["other"].to_numpy()
+        m = np.array([np.asarray(v, np.float64) for v in rows["vector"]])
+        s = np.round(m @ m.T, 9)
+        np.fill_diagonal(s, -np.inf)
+        if fresh:
+            new = rows["fresh"].to_numpy(bool)
+            s[~(new[:, None] | new[None, :])] = -np.inf
+        top = np.argsort(-s, axis=1, kind="stable")[:, :degree]
+        told = np.take_along_axis(s, top, 1).ravel()
+        found = pd.DataFrame({"id": np.repeat(ids, top.shape[1]), "other": ids[top].ravel(), "similarity": told})
+        return found[np.isfinite(told)]
+
+    return pairs
+
+
+def _best_links(pairs: DataFrame, degree: int) -> DataFrame:
+    order = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
+    return pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= degree)
+
+
+def build_graph(corpus: DataFrame, config: GraphConfig | None = None) -> Graph:
+    """The graph of corpus (id, vector). An empty corpus gives an empty graph.
+
+    A round costs a shuffle of at most 2 * degree vectors a node. Rounds end early once fewer than one link in a hundred
+    is new.
+    """
+    config = config or GraphConfig()
+    nodes = settle(unit_nodes(corpus))
+    kind, n = dict(nodes.dtypes)["id"], nodes.count()
+    first = nodes.first()
+    width = len(first["vector"]) if first else 1
+    links_type = f"id {kind}, other {kind}, similarity double"
+    levels = min(MOST_LEVELS, max(0, (n // config.leaf_rows).bit_length()))
+    found = None
+    for tree in range(config.trees):
+        leaves = _leaves(nodes, tree, levels, config, width).select("code", "deal", F.col("id").alias("other"), "vector", F.lit(True).alias("fresh"))
+        near = leaves.groupBy("code", "deal").applyInPandas(_near_in_group(config.degree, False), links_type)
+        found = near if found is None else found.union(near)
+    links = settle(_best_links(found.groupBy("id", "other").agg(F.max("similarity").alias("similarity")), config.degree).withColumn("fresh", F.lit(True)))
+    for _ in range(config.rounds if n else 0):
+        back = _best_links(links.select(F.col("other").alias("id"), F.col("id").alias("other"), "similarity", "fresh"), config.degree)
+        around = links.select("id", "other", "fresh").union(back.select("id", "other", "fresh")).groupBy("id", "other").agg(F.max("fresh").alias("fresh"))
+        around = around.union(nodes.select("id", F.col("id").alias("other"), F.lit(False)))  # the node itself meets its neighbours' neighbours through them
+        met = around.join(nodes.select(F.col("id").alias("other"), "vector"), "other")
+        near = met.groupBy("id").applyInPandas(_near_in_group(config.degree, True), links_type)
+        both = links.select("id", "other", "similarity", F.lit(False).alias("fresh")).union(near.select("*", F.lit(True)))
+        both = both.groupBy("id", "other").agg(F.max("similarity").alias("similarity"), F.min("fresh").alias("fresh"))
+        links = settle(_best_links(both, config.degree))
+        if links.where("fresh").count() * 100 < n * config.degree:
+            break
+    kept = links.select("id", "other", "similarity")
+    return Graph(nodes, settle(spread(kept, nodes, config.degree)), entry_nodes(nodes, n))
+
+
+def spread(links: DataFrame, nodes: DataFrame, degree: int) -> DataFrame:
+    """links and those that lead back, at most 2 * degree a node: first what no kept neighbour lies nearer to, then the rest by similarity."""
+    kind = dict(nodes.dtypes)["id"]
+    both = links.union(links.select(F.col("other").alias("id"), F.col("id").alias("other"), "similarity")).distinct()
+    near = _best_links(both, 4 * degree).join(nodes.select(F.col("id").alias("other"), "vector"), "other").select("id", "other", "similarity", "vector")
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["similarity", "other"], ascending=[False, True], kind="stable")
+        m = np.array([np.asarray(v, np.float64) for v in rows["vector"]])
+        s, own, chosen = np.round(m @ m.T, 9), rows["similarity"].to_numpy(), []
+        for j in range(len(rows)):
+            if not chosen or s[j, chosen].max() < own[j]:
+                chosen.append(j)
+        rest = [j for j in range(len(rows)) if j not in set(chosen)]
+        return rows.iloc[(chosen + rest)[: 2 * degree]][["id", "other", "similarity"]]
+
+    return near.groupBy("id").applyInPandas(choose, f"id {kind}, other {kind}, similarity double")
+
+
+def entry_nodes(nodes: DataFrame, n: int) -> DataFrame:
+    """The nodes with the smallest hashes: a random few of the n, always the same."""
+    return settle(nodes.orderBy(F.xxhash64("id"), "id").limit(max(ENTRIES, int(n**0.5))))
+
+
+def _likeness(a: str, b: str) -> Column:
+    return F.round(dot(F.col(a), F.col(b)), 9)
+
+
+def walk(queries: DataFrame, graph: Graph, k: int, budgets: tuple[int, ...] = (64,), starts: int = 4, at_once: int = 16, gone: DataFrame | None = None, most_steps: int = 200) -> DataFrame:
+    """budget, query_id, item_id, similarity, rank: about the k nearest nodes to each query (id, vector), for each search budget.
+
+    A query keeps the `budget` best nodes met and opens its `at_once` best unopened ones each step, until none of those it
+    keeps is unopened. All budgets walk together, so a step is one set of joins whatever their number. gone (id) names nodes
+    that lead on but are no answers. An empty graph gives no rows.
     """
-    items = corpus.where("vector IS NOT NULL")
-    shards = max(1, -(-items.count() // shard_rows))
-    held = items.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), "id", "vector")
-    asked = queries.where("vector IS NOT NULL").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "id", "vector")
-
-    def answer(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        graph = LayeredGraph()
-        for key, v in zip(own["id"], own["vector"], strict=True):
-            graph.add(key, v)
-        rows = [(q, key, s) for q, v in zip(asked["id"], asked["vector"], strict=True) for key, s in graph.search(v, k, budget)]
-        return pd.DataFrame(rows, columns=["query_id", "item_id", "similarity"])
-
-    kinds = dict(queries.dtypes)["id"], dict(corpus.dtypes)["id"]
-    found = asked.groupBy("shard").cogroup(held.groupBy("shard")).applyInPandas(answer, f"query_id {kinds[0]}, item_id {kinds[1]}, similarity double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "item_id")
-    return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)
-
-
-def recall_by_budget(queries: DataFrame, corpus: DataFrame, exact: DataFrame, k: int, budgets: tuple[int, ...] = (16, 32, 64, 128), shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """budget, recall: share of the exact neighbours (query_id, item_id) that the graphs find within each search budget."""
-    told = None
-    for budget in budgets:
-        found = graph_neighbours(queries, corpus, k, budget, shard_rows).select("query_id", "item_id", F.lit(1).alias("hit"))
-        recall = exact.join(found, ["query_id", "item_id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall")).select(F.lit(budget).alias("budget"), "recall")
-        told = told.union(recall) if told else recall
-    return told
+    asked = settle(unit_nodes(queries).select(F.col("id").alias("query_id"), F.col("vector").alias("asked")))
+    # The few entries are one block; each query takes its best of them.
+    seeds = block_top_k(asked.select(F.col("query_id").alias("id"), F.col("asked").alias("vector")), graph.entries.select("id", "vector"), starts, decimals=9)
+    budget = F.explode(F.array(*map(F.lit, budgets))).alias("budget")
+    state = settle(seeds.select(budget, "query_id", F.col("item_id").alias("node"), F.col("score").alias("similarity"), F.lit(False).alias("opened")))
+    own = ["budget", "query_id"]
+    order = Window.partitionBy(*own).orderBy(F.desc("similarity"), "node")
+    for _ in range(most_steps):
+        turn = F.row_number().over(Window.partitionBy(*own).orderBy("opened", F.desc("similarity"), "node"))
+        state = state.withColumn("turn", turn)
+        opening = state.where(~F.col("opened") & (F.col("turn") <= at_once)).select(*own, "node")
+        if opening.isEmpty():
+            break
+        steps = opening.join(graph.links.select(F.col("id").alias("node"), "other"), "node").select(*own, F.col("other").alias("node")).distinct()
+        steps = steps.join(state.select(*own, "node"), [*own, "node"], "left_anti")
+        new = steps.join(graph.nodes.select(F.col("id").alias("node"), "vector"), "node").join(asked, "query_id").select(*own, "node", _likeness("vector", "asked").alias("similarity"), F.lit(False).alias("opened"))
+        moved = state.select(*own, "node", "similarity", (F.col("opened") | (F.col("turn") <= at_once)).alias("opened"))
+        # Nodes beyond the budget are forgotten: they can't come back, for what they are liker than stays.
+        state = settle(moved.union(new).withColumn("place", F.row_number().over(order)).where("place <= budget").drop("place"))
+    held = state.drop("turn") if "turn" in state.columns else state
+    if gone is not None:
+        held = held.join(gone.select(F.col("id").alias("node")).distinct(), "node", "left_anti")
+    ranked = held.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("budget", "query_id", F.col("node").alias("item_id"), "similarity", "rank")
+
+
+def graph_neighbours(queries: DataFrame, graph: Graph, k: int, budget: int = 64, gone: DataFrame | None = None) -> DataFrame:
+    """query_id, item_id, similarity, rank: about the k nearest nodes to each query."""
+    return walk(queries, graph, k, (budget,), gone=gone).drop("budget")
+
+
+def recall_by_budget(queries: DataFrame, graph: Graph, exact: DataFrame, k: int, budgets: tuple[int, ...] = (16, 32, 64, 128)) -> DataFrame:
+    """budget, recall: share of the exact neighbours (query_id, item_id) that the graph finds within each search budget."""
+    found = walk(queries, graph, k, budgets).select("budget", "query_id", "item_id", F.lit(1).alias("hit"))
+    wanted = exact.select("query_id", "item_id").withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
+    return wanted.join(found, ["budget", "query_id", "item_id"], "left").groupBy("budget").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))

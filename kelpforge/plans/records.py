@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kelpforge.functions import hashing, numeric, text
-from kelpforge.operators import features, governance, ledger, models, planning, privacy, proximity, ranking, retrieval, statistics, tables, towers
+from kelpforge.operators import features, governance, ledger, models, planning, privacy, proximity, ranking, retrieval, statistics, stored_index, tables, towers
 from kelpforge.plans.catalog import _VECTORS, _baskets, _entries, _vectors, query, r6, table
 from kelpforge.sources import files
 from kelpforge.sources.shared import scratch, settle
@@ -178,9 +178,27 @@ def page_gram_matrix(spark, sf_dir):
 
 @query()
 def graph_recall(spark, sf_dir):
-    """Recall at 10 of layered graphs at four search budgets."""
+    """Recall at 10 of a proximity graph that is built once, at four search budgets."""
     queries, corpus = _vectors(spark, sf_dir)
-    return proximity.recall_by_budget(queries, corpus, retrieval.exact_neighbours(queries, corpus, 10), 10)
+    return proximity.recall_by_budget(queries, proximity.build_graph(corpus), retrieval.exact_neighbours(queries, corpus, 10), 10)
+
+
+@query()
+def index_recall(spark, sf_dir):
+    """Recall at 10 of a stored index before and after compaction: a third of the keys come later, a tenth of all are replaced, some withdrawn."""
+    queries, corpus = _vectors(spark, sf_dir)
+    index = stored_index.StoredIndex(spark, scratch(spark, "index"))
+    turned = corpus.select("id", F.transform("vector", lambda x: -x).alias("vector"))
+    index.put(corpus.where("id % 3 <> 0").unionByName(turned.where("id % 10 = 0 AND id % 3 <> 0")))
+    index.compact()
+    index.put(corpus.where("id % 3 = 0"))
+    index.put(turned.where("id % 10 = 1"))
+    index.withdraw(corpus.where("id % 50 = 7").select("id"))
+    exact = settle(retrieval.exact_neighbours(queries, index.live(), 10))
+    share = lambda stage: retrieval.recall_against(index.search(queries, 10, 96), exact).agg(F.avg("recall").alias("recall")).select(F.lit(stage).alias("stage"), "recall")
+    before = settle(share("changes beside the base"))
+    index.compact()
+    return before.union(share("compacted"))
 
 
 def _bought(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kelpforge.functions.text import spreadsheet_safe
 from kelpforge.operators.tables import latest
+from kelpforge.sources.shared import create_once, exists, names_in, read_small, remove
 
 STATE_VERSION = 1
 RATINGS = "user long, item long, rating double, timestamp long"
@@ -40,9 +42,10 @@ class StateStore:
         return self.spark.read.parquet(self.path(table))
 
     def put(self, table: str, key: str, value) -> None:
-        seq = 0
-        if self.exists(table):
-            seq = (self.read(table).agg(F.max("seq")).first()[0] or 0) + 1
+        """Numbers are files that only one writer can create, so that two writers never put under one number."""
+        seq = max((int(n) for n in names_in(self.spark, f"{self.path(table)}.numbers")), default=-1) + 1
+        while not create_once(self.spark, f"{self.path(table)}.numbers/{seq:012d}"):
+            seq += 1
         self.append(table, self.spark.createDataFrame([(key, json.dumps(value), seq)], "key string, value string, seq long"))
 
     def get(self, table: str, key: str, default=None):
@@ -62,11 +65,17 @@ class StateStore:
         return [self.rewrite(t, self.read(t).where(F.col("tenant_id") != tenant), generation) for t in tables]
 
     def restore_or_build(self, fingerprint: str, build) -> DataFrame:
-        """The built table if it was built from data of this fingerprint, else built anew in a folder of its own."""
-        path = f"built-{fingerprint[:16]}"
-        if not self.exists(path):
-            build().write.parquet(self.path(path))
-        return self.read(path)
+        """The built table if one was finished from data of this fingerprint, else built anew in a folder of its own.
+
+        A mark names the finished folder; what a failed build left has none and is built again.
+        """
+        mark = f"{self.path(f'built-{fingerprint[:16]}')}.done"
+        if not exists(self.spark, mark):
+            folder = f"built-{fingerprint[:16]}-{uuid.uuid4().hex}"
+            build().write.parquet(self.path(folder))
+            if not create_once(self.spark, mark, folder):
+                remove(self.spark, self.path(folder))
+        return self.read(read_small(self.spark, mark))
 
 
 def read_artifact(spark: SparkSession, path: str, sha256: str) -> bytes:
