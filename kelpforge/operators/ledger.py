@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
@@ -37,28 +38,31 @@ def sign_text(kind: str, tenant: str, sequence: int, digest: str) -> str:
 def append(entries: DataFrame, heads: DataFrame | None = None, key: bytes | None = None, order: str = "write_seq") -> DataFrame:
     """New ledger rows of `entries` (the texts, reasons, approver, recorded_at and an order), chained behind heads (tenant_id, sequence, entry_hash).
 
-    A chain is sequential by definition, so each tenant's new entries are folded in one group; tenants run in parallel.
-    A batch is what has arrived since the last append, not a tenant's history.
+    A chain is sequential by definition, so a tenant's new entries pass through one task, which holds one batch of them at
+    a time; tenants run in parallel. New entries are what has arrived since the last append, not a tenant's history.
     """
     heads = heads if heads is not None else entries.sparkSession.createDataFrame([], "tenant_id string, sequence long, entry_hash string")
     last = heads.select(F.col("tenant_id").alias("__t"), F.col("sequence").alias("__seq"), F.col("entry_hash").alias("__hash"))
-    rows = entries.join(last, F.col("tenant_id") == F.col("__t"), "left").drop("__t")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        first = pdf.loc[0]
-        sequence, previous = (0, GENESIS) if pd.isna(first["__seq"]) else (int(first["__seq"]) + 1, first["__hash"])
-        out = []
-        texts = pdf[[*TEXTS, "approver"]].astype(object).where(pdf[[*TEXTS, "approver"]].notna(), None)
-        for row, reasons, stamp in zip(texts.to_dict("records"), pdf["reasons"], pdf["recorded_at"], strict=True):
-            row["reasons"] = [] if reasons is None else list(reasons)
-            digest = _plain_hash(sequence, previous, row, stamp.to_pydatetime())
-            signature = hmac.new(key, sign_text("entry", row["tenant_id"], sequence, digest).encode(), "sha256").hexdigest() if key else None
-            out.append({"sequence": sequence, **row, "recorded_at": stamp, "previous_hash": previous, "entry_hash": digest, "signature": signature})
-            sequence, previous = sequence + 1, digest
-        return pd.DataFrame(out)[[c.split()[0] for c in ENTRY.split(", ")]]
-
-    return rows.groupBy("tenant_id").applyInPandas(fold, ENTRY)
+    rows = entries.join(last, F.col("tenant_id").eqNullSafe(F.col("__t")), "left").drop("__t")
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tenant, sequence, previous = object(), 0, GENESIS
+        for pdf in parts:
+            out = []
+            texts = pdf[[*TEXTS, "approver"]].astype(object).where(pdf[[*TEXTS, "approver"]].notna(), None)
+            for row, reasons, stamp, seq, head in zip(texts.to_dict("records"), pdf["reasons"], pdf["recorded_at"], pdf["__seq"], pdf["__hash"], strict=True):
+                if row["tenant_id"] != tenant:
+                    tenant = row["tenant_id"]
+                    sequence, previous = (0, GENESIS) if pd.isna(seq) else (int(seq) + 1, head)
+                row["reasons"] = [] if reasons is None else list(reasons)
+                digest = _plain_hash(sequence, previous, row, stamp.to_pydatetime())
+                signature = hmac.new(key, sign_text("entry", row["tenant_id"] or "", sequence, digest).encode(), "sha256").hexdigest() if key else None
+                out.append({"sequence": sequence, **row, "recorded_at": stamp, "previous_hash": previous, "entry_hash": digest, "signature": signature})
+                sequence, previous = sequence + 1, digest
+            if out:
+                yield pd.DataFrame(out)[[c.split()[0] for c in ENTRY.split(", ")]]
+
+    return rows.repartition("tenant_id").sortWithinPartitions("tenant_id", order).mapInPandas(fold, ENTRY)
 
 
 def _signature(key: bytes, kind: str) -> Column:

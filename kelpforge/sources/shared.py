@@ -86,5 +86,9 @@ def create_once(spark: SparkSession, path: str, body: str = "") -> bool:
 
 def read_small(spark: SparkSession, path: str) -> str:
     """The text of a file of a driver's own making."""
-    rows = spark.read.text(path, wholetext=True).collect()
-    return rows[0][0] if rows else ""
+    fs, at = _path(spark, path)
+    source = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
