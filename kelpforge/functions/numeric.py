@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -134,3 +135,47 @@ def kolmogorov_p(statistic: Column, n: Column, m: Column) -> Column:
     terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda j: F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * j * j * x * x))
     total = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
     return F.when(x < 0.2, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
+
+
+#: Rows of the larger sample up to which the two-sample distribution is counted exactly.
+EXACT_ROWS = 10_000
+
+
+def two_sample_tail(statistic: float, n: int, m: int) -> float:
+    """P(D >= statistic) for two samples of n and m rows without ties, by counting lattice paths.
+
+    A path from (0, 0) to (n, m) is an order of both samples; D is its largest gap |i / n - j / m|, a multiple of
+    1 / lcm(n, m). Paths that stay below the statistic are counted row by row: those through (i, j) came from (i - 1, j) or
+    (i, j - 1), so a row is a running sum over the j that the bound allows. Rows are scaled, since counts outgrow floats.
+    """
+    whole = n * m // math.gcd(n, m)
+    reach = round(statistic * whole)  # gaps are compared as whole numbers
+    if abs(statistic * whole - reach) > 1e-6 * max(1.0, whole * 1e-6):
+        reach = math.ceil(statistic * whole)
+    if reach <= 0:
+        return 1.0
+    a, b = whole // n, whole // m
+    j = np.arange(m + 1)
+    ways, scale = (j * b < reach).astype(float), 0.0
+    for i in range(1, n + 1):
+        ways = np.cumsum(np.where(np.abs(i * a - j * b) < reach, ways, 0.0))
+        ways = np.where(np.abs(i * a - j * b) < reach, ways, 0.0)
+        top = ways.max()
+        if top == 0:
+            return 1.0
+        ways, scale = ways / top, scale + math.log(top)
+    if ways[m] == 0:
+        return 1.0
+    below = math.log(ways[m]) + scale - (math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1))
+    return min(1.0, max(0.0, -math.expm1(min(0.0, below))))
+
+
+def two_sample_p(statistic: Column, n: Column, m: Column, exact_rows: int = EXACT_ROWS) -> Column:
+    """The exact tail where neither sample has more than exact_rows rows, else the asymptotic one."""
+
+    @F.pandas_udf(T.DoubleType())
+    def tail(s: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(d) else two_sample_tail(float(d), int(a), int(b)) for d, a, b in zip(s, n, m, strict=True)], dtype=float)
+
+    small = (F.greatest(n, m) <= exact_rows) & (F.least(n, m) > 0)
+    return F.when(small, tail(F.when(small, statistic), F.when(small, n).otherwise(1), F.when(small, m).otherwise(1))).otherwise(kolmogorov_p(statistic, n, m))

@@ -105,11 +105,22 @@ def assert_no_leakage(view: FeatureView, examples: DataFrame, writes: DataFrame,
         raise ValueError(f"feature values from the future: {found}")
 
 
+#: Words of 32 bits in a row's SHA-256.
+_WORDS = 8
+
+
 def data_fingerprint(df: DataFrame, *columns: str) -> DataFrame:
-    """One row: the row count and an order-free digest of the named columns, merged from per-row hashes."""
-    row = F.xxhash64(*(F.col(c) for c in columns or df.columns))
-    wide = F.sum(row.cast("decimal(38,0)"))
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.concat_ws(":", F.count(F.lit(1)), F.coalesce(wide, F.lit(0)), F.coalesce(F.bit_xor(row), F.lit(0))), 256).alias("fingerprint"))
+    """One row: the row count and a digest of the named columns that doesn't depend on the order of rows.
+
+    A row's SHA-256 (over each value with its length, nulls apart from all values) is taken as eight words; the digest is
+    the SHA-256 of the count and the words' exact sums. Two tables agree only if the sums of their rows' digests do, all 256
+    bits of them, so repeated rows count and no 64-bit collision hides a change.
+    """
+    told = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    row = F.sha2(F.concat(*map(told, columns or df.columns)), 256)
+    words = [F.sum(F.conv(F.substring("row", 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"w{k}") for k in range(_WORDS)]
+    sums = df.select(row.alias("row")).agg(F.count(F.lit(1)).alias("rows"), *words)
+    return sums.select("rows", F.sha2(F.concat_ws(":", "rows", *(F.coalesce(f"w{k}", F.lit(0)) for k in range(_WORDS))), 256).alias("fingerprint"))
 
 
 def assemble_training_rows(labels: DataFrame, users: DataFrame, items: DataFrame, user_vectors: DataFrame, item_vectors: DataFrame) -> DataFrame:

@@ -85,27 +85,34 @@ def cohort_means(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
 def score_trees(nodes: dict[str, np.ndarray], base: float, rate: float, columns: Sequence[Column]) -> Column:
     """Probability of a boosted ensemble given as padded arrays tree x node: feature (-1 at leaves), threshold, left, right, value.
 
-    Features are compared as 32-bit floats, as the arrays were grown.
+    The ensemble is a constant of the plan, nested arrays that a fold over trees and another over their depth walk, so rows
+    are scored in the JVM. Features are compared as 32-bit floats, as the arrays were grown; what isn't a number, and null,
+    goes right.
     """
-
-    @F.pandas_udf("double")
-    def run(features: pd.DataFrame) -> pd.Series:
-        x = features.to_numpy(np.float32)
-        raw = np.full(len(x), base)
-        row = np.arange(len(x))
-        for t in range(len(nodes["feature"])):
-            at = np.zeros(len(x), int)
-            while True:
-                f = nodes["feature"][t][at]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                left = x[row, np.maximum(f, 0)] <= nodes["threshold"][t][at]
-                at = np.where(inner, np.where(left, nodes["left"][t][at], nodes["right"][t][at]), at)
-            raw += rate * nodes["value"][t][at]
-        return pd.Series(1 / (1 + np.exp(-raw)))
-
-    return run(F.struct(*columns))
+    trees = [
+        [{"feature": int(f), "threshold": float(t), "left": int(a), "right": int(b), "value": float(v)} for f, t, a, b, v in zip(*(nodes[c][k] for c in ("feature", "threshold", "left", "right", "value")), strict=True)]
+        for k in range(len(nodes["feature"]))
+    ]
+    held = F.from_json(F.lit(json.dumps(trees)), "array<array<struct<feature:int,threshold:double,left:int,right:int,value:double>>>")
+    x = F.array(*(c.cast("float").cast("double") for c in columns))
+    steps = F.sequence(F.lit(1), F.lit(max(1, max((_depth(nodes, k) for k in range(len(trees))), default=1))))
+
+    def walked(tree: Column) -> Column:
+        def step(at: Column, _: Column) -> Column:
+            node = F.get(tree, at)
+            goes_left = F.get(x, node["feature"]) <= node["threshold"]
+            return F.when(node["feature"] < 0, at).when(goes_left, node["left"]).otherwise(node["right"])
+
+        return F.get(tree, F.aggregate(steps, F.lit(0), step))["value"]
+
+    raw = F.aggregate(held, F.lit(float(base)), lambda total, tree: total + walked(tree) * rate)
+    return 1 / (1 + F.exp(-raw))
+
+
+def _depth(nodes: dict[str, np.ndarray], tree: int, at: int = 0) -> int:
+    if nodes["feature"][tree][at] < 0:
+        return 0
+    return 1 + max(_depth(nodes, tree, int(nodes[side][tree][at])) for side in ("left", "right"))
 
 
 def save_arrays(arrays: dict[str, np.ndarray]) -> str:

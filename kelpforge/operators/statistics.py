@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kelpforge.functions.numeric import chi_squared_p, drift_severity, kolmogorov_p
+from kelpforge.functions.numeric import chi_squared_p, drift_severity, two_sample_p
 
 # Order statistics without a task that orders a whole group
 
@@ -108,7 +108,7 @@ def rescreened(df: DataFrame, group: str, screen, dropped: str, minimum: int = 3
 def _shares(counts: DataFrame, key: Sequence[str], floor: float) -> DataFrame:
     """feature, bin, reference and live shares, clipped at the floor, and each bin's contribution."""
     every = Window.partitionBy(*key)
-    share = lambda c: F.greatest(F.lit(floor), F.col(c) / F.sum(c).over(every))
+    share = lambda c: F.greatest(F.lit(floor), F.try_divide(F.col(c), F.sum(c).over(every)))
     out = counts.withColumn("reference", share("n_ref")).withColumn("live", share("n_live"))
     return out.withColumn("contribution", (F.col("live") - F.col("reference")) * F.log(F.col("live") / F.col("reference")))
 
@@ -176,13 +176,17 @@ def psi_categorical(values: DataFrame, floor: float = 1e-6) -> DataFrame:
 
 
 def ks_test(values: DataFrame, alpha: float = 0.05, moderate: float = 0.2) -> DataFrame:
-    """feature, statistic, p_value, severity: the largest gap of both distribution functions, over distinct values."""
+    """feature, statistic, p_value, severity: the largest gap of both distribution functions, over distinct values.
+
+    p_value is exact for samples without ties that are small enough to count (two_sample_p), else asymptotic; null where a
+    side has no rows.
+    """
     counts = values.groupBy("feature", "value").agg(F.sum((~F.col("is_live")).cast("long")).alias("a"), F.sum(F.col("is_live").cast("long")).alias("b"))
     sizes = counts.groupBy("feature").agg(F.sum("a").alias("n"), F.sum("b").alias("m"))
     run = sums_below(counts, ["feature"], "value", ["a", "b"]).join(sizes, "feature")
-    gap = (F.col("a_below") + F.col("a")) / F.col("n") - (F.col("b_below") + F.col("b")) / F.col("m")
+    gap = F.try_divide(F.col("a_below") + F.col("a"), F.col("n")) - F.try_divide(F.col("b_below") + F.col("b"), F.col("m"))
     out = run.groupBy("feature").agg(F.max(F.abs(gap)).alias("statistic"), F.first("n").alias("n"), F.first("m").alias("m"))
-    out = out.withColumn("p_value", kolmogorov_p(F.col("statistic"), F.col("n"), F.col("m")))
+    out = out.withColumn("p_value", F.when(F.least("n", "m") > 0, two_sample_p(F.col("statistic"), F.col("n"), F.col("m"))))
     severity = F.when(F.col("p_value") >= alpha, F.lit("STABLE")).when(F.col("statistic") < moderate, F.lit("MODERATE")).otherwise(F.lit("SIGNIFICANT"))
     return out.withColumn("severity", severity).drop("n", "m")
 

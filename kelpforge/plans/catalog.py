@@ -236,7 +236,11 @@ def leakage_audit(spark, sf_dir):
     return features.leaked(_VIEW, examples, _writes(spark, sf_dir))
 
 
-@query()
+_ROW_TEXT = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("event_id", "user_id", "event_type", "value"))
+_ROW_SUMS = " || ':' || ".join(f"sum(CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT))" for k in range(8))
+
+
+@query(f"SELECT count(*) AS rows, sha256(count(*) || ':' || {_ROW_SUMS}) AS fingerprint FROM (SELECT sha256({_ROW_TEXT}) AS h FROM events)")
 def table_fingerprint(spark, sf_dir):
     return features.data_fingerprint(table(spark, sf_dir, "events"), "event_id", "user_id", "event_type", "value")
 
@@ -423,9 +427,15 @@ def serving_windows(spark, sf_dir):
     return _windows(spark, sf_dir).withColumn("ctr", r6("ctr")).withColumn("calibration_error", r6("calibration_error"))
 
 
-@query()
+@query("""WITH r AS (SELECT user_id % 2 = 0 AS live, *, row_number() OVER (PARTITION BY user_id % 2 ORDER BY event_id DESC) AS k FROM events), n AS (SELECT *, CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END AS y FROM r WHERE k <= 2000),
+t AS (SELECT value, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS c FROM n WHERE k <= 1000 AND NOT live), p AS (SELECT value AS p95 FROM t WHERE i - 1 = least(c - 1, floor(c * 0.95))),
+w AS (SELECT count(*) FILTER (WHERE NOT live) AS n, avg(y) FILTER (WHERE NOT live) / avg(y) FILTER (WHERE live) AS ratio, abs(avg(value / 500) FILTER (WHERE NOT live) - avg(y) FILTER (WHERE NOT live)) AS error FROM n),
+j AS (SELECT *, list_filter([CASE WHEN ratio < 0.85 THEN printf('click-through ratio %.2f is below 0.85', ratio) END, CASE WHEN error > 0.15 THEN printf('calibration error %.3f is above 0.150', error) END,
+CASE WHEN p95 > 250 THEN printf('p95 latency %.0f ms is above 250 ms', p95) END], lambda x: x IS NOT NULL) AS why FROM w, p)
+SELECT n < 300 OR len(why) = 0 AS healthy, CASE WHEN n < 300 THEN 'too few impressions to judge' ELSE array_to_string(why, '; ') END AS reasons, round(ratio, 6) AS ctr_ratio, round(error, 6) AS calibration_error, round(p95, 6) AS p95_latency_ms FROM j""")
 def rollout_verdict(spark, sf_dir):
-    return statistics.rollout_verdict(_windows(spark, sf_dir), "live", "canary")
+    told = statistics.rollout_verdict(_windows(spark, sf_dir), "live", "canary")
+    return told.select("healthy", F.array_join("reasons", "; ").alias("reasons"), *(r6(c).alias(c) for c in ("ctr_ratio", "calibration_error", "p95_latency_ms")))
 
 
 # Ranking and retrieval

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from kelpforge.functions import hashing, numeric, text
-from kelpforge.operators import features, governance, ledger, models, planning, privacy, proximity, ranking, retrieval, statistics, stored_index, tables, towers
+from kelpforge.operators import calendar, features, governance, ledger, models, planning, privacy, proximity, ranking, retrieval, statistics, stored_index, stored_ledger, tables, towers
 from kelpforge.plans.catalog import _VECTORS, _baskets, _entries, _vectors, query, r6, table
 from kelpforge.sources import files
 from kelpforge.sources.shared import scratch, settle
-from kelpforge.streaming import streams
+from kelpforge.streaming import alerts, guard, streams
 
 # Projections and predicates
 
@@ -393,9 +396,112 @@ def evidence_round_trip(spark, sf_dir):
     return spark.createDataFrame([(back.count(), len(wrong))], "entries long, faults int")
 
 
-@query()
+_CHECKS = """WITH v AS (SELECT f.feature, CASE f.feature WHEN 'value' THEN value ELSE CAST(user_id AS DOUBLE) END AS value, ts >= TIMESTAMP '2024-01-11 00:00:00' AS is_live
+FROM events, (VALUES ('value'), ('user')) f(feature) WHERE ts < TIMESTAMP '2024-01-11 00:00:00' OR ts > TIMESTAMP '2024-02-12 00:00:00' - INTERVAL 30 DAYS),
+q AS (SELECT feature, min(value) AS lo, max(value) AS hi, list_distinct(quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS edges FROM v WHERE NOT is_live GROUP BY 1),
+b AS (SELECT v.feature, len(list_filter(q.edges, lambda e: e <= v.value AND e > q.lo AND e < q.hi)) AS bin, count(*) FILTER (WHERE NOT is_live) AS nr, count(*) FILTER (WHERE is_live) AS nl FROM v JOIN q USING (feature) GROUP BY 1, 2),
+s AS (SELECT feature, greatest(1e-6, nr / sum(nr) OVER (PARTITION BY feature)) AS r, greatest(1e-6, nl / sum(nl) OVER (PARTITION BY feature)) AS l FROM b),
+d AS (SELECT coalesce(string_agg(feature, ', ' ORDER BY feature), '') AS names FROM (SELECT feature FROM s GROUP BY 1 HAVING sum((l - r) * ln(l / r)) >= 0.25)),
+n AS (SELECT count(*) AS n FROM v WHERE is_live AND feature = 'value')
+SELECT 'ledger' AS name, TRUE AS passed, '0 broken chains' AS detail
+UNION ALL SELECT 'live_drift', n < 200 OR names = '', n || CASE WHEN n < 200 THEN ' rows are too few to tell' WHEN names = '' THEN ' rows, no drift' ELSE ' rows, drift of ' || names END FROM n, d
+UNION ALL SELECT 'retrain', n < 200 OR names = '', CASE WHEN n < 200 OR names = '' THEN 'trained 32 days ago' ELSE 'what is scored has drifted' END FROM n, d"""
+
+
+@query(_CHECKS)
 def scheduled_checks(spark, sf_dir):
-    return streams.scheduled_checks(ledger.append(_entries(spark, sf_dir)), table(spark, sf_dir, "events"), "2024-01-01", "2024-05-01")
+    """The model was trained on the events before 11 January and has scored those since."""
+    e = table(spark, sf_dir, "events").select("value", F.col("user_id").cast("double").alias("user"), F.col("ts").alias("at"))
+    trained = F.lit("2024-01-11").cast("timestamp_ntz")
+    return streams.scheduled_checks(settle(ledger.append(_entries(spark, sf_dir))), e.where(F.col("at") < trained), e.where(F.col("at") >= trained), ["user", "value"], "2024-01-11", "2024-02-12")
+
+
+@query("SELECT 't' || (user_id % 8) AS tenant_id, TRUE AS intact, count(*) AS entries_checked, CAST(count(*) AS BIGINT) AS signed, CAST(0 AS BIGINT) AS unsigned FROM events GROUP BY 1")
+def stored_ledger_verified(spark, sf_dir):
+    """Three writers append a third of the events each to one stored ledger, in turn."""
+    book = stored_ledger.StoredLedger(spark, scratch(spark, "ledger"), key=b"key", groups=4)
+    rows = _entries(spark, sf_dir)
+    for k in range(3):
+        book.append(rows.where(F.pmod("write_seq", F.lit(3)) == k))
+    return book.verify(True).select("tenant_id", "intact", "entries_checked", "signed", "unsigned")
+
+
+@query("""WITH t AS (SELECT unnest(range(4)) AS tick), u AS (SELECT DISTINCT user_id FROM events), f AS (SELECT DISTINCT user_id, event_id % 4 AS tick FROM events WHERE event_type = 'error' AND value > 100),
+g AS (SELECT u.user_id, t.tick, f.user_id IS NOT NULL AS holds FROM u CROSS JOIN t LEFT JOIN f ON f.user_id = u.user_id AND f.tick = t.tick),
+h AS (SELECT *, coalesce(lag(holds) OVER (PARTITION BY user_id ORDER BY tick), FALSE) AS held, lead(tick) OVER (PARTITION BY user_id ORDER BY tick) IS NOT NULL AS more FROM g),
+r AS (SELECT h.user_id, h.tick, EXISTS (SELECT 1 FROM g x WHERE x.user_id = h.user_id AND x.tick > h.tick AND NOT x.holds) AS cleared FROM h WHERE holds AND NOT held)
+SELECT 'user ' || user_id AS key, 'user ' || user_id || '#' || tick AS alert_id, cleared, CASE WHEN user_id % 2 = 0 THEN 1 ELSE 5 END::BIGINT AS tries, user_id % 2 = 0 AS delivered FROM r""")
+def alert_states(spark, sf_dir):
+    """Four ticks, each over a quarter of the events, raise an alert for users with a large error; the receiver of odd users never answers."""
+    book = alerts.AlertBook(spark, scratch(spark, "alerts"))
+    e = table(spark, sf_dir, "events").where("event_type = 'error' AND value > 100")
+    noon = datetime(2024, 2, 1, 12)
+    for number in range(4):
+        found = e.where(F.pmod("event_id", F.lit(4)) == number).select(F.format_string("user %d", "user_id").alias("key"), F.lit("large error").alias("kind"), F.lit("a large error").alias("message"), F.lit("{}").alias("payload"))
+        book.tick(found, number, noon + timedelta(minutes=number))
+    for hour in range(1, 8):
+        book.deliver(lambda m: "no answer" if int(m["alert_id"].split("#")[0][5:]) % 2 else None, noon + timedelta(hours=hour), b"secret")
+    return book.states().select("key", "alert_id", "cleared", "tries", "delivered")
+
+
+#: A small frozen ensemble: three trees over a part's size and price.
+TREES = {
+    "feature": np.array([[0, 1, -1, -1, -1], [1, -1, 0, -1, -1], [0, -1, -1, -1, -1]]), "threshold": np.array([[25.0, 1200.5, 0, 0, 0], [1450.25, 0, 10.0, 0, 0], [40.0, 0, 0, 0, 0]]),
+    "left": np.array([[1, 3, 0, 0, 0], [1, 0, 3, 0, 0], [1, 0, 0, 0, 0]]), "right": np.array([[2, 4, 0, 0, 0], [2, 0, 4, 0, 0], [2, 0, 0, 0, 0]]),
+    "value": np.array([[0, 0, 0.75, -0.5, 0.25], [0, -0.25, 0, 1.0, -1.0], [0, 0.125, -0.375, 0, 0]]),
+}
+
+
+@query("""WITH t AS (SELECT p_partkey, CAST(p_size AS FLOAT) AS s, CAST(p_retailprice AS FLOAT) AS p FROM part), r AS (SELECT p_partkey, -0.25 + 0.5 * CASE WHEN s <= 25.0 THEN CASE WHEN p <= 1200.5 THEN -0.5 ELSE 0.25 END ELSE 0.75 END
++ 0.5 * CASE WHEN p <= 1450.25 THEN -0.25 WHEN s <= 10.0 THEN 1.0 ELSE -1.0 END + 0.5 * CASE WHEN s <= 40.0 THEN 0.125 ELSE -0.375 END AS raw FROM t) SELECT p_partkey, round(1 / (1 + exp(-CAST(raw AS DOUBLE))), 6) AS probability FROM r""")
+def tree_scores(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    return parts.select("p_partkey", r6(models.score_trees(TREES, -0.25, 0.5, [F.col("p_size"), F.col("p_retailprice")])).alias("probability"))
+
+
+_EPOCH = "timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))"
+
+
+def _diary(spark, sf_dir):
+    """Users' office hours on the days that they have an event, and half an hour taken by each event; seconds of the year."""
+    at = table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.expr(_EPOCH).cast("long").alias("start"), "event_id", "event_type")
+    day = F.col("start") - F.pmod("start", F.lit(86_400))
+    hours = at.select("owner", (day + 8 * 3600).alias("start"), (day + 18 * 3600).alias("end")).distinct()
+    return at, hours, at.select("owner", "start", (F.col("start") + 1800).alias("end"))
+
+
+_DIARY = """a AS (SELECT user_id AS owner, datediff('second', TIMESTAMP '2024-01-01 00:00:00', date_trunc('second', ts)) AS s, event_id, event_type FROM events), h AS (SELECT DISTINCT owner, s - s % 86400 + 28800 AS s, s - s % 86400 + 64800 AS e FROM a),
+b AS (SELECT DISTINCT owner, s, s + 1800 AS e FROM a), x AS (SELECT h.owner, h.s AS hs, h.e AS he, greatest(b.s, h.s) AS s, least(b.e, h.e) AS e FROM h JOIN b ON b.owner = h.owner AND b.s < h.e AND b.e > h.s),
+y AS (SELECT *, coalesce(max(e) OVER (PARTITION BY owner, hs ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), hs) AS upto FROM x),
+f AS (SELECT owner, upto AS s, s AS e FROM y WHERE s > upto UNION ALL SELECT owner, max(e), any_value(he) FROM x GROUP BY owner, hs HAVING max(e) < any_value(he) UNION ALL SELECT owner, s, e FROM h WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.owner = h.owner AND x.hs = h.s))"""
+
+
+@query(f"WITH {_DIARY} SELECT owner, s AS start, e AS \"end\" FROM f")
+def free_time(spark, sf_dir):
+    _, hours, busy = _diary(spark, sf_dir)
+    return calendar.free(hours, busy)
+
+
+@query(f"""WITH {_DIARY}, c AS (SELECT owner, s + 3600 * unnest(range((e - s) // 3600)) AS s FROM f), k AS (SELECT owner, s, row_number() OVER (PARTITION BY owner ORDER BY s) AS k FROM c),
+r AS (SELECT owner, event_id AS request, CASE event_type WHEN 'error' THEN 0 ELSE 1 END AS priority FROM a), q AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY priority, request) AS k FROM r)
+SELECT q.owner, request, priority, s AS start, s + 3600 AS "end" FROM q LEFT JOIN k ON k.owner = q.owner AND k.k = q.k""")
+def slot_assignment(spark, sf_dir):
+    """Each event asks for an hour of its user's free time, errors first."""
+    at, hours, busy = _diary(spark, sf_dir)
+    asked = at.select("owner", F.col("event_id").alias("request"), F.when(F.col("event_type") == "error", 0).otherwise(1).alias("priority"))
+    return calendar.assign(asked, calendar.slots(calendar.free(hours, busy), 3600))
+
+
+@query()
+def stream_guard(spark, sf_dir):
+    """A canary for users of odd numbers, judged every 25 impressions against the others."""
+    e = streams.read_stream(spark, sf_dir, "events", table(spark, sf_dir, "events").schema)
+    live = F.col("user_id") % 2 == 0
+    outcomes = e.select(
+        F.lit("ranker").alias("name"), F.when(live, "live").otherwise("canary").alias("arm"), F.lit(2).alias("version"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("request_id"),
+        (F.col("event_type") == "click").alias("clicked"), (F.col("value") / 500).alias("probability"), F.col("value").alias("latency_ms"), F.lit(False).alias("is_credit"),
+    )
+    return streams.drain(guard.guard(outcomes))
 
 
 @query("SELECT event_id FROM events WHERE event_id > (SELECT max(event_id) FROM events WHERE event_type = 'signup')")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from kelpforge.operators.statistics import matrix_values, psi_merge_first
+from kelpforge.sources.shared import exists, scratch
+
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
     """Parquet files of one table as a stream."""
@@ -17,11 +19,12 @@ def read_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFram
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now, into a table in memory: for tests and small tables."""
-    name = "stream_" + uuid.uuid4().hex
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over what is there now, into a table in the shared folder; in update mode a row's later forms come after it."""
+    path = scratch(stream.sparkSession, "stream")
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")  # noqa: E731  a batch that comes again replaces itself
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-marks").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    held = stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path) if exists(stream.sparkSession, path) else held
 
 
 def idempotent_feedback(feedback: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -93,20 +96,6 @@ def current_epoch(rows: DataFrame, switches: DataFrame, order: str = "seq") -> D
     return rows.crossJoin(F.broadcast(last)).where(F.col(order) > F.coalesce("__last", F.lit(-1))).drop("__last")
 
 
-def on_change(compute: Callable[[DataFrame], list[str]], alert: Callable[[list[str]], None], batch_key: str = "features"):
-    """A foreachBatch function that alerts when the set which compute finds differs from the last one it saw."""
-    seen: dict[str, list[str]] = {}
-
-    def tick(batch: DataFrame, number: int) -> None:
-        found = sorted(compute(batch))
-        if found != seen.get(batch_key, []):
-            seen[batch_key] = found
-            if found:
-                alert(found)
-
-    return tick
-
-
 def to_outbox(path: str, key: bytes):
     """A foreachBatch function that appends alerts (alert_id, payload) with a signature; delivery reads the table, at least once."""
     from kelpforge.functions.hashing import hmac_sha256
@@ -117,13 +106,33 @@ def to_outbox(path: str, key: bytes):
     return write
 
 
-def scheduled_checks(ledger: DataFrame, live_rows: DataFrame, trained_at: str, now: str, least_rows: int = 200, retrain_days: int = 90) -> DataFrame:
-    """name, passed, detail: ledger integrity, whether there are live rows enough for drift, whether training is due."""
+def scheduled_checks(
+    ledger: DataFrame, reference: DataFrame, served: DataFrame, features: Sequence[str], trained_at: str, now: str, days: int = 30, least_rows: int = 200, retrain_days: int = 90
+) -> DataFrame:
+    """name, passed, detail: ledger integrity, drift of what was served against what the model was trained on, whether training is due.
+
+    reference holds the training rows that were kept with the model, served the scored rows with the time `at`. Rows of the
+    last `days` before now in which no feature is null are compared by PSI, if there are least_rows of them and a reference;
+    a feature whose severity is SIGNIFICANT fails the check. Training is due after retrain_days, or with drift.
+    """
     from kelpforge.operators.ledger import verify
 
     chains = verify(ledger).agg(F.sum((~F.col("intact")).cast("long")).alias("bad"))
     a = chains.select(F.lit("ledger").alias("name"), (F.coalesce("bad", F.lit(0)) == 0).alias("passed"), F.format_string("%d broken chains", F.coalesce("bad", F.lit(0))).alias("detail"))
-    b = live_rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit("live_drift").alias("name"), (F.col("n") >= least_rows).alias("passed"), F.format_string("%d live rows", "n").alias("detail"))
-    age = F.datediff(F.lit(now).cast("date"), F.lit(trained_at).cast("date"))
-    c = ledger.sparkSession.range(1).select(F.lit("retrain").alias("name"), (age < retrain_days).alias("passed"), F.format_string("trained %d days ago", age).alias("detail"))
+
+    end = F.lit(now).cast("timestamp_ntz")
+    recent = served.where((F.col("at") <= end) & (F.col("at") > end - F.expr(f"INTERVAL {days} DAYS"))).select(*features).dropna()
+    values = matrix_values(reference.select(*features), features, F.lit(False)).union(matrix_values(recent, features, F.lit(True)))
+    worst = psi_merge_first(values).where("severity = 'SIGNIFICANT'").agg(F.array_join(F.array_sort(F.collect_set("feature")), ", ").alias("drifted"))
+    rows = recent.agg(F.count(F.lit(1)).alias("rows"))
+    known = reference.agg(F.count(F.lit(1)).alias("known"))
+    judged = rows.crossJoin(F.broadcast(known)).crossJoin(F.broadcast(worst)).withColumn(  # three tables of one row
+        "enough", (F.col("rows") >= least_rows) & (F.col("known") > 0)
+    )
+    judged = judged.withColumn("drifted", F.when(F.col("enough"), F.col("drifted")).otherwise(""))
+    told = F.when(~F.col("enough"), F.format_string("%d rows are too few to tell", "rows")).when(F.col("drifted") == "", F.format_string("%d rows, no drift", "rows")).otherwise(F.format_string("%d rows, drift of %s", "rows", "drifted"))
+    b = judged.select(F.lit("live_drift").alias("name"), (F.col("drifted") == "").alias("passed"), told.alias("detail"))
+    age = F.datediff(end.cast("date"), F.lit(trained_at).cast("date"))
+    why = F.when(F.col("drifted") != "", "what is scored has drifted").otherwise(F.format_string("trained %d days ago", age))
+    c = judged.select(F.lit("retrain").alias("name"), ((age < retrain_days) & (F.col("drifted") == "")).alias("passed"), why.alias("detail"))
     return a.union(b).union(c)
