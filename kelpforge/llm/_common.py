@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,16 +49,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Spark's setting that a query's shuffle files go when it ends, and not when the driver happens to collect its garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written within needs none of its shuffles again, so their files are removed as soon as it is written."""
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there: later jobs neither recompute it nor lose it."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    with _shuffles_removed(df.sparkSession):
+        return df.checkpoint()
 
 
 def settle_table(df: DataFrame, name: str) -> DataFrame:
     """As settle, as a compressed table, of which later jobs read only the columns that they need."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -73,18 +96,33 @@ def free_name(docs: DataFrame, name: str) -> str:
 
 
 def join_heavy(
-    rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, each: Callable[[DataFrame], DataFrame] = lambda joined: joined
+    rows: DataFrame,
+    table: DataFrame,
+    keys: str | list[str],
+    weight: str,
+    total: int,
+    each: Callable[[DataFrame], DataFrame] = lambda joined: joined,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """rows joined (inner) with table, which has one row for each combination of keys and says in weight how many rows have it.
 
-    Keys with more than total / HEAVY_KEYS rows number fewer than HEAVY_KEYS, if the weights add up to total at most: they
-    alone are broadcast, so that none of them gathers its rows in one task. All other keys are shuffled. Null keys never
-    join. `each` works on the joined rows of heavy and of other keys apart, where what was shuffled by keys still lies so.
+    Keys with more than total / HEAVY_KEYS rows number fewer than HEAVY_KEYS, if the weights add up to total at most: the
+    driver takes these, and only their rows of table are broadcast, so that none of them gathers its rows in one task. All
+    others are shuffled; without heavy keys that is all there is. Null keys never join. `each` works on the joined rows of
+    heavy and of other keys apart, where what was shuffled by keys still lies so. sizes is a cheaper table with the keys and
+    their weights, where table takes work.
     """
+    keys = [keys] if isinstance(keys, str) else keys
     heavy = F.col(weight) * HEAVY_KEYS > total
-    hot = table.where(heavy).limit(HEAVY_KEYS)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return each(rows.join(F.broadcast(hot), keys)).unionByName(each(rest.join(table.where(~heavy), keys)))
+    known = reduce(and_, (F.col(k).isNotNull() for k in keys))
+    hot = (table if sizes is None else sizes).where(heavy & known).select(*keys).limit(HEAVY_KEYS).collect()
+    if not hot:
+        return each(rows.join(table, keys))
+    if len(keys) == 1:
+        among = F.col(keys[0]).isin([r[0] for r in hot])
+    else:
+        among = reduce(or_, (reduce(and_, (F.col(k) == r[k] for k in keys)) for r in hot))
+    return each(rows.where(among).join(F.broadcast(table.where(among)), keys)).unionByName(each(rows.where(~among).join(table.where(~among), keys)))
 
 
 def empty_if_null(text: Column) -> Column:

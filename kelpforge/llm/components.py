@@ -10,8 +10,8 @@ from kelpforge.llm._common import join_heavy, settle
 
 def _with_least(pairs: DataFrame, total: int) -> DataFrame:
     """pairs (u, v) with m, the smallest of u and its neighbours; the pairs of a hub stay where they are."""
-    least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("degree"))
-    return join_heavy(pairs, least, ["u"], "degree", total).drop("degree")
+    least = settle(pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("degree")))
+    return join_heavy(pairs, least, "u", "degree", total).drop("degree")
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:

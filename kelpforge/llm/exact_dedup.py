@@ -70,9 +70,9 @@ def exact_duplicates(
     members = _with_group(rows, collided).select("doc_id", "points", "grp", F.sha2("content", 256).alias("text_sha256"))
     members = settle(members.withColumn("row_key", F.monotonically_increasing_id()))
     best = members.select("grp", "row_key", "points", "doc_id")
-    chosen = join_heavy(best, winners, ["grp"], "group_size", total, lambda j: j.where(_is_best()).groupBy("grp").agg(F.min("row_key").alias("chosen")))
+    chosen = join_heavy(best, winners, "grp", "group_size", total, lambda j: j.where(_is_best()).groupBy("grp").agg(F.min("row_key").alias("chosen")))
     named = winners.join(chosen, "grp")
-    return join_heavy(members, named, ["grp"], "group_size", total).select(
+    return join_heavy(members, named, "grp", "group_size", total, sizes=winners).select(
         "doc_id", "keep_id", "group_size", (F.col("row_key") == F.col("chosen")).alias("kept"), "text_sha256"
     )
 
@@ -121,4 +121,4 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     order = F.struct(F.col("row")[text_col], F.to_json(F.struct(*others)))
     first = lambda j: j.where(_is_best()).groupBy("grp").agg(F.min_by("row", order).alias("row"))
     keyed = _with_group(rows, collided).select("row", "doc_id", "points", "grp")
-    return join_heavy(keyed, winners, ["grp"], "group_size", total, first).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    return join_heavy(keyed, winners, "grp", "group_size", total, first).select(*(F.col("row")[c].alias(c) for c in docs.columns))

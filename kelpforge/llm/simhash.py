@@ -237,9 +237,9 @@ def near_duplicates(
     nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members")))
     named = _roots(nodes, max_bits, sample, shard_rows)
     least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("prints"))
-    named = join_heavy(named, least, ["root"], "prints", nodes.count()).select("fp", "members", "component_id")
+    named = join_heavy(named, least, "root", "prints", nodes.count()).select("fp", "members", "component_id")
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return join_heavy(prints, named, ["fp"], "members", prints.count()).select("doc_id", shown, "component_id")
+    return join_heavy(prints, named, "fp", "members", prints.count(), sizes=nodes).select("doc_id", shown, "component_id")
 
 
 def _roots(nodes: DataFrame, max_bits: int, sample: int = SAMPLE, shard_rows: int | None = None) -> DataFrame:
@@ -343,8 +343,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     """Pairs (a, b) of similar texts. A text with many partners is dealt out as often as it has _PARTNERS of them."""
     pairs = settle(pairs.distinct())
     total = pairs.count()
-    often = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("deals", F.ceil(F.col("n") / _PARTNERS).cast("int"))
-    dealt = join_heavy(pairs, often, ["b"], "n", total).select("a", "b", F.pmod(F.xxhash64("a"), F.col("deals")).alias("deal"))
+    often = settle(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).withColumn("deals", F.ceil(F.col("n") / _PARTNERS).cast("int")))
+    dealt = join_heavy(pairs, often, "b", "n", total).select("a", "b", F.pmod(F.xxhash64("a"), F.col("deals")).alias("deal"))
     one = texts.select(F.col("row").alias("a"), F.col("text").alias("text_a"))
     two = often.join(texts, often.b == texts.row).select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals").cast("long") - 1)).alias("deal"), F.col("text").alias("text_b"))
     return settle(dealt.join(one, "a").join(two, ["b", "deal"]).where(_jaccard("text_a", "text_b") >= similarity).select("a", "b"))
@@ -353,7 +353,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 def _stars(buckets: DataFrame) -> DataFrame:
     """Pairs of each row of a bucket (bucket, row, n) with the least row of the bucket."""
     heads = buckets.groupBy("bucket").agg(F.min("row").alias("pivot"), F.count(F.lit(1)).alias("size"))
-    both = join_heavy(buckets.select("bucket", "row"), heads, ["bucket"], "size", buckets.count())
+    both = join_heavy(buckets.select("bucket", "row"), heads, "bucket", "size", buckets.count())
     return both.where("row <> pivot").select(F.col("row").alias("a"), F.col("pivot").alias("b")).distinct()
 
 
@@ -366,7 +366,7 @@ def _open_pairs(buckets: DataFrame, heads: DataFrame, similarity: float) -> Data
     parities don't. Rows of which only a passage is equal so meet inside the join and leave no pair behind.
     """
     sizes = buckets.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    left = join_heavy(buckets, sizes, ["bucket"], "size", buckets.count())
+    left = join_heavy(buckets, sizes, "bucket", "size", buckets.count())
     left = settle(left.select("bucket", "row", "root", "shingles", F.ceil(F.col("size") / _PIECE).cast("int").alias("pieces")).join(heads.select("row", "marks", "odd"), "row"))
     left = left.withColumn("piece", F.pmod(F.xxhash64("row"), F.col("pieces")).cast("int"))
     x = left.select("bucket", F.col("row").alias("a"), F.col("root").alias("root_a"), F.col("shingles").alias("n_a"), F.col("marks").alias("marks_a"), F.col("odd").alias("odd_a"), F.col("piece").alias("p"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("q"))
@@ -389,14 +389,14 @@ def similar_documents(rows: DataFrame, similarity: float = SIMILARITY) -> DataFr
     own = settle(texts.select("row", _sketches("text").alias("s")).select("row", "s.*"))
     total = own.count()
     classes = own.groupBy("kind").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies"))
-    known = settle(join_heavy(own.select("row", "kind"), classes, ["kind"], "copies", total).select("row", "first"))
+    known = settle(join_heavy(own.select("row", "kind"), classes, "kind", "copies", total).select("row", "first"))
     heads = settle(own.join(classes.select(F.col("first").alias("row")), "row").select("row", "shingles", "fp", "prints", "marks", "odd"))
 
     fps = settle(heads.groupBy("fp").agg(F.count(F.lit(1)).alias("members")))
-    near = join_heavy(heads.select("row", "fp"), _roots(fps, MAX_BITS), ["fp"], "members", total).select(F.col("root").alias("bucket"), "row")
+    near = join_heavy(heads.select("row", "fp"), _roots(fps, MAX_BITS), "fp", "members", total, sizes=fps).select(F.col("root").alias("bucket"), "row")
     flat = heads.select("row", "shingles", F.explode("prints").alias("bucket"))
-    shared = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = settle(join_heavy(flat, shared, ["bucket"], "size", total * PRINTS).select("bucket", "row", "shingles"))
+    shared = settle(flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    buckets = settle(join_heavy(flat, shared, "bucket", "size", total * PRINTS).select("bucket", "row", "shingles"))
 
     links = _verified(_stars(settle(near)).union(_stars(buckets)), texts, similarity)
     stars = components(links).select(F.col("a").alias("row"), F.col("b").alias("root"))

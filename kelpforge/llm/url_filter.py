@@ -140,11 +140,11 @@ def _joined_verdicts(urls: DataFrame, index: dict[str, list[dict]], counts: dict
     table = spark.createDataFrame(rows, f"token string, rules array<{_RULE_TYPE}>, n long")
     tokens = F.array_append(url_tokens(F.col("host"), F.col("path")), F.lit(""))
     pairs = known.select("host", "path", F.explode(tokens).alias("token"))
-    held = join_heavy(pairs, table, ["token"], "n", n + sum(counts.values())).select("host", "path", F.explode("rules").alias("told"))
+    held = join_heavy(pairs, table, "token", "n", n + sum(counts.values())).select("host", "path", F.explode("rules").alias("told"))
     rule = F.col("told")
     hits = held.where(_fits(F.concat("host", "path"), rule)).groupBy("host", "path").agg(F.max(_ranked(rule)).alias("best"))
     best = known.join(hits, ["host", "path"], "left")
-    return join_heavy(urls, best, ["host", "path"], "pages", urls.count())
+    return join_heavy(urls, best, ["host", "path"], "pages", urls.count(), sizes=known)
 
 
 def judge_urls(

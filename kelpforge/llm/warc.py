@@ -44,7 +44,7 @@ def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """
     told = settle(pages.select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size")).where(F.col("size") >= least).select("page_id", "digest"))
     first = told.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("pages"))
-    again = join_heavy(told, first, ["digest"], "pages", told.count()).where(F.col("page_id") > F.col("refers_to"))
+    again = join_heavy(told, first, "digest", "pages", told.count()).where(F.col("page_id") > F.col("refers_to"))
     return again.select("page_id", "digest", "refers_to").distinct()
 
 
