@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,17 +23,41 @@ def shared_folder(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read from there: later jobs neither recompute it nor lose it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that a query's shuffle files go when it ends, and not when the driver happens to collect its garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written within needs none of its shuffles again, so their files are removed as soon as it is written."""
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
+
+
+def settle_at(df: DataFrame, path: str) -> DataFrame:
+    """df written as a compressed table to a new path and read from there, of which later jobs read only the columns that they need."""
+    with _shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """df written to the shared folder and read from there: later jobs neither recompute it nor lose it."""
+    return settle_at(df, scratch(df.sparkSession, name))
+
+
 def _path(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
