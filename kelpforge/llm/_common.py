@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpforge.sources.shared import settle, shared_folder
+
 WHITE_SPACE = r"[\x20\x09-\x0D]"
 
 
@@ -37,54 +36,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names. Where it names none: a folder of this machine in local mode, an error elsewhere."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kelpforge-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-#: Spark's setting that a query's shuffle files go when it ends, and not when the driver happens to collect its garbage.
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """What is written within needs none of its shuffles again, so their files are removed as soon as it is written."""
-    before = spark.conf.get(_CLEAN_UP, None)
-    spark.conf.set(_CLEAN_UP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEAN_UP)
-        else:
-            spark.conf.set(_CLEAN_UP, before)
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there: later jobs neither recompute it nor lose it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    with _shuffles_removed(df.sparkSession):
-        return df.checkpoint()
-
-
-def settle_table(df: DataFrame, name: str) -> DataFrame:
-    """As settle, as a compressed table, of which later jobs read only the columns that they need."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    with _shuffles_removed(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return shared_folder(spark)
 
 
 def with_row_key(docs: DataFrame, name: str = ROW) -> DataFrame:
     """docs with a key of each row's own in column name; written out, so that every later read sees the same key."""
-    return settle_table(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    return settle(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
 def free_name(docs: DataFrame, name: str) -> str:
