@@ -563,11 +563,14 @@ def sentiment_groups(spark, sf_dir):
     return out.withColumn("overall", F.round("overall", 2)).withColumn("score", F.round("score", 2))
 
 
-@query()
+@query(f"""WITH {_polar_sql()}, a AS (SELECT source AS grp, doc_id // 20 % 2 AS half, aspect, round(avg(polarity), 4) AS score FROM p GROUP BY ALL), n AS (SELECT source AS grp, doc_id // 20 % 2 AS half, count(*) AS n FROM documents GROUP BY ALL)
+SELECT c.grp, c.aspect, round(b.score, 4) AS previous, round(c.score, 4) AS current, round(b.score - c.score, 4) AS drop FROM a c JOIN a b ON b.grp = c.grp AND b.aspect = c.aspect AND b.half = 0 AND c.half = 1
+JOIN n x ON x.grp = c.grp AND x.half = 0 AND x.n >= 5 JOIN n y ON y.grp = c.grp AND y.half = 1 AND y.n >= 5 WHERE b.score - c.score >= 0.04995""")
 def sentiment_warnings(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    early, late = (sentiment.group_sentiment(docs.where(c), "source", "text", _WORDS) for c in (F.col("doc_id") % 2 == 0, F.col("doc_id") % 2 == 1))
-    return sentiment.early_warnings(early, late, 0.05)
+    """Aspects that fell by a twentieth or more from every other twenty documents to the twenty after them."""
+    docs, half = table(spark, sf_dir, "documents"), F.expr("doc_id div 20 % 2")
+    early, late = (sentiment.group_sentiment(docs.where(c), "source", "text", _WORDS) for c in (half == 0, half == 1))
+    return sentiment.early_warnings(early, late, 0.04995).withColumn("drop", F.round("drop", 4))
 
 
 _ALIASES = [("red", "color"), ("blue", "color"), ("green", "color"), ("ring", "jewel"), ("bolt", "metal"), ("gear", "metal"), ("widget", "device"), ("gizmo", "device")]
@@ -605,26 +608,47 @@ def role_matches(spark, sf_dir):
 
 # Planning
 
-_SCENARIOS = [("steady", 100, 0.02, 3, 3, 100.0), ("shrinking", 80, 0.05, 1, 0, 70.0), ("growing", 50, 0.01, 6, 6, 60.0)]
 
 
-@query("""WITH RECURSIVE s(name, h0, a, hires, ramp, demand) AS (VALUES ('steady', 100, 0.02, 3, 3, 100.0), ('shrinking', 80, 0.05, 1, 0, 70.0), ('growing', 50, 0.01, 6, 6, 60.0)),
-m AS (SELECT name, 0 AS month, CAST(h0 AS DOUBLE) AS h, CAST(0 AS DOUBLE) AS leavers FROM s UNION ALL SELECT m.name, month + 1, h * (1 - CAST(a AS DOUBLE)) + hires, h * CAST(a AS DOUBLE) FROM m JOIN s USING (name) WHERE month < 12),
-i AS (SELECT m.name, month, h, leavers, (SELECT coalesce(sum(hires * pow(1 - CAST(a AS DOUBLE), k) * (1 - k / ramp)), 0) FROM range(0, least(month, ramp)) t(k)) AS idle, hires, demand FROM m JOIN s USING (name) WHERE month > 0)
-SELECT name, CAST(month AS INT) AS month, round(h, 6) AS headcount, round(h - idle, 6) AS effective_capacity, round(leavers, 6) AS leavers, CAST(hires AS BIGINT) AS joiners, CAST(demand AS DOUBLE) AS demand, round(greatest(0, CAST(demand AS DOUBLE) - (h - idle)), 6) AS shortfall FROM i""")
+def _departments(spark, sf_dir, *by):
+    """Customers as staff of departments: a department loses more of them the more have a negative balance."""
+    counts = table(spark, sf_dir, "customer").groupBy(*by).agg(F.count(F.lit(1)).alias("headcount"), F.count(F.when(F.col("c_acctbal") < 0, 1)).alias("owing"))
+    return counts.withColumn("attrition", (F.col("owing") + 1) / (F.col("headcount") * 9.7))
+
+
+def _scenarios(spark, sf_dir):
+    nation = F.col("c_nationkey")
+    return _departments(spark, sf_dir, "c_nationkey", "c_mktsegment").select(
+        F.concat_ws(":", "c_nationkey", "c_mktsegment").alias("name"), "headcount", "attrition", (1 + nation % 4).cast("long").alias("hires"), (nation % 5).cast("int").alias("ramp"), (F.col("headcount") * 1.05).alias("demand")
+    )
+
+
+_STATES = """WITH RECURSIVE s AS (SELECT c_nationkey || ':' || c_mktsegment AS name, count(*) AS h0, (count(*) FILTER (WHERE c_acctbal < 0) + 1) / (count(*) * CAST(9.7 AS DOUBLE)) AS a, 1 + c_nationkey % 4 AS hires, c_nationkey % 5 AS ramp, count(*) * CAST(1.05 AS DOUBLE) AS demand FROM customer GROUP BY c_nationkey, c_mktsegment),
+m AS (SELECT name, 0 AS month, CAST(h0 AS DOUBLE) AS h, CAST(0 AS DOUBLE) AS leavers FROM s UNION ALL SELECT m.name, month + 1, h * (1 - a) + hires, h * a FROM m JOIN s USING (name) WHERE month < 12),
+i AS (SELECT m.name, month, h, leavers, (SELECT coalesce(sum(hires * pow(1 - a, k) * (1 - k / ramp)), 0) FROM range(0, least(month, ramp)) t(k)) AS idle, hires, demand FROM m JOIN s USING (name) WHERE month > 0),
+p AS (SELECT name, month, round(h, {d}) AS headcount, round(greatest(h - idle, 0), {d}) AS effective_capacity, round(leavers, {d}) AS leavers, hires AS joiners, demand FROM i)"""
+
+
+@query(_STATES.format(d=6) + "SELECT name, CAST(month AS INT) AS month, headcount, effective_capacity, leavers, CAST(joiners AS BIGINT) AS joiners, demand, round(greatest(0, demand - effective_capacity), 6) AS shortfall FROM p")
 def workforce_projection(spark, sf_dir):
-    return planning.project(spark.createDataFrame(_SCENARIOS, planning.SCENARIO), digits=6).withColumn("shortfall", r6("shortfall"))
+    """A year of each nation's and market segment's customers as staff."""
+    return planning.project(_scenarios(spark, sf_dir), digits=6).withColumn("shortfall", r6("shortfall"))
 
 
-@query()
+@query(_STATES.format(d=3) + """, q AS (SELECT *, round(greatest(0, demand - effective_capacity), 6) AS shortfall FROM p),
+u AS (SELECT name, arg_max(headcount, month) AS final_headcount, round(sum(leavers), 3) AS total_leavers, CAST(sum(joiners) AS BIGINT) AS total_hires, CAST(min(month) FILTER (WHERE shortfall > 0) AS INT) AS first_shortfall_month,
+max(shortfall) AS peak_shortfall, CAST(arg_max(month, shortfall * 1000 - month / 1000000) AS INT) AS peak_month FROM q GROUP BY 1) SELECT * FROM u""")
 def workforce_summary(spark, sf_dir):
-    return planning.scenario_comparison(_SCENARIOS, spark)
+    states = planning.project(_scenarios(spark, sf_dir)).withColumn("shortfall", r6("shortfall"))
+    return planning.projection_summary(states).drop("summary").withColumn("total_leavers", F.round("total_leavers", 3))
 
 
-@query("""WITH t(name, h0, a, target) AS (VALUES ('x', 100, 0.02, 130), ('y', 10, 0.5, 20)), n AS (SELECT *, unnest(range(0, target + h0 + 1)) AS k FROM t),
-f AS (SELECT *, round(h0 * pow(1 - CAST(a AS DOUBLE), 12) + k * (1 - pow(1 - CAST(a AS DOUBLE), 12)) / CAST(a AS DOUBLE), 3) AS f FROM n) SELECT name, CAST(target AS BIGINT) AS target, CAST(min(k) AS BIGINT) AS hires FROM f WHERE f >= target GROUP BY 1, 2""")
+@query("""WITH t AS (SELECT CAST(c_nationkey AS VARCHAR) AS name, count(*) AS h0, (count(*) FILTER (WHERE c_acctbal < 0) + 1) / (count(*) * CAST(9.7 AS DOUBLE)) AS a, count(*) * 13 // 10 AS target FROM customer GROUP BY c_nationkey), n AS (SELECT *, unnest(range(0, target + h0 + 1)) AS k FROM t),
+f AS (SELECT *, round(h0 * pow(1 - a, 12) + k * (1 - pow(1 - a, 12)) / a, 3) AS f FROM n) SELECT name, CAST(target AS BIGINT) AS target, CAST(min(k) AS BIGINT) AS hires FROM f WHERE f >= target GROUP BY 1, 2""")
 def hires_required(spark, sf_dir):
-    return planning.hires_required(spark.createDataFrame([("x", 100, 0.02, 130), ("y", 10, 0.5, 20)], "name string, headcount long, attrition double, target long"))
+    """Monthly hires that bring each nation's staff up by three in ten within a year."""
+    staff = _departments(spark, sf_dir, "c_nationkey")
+    return planning.hires_required(staff.select(F.col("c_nationkey").cast("string").alias("name"), "headcount", "attrition", F.floor(F.col("headcount") * 13 / 10).alias("target")))
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal / 10000 >= 0.6 THEN 'HIGH' WHEN c_acctbal / 10000 >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM customer")

@@ -278,11 +278,25 @@ def training_rows(spark, sf_dir):
 # Models
 
 
+def _staff(spark, sf_dir):
+    """Customers as employees: orders are their work, the last one long ago means that they left."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).alias("orders"), F.avg("o_totalprice").alias("price"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), F.count(F.when(F.col("o_orderpriority") == "1-URGENT", 1)).alias("urgent")
+    )
+    own = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left")
+    days = lambda c: F.datediff(F.lit("1998-08-02").cast("date"), F.col(c).cast("date"))
+    return own.select(
+        F.concat(F.lit("c"), "c_custkey").alias("subject_key"), (days("first") / 365).alias("tenure_years"), (F.col("c_custkey") % 36).cast("double").alias("months_since_promotion"), F.col("orders").cast("double").alias("training_hours_12m"),
+        F.col("urgent").cast("double").alias("overtime_hours_monthly"), (1 + (F.col("c_acctbal") + 1000) / 2750).alias("engagement_score"), (F.coalesce("price", F.lit(0.0)) + 1).alias("salary"), F.lit(150_000.0).alias("band_midpoint"),
+        F.lit(140_000.0).alias("peer_median_salary"), (F.coalesce(days("last"), F.lit(9999)) > 240).cast("int").alias("left"),
+    )
+
+
 @query()
 def attrition_scores(spark, sf_dir):
-    """Boosted trees on generated employees; the number of employees follows the customers."""
-    people = files.synthetic_employees(spark, table(spark, sf_dir, "customer").count())
-    rows = planning.attrition_features(people).join(people.select("subject_key", "left"), "subject_key")
+    """Boosted trees that tell customers who have stopped ordering from the others, with bands and drivers."""
+    people = _staff(spark, sf_dir)
+    rows = settle(planning.attrition_features(people).join(people.select("subject_key", "left"), "subject_key"))
     names = [c for c in rows.columns if c not in ("subject_key", "left")]
     model = models.train(rows, names, "left", "gradient_boosting")
     means, weight = models.cohort_means(rows, names), models.importance(model, names)
@@ -292,16 +306,28 @@ def attrition_scores(spark, sf_dir):
 
 @query()
 def ranker_report(spark, sf_dir):
-    world = files.synthetic_world(spark, 60, 200)
-    rows = world.select(F.monotonically_increasing_id().alias("k"), (F.col("topic") == F.pmod(F.xxhash64("user", F.lit(9)), F.lit(8))).cast("double").alias("match"), (F.col("item") % 7).cast("double").alias("age"), F.col("clicked").cast("int").alias("label"))
-    _, (slope, intercept), auc = models.train_ranker(rows.withColumn("k", F.xxhash64("match", "age", "k")), ["match", "age"], "label", "k")
+    """Boosted trees over orders: which are finished; Platt's map and the AUC of the held-out quarter."""
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("double")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), days.alias("age"), F.col("o_totalprice").cast("double").alias("price"), (F.col("o_orderstatus") == "F").cast("int").alias("label"))
+    _, (slope, intercept), auc = models.train_ranker(settle(rows), ["age", "price"], "label", "k")
     return spark.createDataFrame([(slope, intercept, auc)], "slope double, intercept double, auc double")
 
 
-@query()
+_TOOLING = "round(coalesce({t}, 0.5) + (c_acctbal + 1000) / 11000, 9) > 1.0"
+
+
+@query(f"""WITH o AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderpriority < '3') / CAST(count(*) AS DOUBLE) AS t FROM orders GROUP BY 1), c AS (SELECT c_mktsegment AS grp, {_TOOLING.format(t='t')} AS a, {_TOOLING.format(t='NULL')} AS b FROM customer LEFT JOIN o ON o_custkey = c_custkey),
+v AS (SELECT 'all_columns' AS variant, grp, count(*) AS total, count(*) FILTER (WHERE a) AS selected FROM c GROUP BY 2 UNION ALL SELECT 'without_recent_tooling', grp, count(*), count(*) FILTER (WHERE b) FROM c GROUP BY 2),
+r AS (SELECT *, selected / CAST(total AS DOUBLE) AS rate, total >= 30 AS eligible FROM v), w AS (SELECT *, max(rate) FILTER (WHERE eligible) OVER (PARTITION BY variant) AS best, count(*) FILTER (WHERE eligible) OVER (PARTITION BY variant) AS parties FROM r),
+x AS (SELECT *, CASE WHEN parties >= 2 AND best > 0 AND eligible THEN rate / best END AS ratio FROM w)
+SELECT variant, grp, total, selected, round(rate, 6) AS rate, eligible, round(ratio, 6) AS ratio, coalesce(ratio < 0.8, FALSE) AS impacted,
+CASE WHEN parties < 2 OR coalesce(best, 0) <= 0 THEN 'INSUFFICIENT_DATA' WHEN bool_or(coalesce(ratio < 0.8, FALSE)) OVER (PARTITION BY variant) THEN 'ADVERSE_IMPACT' ELSE 'NO_ADVERSE_IMPACT' END AS verdict FROM x""")
 def impact_of_tooling(spark, sf_dir):
-    people = files.synthetic_applicants(spark, 10 * table(spark, sf_dir, "customer").count()).withColumn("band", numeric.age_band(F.col("age")))
-    return statistics.rescreened(people, "band", lambda d: F.coalesce("recent_tooling", F.lit(0.5)) + F.col("skill_match") > 1.0, "recent_tooling")
+    """Customers are screened by their balance and the share of their orders that are urgent or high, and again without that share."""
+    share = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.count(F.when(F.col("o_orderpriority") < "3", 1)) / F.count(F.lit(1))).alias("recent_tooling"))
+    people = table(spark, sf_dir, "customer").join(share, "c_custkey", "left")
+    screen = lambda d: F.round(F.coalesce("recent_tooling", F.lit(0.5)) + (F.col("c_acctbal") + 1000) / 11000, 9) > 1.0
+    return statistics.rescreened(people, "c_mktsegment", screen, "recent_tooling").withColumn("rate", r6("rate")).withColumn("ratio", r6("ratio"))
 
 
 # Ledger and workflows

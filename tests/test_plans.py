@@ -8,8 +8,8 @@ from kelpforge.operators import features
 from kelpforge.plans import catalog, records  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-#: Queries that read eagerly or that join a table with one row of totals.
-ONE_ROW = {"independence_three_groups", "search_page", "fidelity", "evaluation_summary", "current_epoch", "workforce_summary", "scheduled_checks", "attrition_scores", "top_driver", "ranker_report"}
+#: Queries that read eagerly, end in a written table, or join a table with one row of totals.
+ONE_ROW = {"independence_three_groups", "search_page", "fidelity", "evaluation_summary", "current_epoch", "workforce_summary", "scheduled_checks", "attrition_scores", "top_driver", "ranker_report", "two_tower_evaluation", "index_recall", "alert_states", "stored_ledger_verified"}
 
 
 def plan(df) -> str:
