@@ -36,17 +36,32 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(empty_if_null(text), WHITE_SPACE + "+", "")
 
 
-def _pack(points: Column, doc_id: Column) -> Column:
+def _is_number(docs: DataFrame, id_col: str) -> bool:
+    return docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+
+def _pack(points: Column, doc_id: Column, number: bool) -> Column:
+    """What is greatest for the row that stays: one number for ids that are numbers, which a hash aggregate can hold, else a struct."""
+    if not number:
+        return F.struct((-points).alias("p"), doc_id.isNull().alias("n"), doc_id.alias("i"))
     wide = "decimal(38,0)"
     rank = F.lit(_ID_TOP).cast(wide) - F.coalesce(doc_id.cast("long"), F.lit(_ID_TOP)).cast(wide)
     return ((points.cast("decimal(11,0)") * F.lit(str(_POINTS_UNIT)).cast("decimal(20,0)")).cast(wide) + rank).cast(wide)
 
 
-def _winner_points(packed: Column) -> Column:
+def _best_of(column: Column, number: bool) -> Column:
+    return F.max(column) if number else F.min(column)
+
+
+def _winner_points(packed: Column, number: bool) -> Column:
+    if not number:
+        return (-packed["p"]).cast("long")
     return F.floor(packed / F.lit(str(_POINTS_UNIT)).cast("decimal(38,0)")).cast("long")
 
 
-def _winner_id(packed: Column) -> Column:
+def _winner_id(packed: Column, number: bool) -> Column:
+    if not number:
+        return packed["i"]
     rest = packed % F.lit(str(_POINTS_UNIT)).cast("decimal(38,0)")
     return F.when(rest > 0, (F.lit(_ID_TOP).cast("decimal(38,0)") - rest).cast("long"))
 
@@ -60,8 +75,8 @@ def exact_duplicates(
 ) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per input row, dropped ones too.
 
-    Of equal texts the row with the most code points stays, then the smallest id (ids are 64-bit integers, not
-    negative). Null text counts as empty; all empty texts are one group. A row without an id loses to rows of its length
+    Of equal texts the row with the most code points stays, then the smallest id. Ids are of any type that can be ordered;
+    integers come back as 64-bit ones. Null text counts as empty; all empty texts are one group. A row without an id loses to rows of its length
     with one; where it stays, keep_id is null. Of rows that are equal in all this, repeated rows among them, one is
     kept; all count in group_size. Other columns of docs are neither read nor returned, so their names cannot clash. An
     empty table gives an empty result.
@@ -79,14 +94,15 @@ def exact_duplicates(
 
 def _combined(docs: DataFrame, id_col: str, text_col: str, salts: int, digest: Callable[[Column], Column] = sha256_of) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """docs as (row, doc_id, points, content, digest); its groups' winners, written out; digests of two contents; how many rows."""
+    number = _is_number(docs, id_col)
     rows = docs.select(
-        F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.length(empty_if_null(F.col(text_col))).alias("points"), normalised(F.col(text_col)).alias("content")
+        F.struct("*").alias("row"), (F.col(id_col).cast("long") if number else F.col(id_col)).alias("doc_id"), F.length(empty_if_null(F.col(text_col))).alias("points"), normalised(F.col(text_col)).alias("content")
     ).withColumn("digest", digest(F.col("content")))
     salt = F.pmod(F.xxhash64("doc_id", "points"), F.lit(salts)).cast("int")
-    salted = rows.groupBy("digest", salt.alias("salt"), "content").agg(F.max(_pack(F.col("points"), F.col("doc_id"))).alias("best"), F.count(F.lit(1)).alias("members"))
-    groups = salted.repartition("digest").groupBy("digest", "content").agg(F.max("best").alias("best"), F.sum("members").alias("group_size"))
+    salted = rows.groupBy("digest", salt.alias("salt"), "content").agg(_best_of(_pack(F.col("points"), F.col("doc_id"), number), number).alias("best"), F.count(F.lit(1)).alias("members"))
+    groups = salted.repartition("digest").groupBy("digest", "content").agg(_best_of(F.col("best"), number).alias("best"), F.sum("members").alias("group_size"))
     groups = groups.withColumn("collides", F.count(F.lit(1)).over(Window.partitionBy("digest")) > 1)
-    winners = settle(groups.select("digest", "collides", _group_name().alias("grp"), _winner_points(F.col("best")).alias("most"), _winner_id(F.col("best")).alias("keep_id"), "group_size"))
+    winners = settle(groups.select("digest", "collides", _group_name().alias("grp"), _winner_points(F.col("best"), number).alias("most"), _winner_id(F.col("best"), number).alias("keep_id"), "group_size"))
     collided = winners.where("collides").select("digest", F.lit(True).alias("collides")).distinct()
     total = winners.agg(F.sum("group_size")).first()[0] or 0
     return rows, winners.drop("digest", "collides"), collided, total

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpforge.llm._common import empty_if_null
+from kelpforge.llm._common import ROW, empty_if_null, with_row_key
 
 #: Alternatives of one expression beyond which a literal run is cut.
 _MOST_STRINGS = 64
@@ -168,7 +168,8 @@ def scan_secrets(
     """doc_id, spans (array of start, rank, kind, stop; sorted): one row per input row.
 
     Null text counts as empty; rows without an id are scanned like others, repeated rows give a row each, an empty table
-    gives an empty result. Only id and text are read. The index narrows work, never results: candidates are verified.
+    gives an empty result. Only id and text are read. The index narrows work, never results: candidates are verified. Rows
+    meet their candidates by a key of each row's own, so that many rows of one id, or of none, are no hot key.
     """
     read = docs.select(F.col(id_col).alias("doc_id"), empty_if_null(F.col(text_col)).alias("text"))
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
@@ -176,9 +177,9 @@ def scan_secrets(
     kinds = F.array().cast("array<string>")
     if filtered:
         grams = sorted({g for q in filtered.values() for c in q for g in c})
-        found = candidates(build_postings(read, grams), filtered)
-        d, c = read.alias("d"), found.alias("c")
-        read = d.join(c.hint("shuffle_hash"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")), "left").select("d.doc_id", "d.text", "c.kinds")
+        keyed = with_row_key(read)
+        found = candidates(build_postings(keyed.select(F.col(ROW).alias("doc_id"), "text"), grams), filtered)
+        read = keyed.join(found.select(F.col("doc_id").alias(ROW), "kinds").hint("shuffle_hash"), ROW, "left").select("doc_id", "text", "kinds")
         kinds = F.coalesce("kinds", kinds)
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int>>")
     each = []

@@ -56,10 +56,11 @@ def cut(pages: DataFrame, chunk_bytes: int, least: int = REVISIT_BYTES) -> DataF
     """
     size = F.octet_length("html").cast("long")
     rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", F.sha2("html", 256).alias("digest"), size.alias("size"), F.encode("html", "UTF-8").alias("payload"))
-    places = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / chunk_bytes) - 1, F.lit(0)).cast("int"))
-    parts = F.transform(places, lambda k: F.struct(k.alias("chunk_no"), (k == F.element_at(places, -1)).alias("last"), F.substring(F.col("payload"), k * chunk_bytes + 1, F.lit(chunk_bytes)).alias("data")))
-    # But for the outer form Spark would infer a filter on the array, and work it out a second time.
-    told = rows.select("row", "page_id", "url", "digest", "size", F.inline_outer(parts))
+    last = F.greatest(F.ceil(F.col("size") / chunk_bytes) - 1, F.lit(0)).cast("int")
+    # Numbers are made first and bytes taken by them, so a payload is never held a second time as an array of its chunks.
+    told = rows.withColumn("final", last).withColumn("chunk_no", F.explode_outer(F.sequence(F.lit(0), "final")))
+    data = F.substring(F.col("payload"), F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))
+    told = told.select("row", "page_id", "url", "digest", "size", "chunk_no", (F.col("chunk_no") == F.col("final")).alias("last"), data.alias("data"))
     once = (F.col("size") < least) | F.col("page_id").isNull()
     joined = told.where(~once).join(settle(revisits(pages, least)), ["page_id", "digest"], "left").where("refers_to IS NULL OR chunk_no = 0")
     joined = joined.withColumn("data", F.when(F.col("refers_to").isNull(), F.col("data"))).withColumn("last", F.col("last") | F.col("refers_to").isNotNull())
