@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,9 @@ from kelpforge.llm.quality import labelled_sample
 HELD_OUT = (3, 1)
 #: Labelled rows that evidence is counted on at most, by hash order of the id.
 SAMPLE = 20_000
+#: Pieces of evidence that the driver weighs at most, the worthiest ones, and how often toxic rows of the sample name them
+#: together at most: where very long texts do more, fewer of those rows are taken, by hash order of the text.
+SAMPLE_EVIDENCE, SAMPLE_PLACES = 500_000, 20_000_000
 #: Documents of the sample that must have a piece of evidence; all pieces that do are weighed.
 LEAST_DOCUMENTS = 2
 #: A piece of evidence is worth (toxic + PRIOR_DOCUMENTS * share of toxic) / (all + PRIOR_DOCUMENTS).
@@ -266,7 +270,8 @@ def _evidence_frame(counts: dict[str, list[int]]) -> pd.DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """docs has doc_id and text. The character model is counted on all of docs, evidence on a bounded labelled sample.
 
-    All evidence that LEAST_DOCUMENTS toxic rows of the sample have is weighed on the driver, which `sample` bounds.
+    Evidence that LEAST_DOCUMENTS toxic rows of the sample have is weighed on the driver, which gets SAMPLE_EVIDENCE strings
+    and SAMPLE_PLACES packed numbers at most, however long the texts are.
     """
     characters = count_characters(docs)
     shared = docs.sparkSession.sparkContext.broadcast(characters)  # CLASSES ^ 3 numbers
@@ -277,11 +282,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityM
     counted = rows.mapInPandas(_count_evidence(shared), "evidence string, toxic long, other long")
     counted = counted.groupBy("evidence").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     kept = counted.where(F.col("toxic") >= LEAST_DOCUMENTS).withColumn("worth", _worth(F.col("toxic"), F.col("other"), share)).where(F.col("worth") >= max(LEAST_POSTERIOR, 1.5 * share))
-    best = kept.orderBy(F.desc("worth"), F.desc("toxic"), F.desc(F.length("evidence")), "evidence").collect()
+    best = kept.orderBy(F.desc("worth"), F.desc("toxic"), F.desc(F.length("evidence")), "evidence").limit(SAMPLE_EVIDENCE).collect()
     number = {r["evidence"]: k for k, r in enumerate(best)}
     places = docs.sparkSession.sparkContext.broadcast(number)
-    held = rows.where("label = 1").select("text").mapInPandas(_find_evidence(shared, places), "found array<int>").collect()
-    chosen = decision_list([np.array(r["found"], int) for r in held], list(number), *(np.array([r[c] for r in best], float) for c in ("toxic", "other")), share)
+    found = settle(rows.where("label = 1").select("text").mapInPandas(_find_evidence(shared, places), "row long, found binary"))
+    order = Window.orderBy("row")  # of `sample` numbers at most
+    sizes = found.select("row", F.sum(F.octet_length("found") / 4).over(order).alias("so_far"), F.row_number().over(order).alias("nth"))
+    held = found.join(F.broadcast(sizes.where((F.col("so_far") <= SAMPLE_PLACES) | (F.col("nth") == 1)).select("row").distinct()), "row").orderBy("row", "found").collect()
+    chosen = decision_list([np.frombuffer(bytes(r["found"]), np.int32) for r in held], list(number), *(np.array([r[c] for r in best], float) for c in ("toxic", "other")), share)
     return ToxicityModel({best[k]["evidence"]: float(best[k]["worth"]) for k in chosen}, float(share), characters)
 
 
@@ -293,7 +301,9 @@ def _find_evidence(characters, places) -> object:
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         restorer, number = Restorer(characters.value), places.value
         for part in parts:
-            yield pd.DataFrame({"found": [sorted(number[e] for e in evidence_in(restorer.words(t)) if e in number) for t in part["text"]]})
+            found = [np.array(sorted(number[e] for e in evidence_in(restorer.words(t)) if e in number), np.int32).tobytes() for t in part["text"]]
+            rows = [int.from_bytes(hashlib.blake2b((t or "").encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) for t in part["text"]]
+            yield pd.DataFrame({"row": rows, "found": found})
 
     return find
 
