@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -233,3 +233,50 @@ def register(events: DataFrame, name: str, actor: str) -> DataFrame:
 def previous_eligible(versions: DataFrame, before: int) -> DataFrame:
     """The newest version older than `before` that the gate did not block and whose signature is valid."""
     return versions.where((F.col("version") < before) & (F.col("gate") != "BLOCK") & F.col("signature_valid")).orderBy(F.desc("version")).limit(1)
+
+
+def stage_changes(events: DataFrame, since: int) -> DataFrame:
+    """name, version, before, after of versions whose stage the events (name, version, seq, stage) after `since` have changed.
+
+    A version that is new has no stage before. Changes that one event brings about in others (a live version that another
+    replaces) are told too.
+    """
+    then = current_stages(events.where(F.col("seq") <= since)).select("name", "version", F.col("stage").alias("before"))
+    now = current_stages(events).select("name", "version", F.col("stage").alias("after"))
+    return now.join(then, ["name", "version"], "left").where(~F.col("after").eqNullSafe(F.col("before"))).select("name", "version", "before", "after")
+
+
+def on_change(events: DataFrame, since: int, hook: Callable[[DataFrame], None]) -> int:
+    """Calls hook with the changes after `since`, if there are any, and gives the last event's number to go on from."""
+    last = events.agg(F.max("seq")).first()[0]
+    if last is None or last <= since:
+        return since
+    changed = stage_changes(events, since)
+    if not changed.isEmpty():
+        hook(changed)
+    return last
+
+
+class Tools:
+    """What carries out actions: one tool for each kind of action, a function of the steps of that kind."""
+
+    def __init__(self):
+        self._tools: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+    def register(self, action: str, tool: Callable[[DataFrame], DataFrame]) -> None:
+        """tool gets steps (step_id, action_type, ...) and gives step_id, result. A second tool for an action is refused."""
+        if action in self._tools:
+            raise ValueError(f"{action} has a tool already")
+        self._tools[action] = tool
+
+    def invoke(self, steps: DataFrame) -> DataFrame:
+        """step_id, action_type, result, error: each step by its action's tool. Steps without a tool, and those that their tool leaves out, have an error."""
+        own = steps.select("step_id", "action_type")
+        told = None
+        for action, tool in self._tools.items():
+            part = tool(steps.where(F.col("action_type") == action)).select("step_id", F.col("result").cast("string").alias("result"))
+            told = part if told is None else told.unionByName(part)
+        known = F.coalesce(F.col("action_type").isin(*self._tools), F.lit(False)) if self._tools else F.lit(False)
+        joined = own.withColumn("result", F.lit(None).cast("string")) if told is None else own.join(told, "step_id", "left")
+        error = F.when(~known, F.lit("no tool for this action")).when(F.col("result").isNull(), F.lit("the tool gave no result"))
+        return joined.select("step_id", "action_type", "result", error.alias("error"))

@@ -275,6 +275,21 @@ def training_rows(spark, sf_dir):
     return features.point_in_time_join(view, labels, writes).select(F.col("entity_id").alias("user_id"), "event_id", "view")
 
 
+@query("""WITH l AS (SELECT o_custkey AS user_id, l_partkey AS item_id, l_orderkey * 10 + l_linenumber AS k, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS label FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+SELECT k, user_id, item_id, label, CAST(c_acctbal AS DOUBLE) AS balance, CAST(p_retailprice AS DOUBLE) AS price, CAST(p_size AS BIGINT) AS size, CASE WHEN c_custkey IS NULL OR p_partkey IS NULL THEN 0 ELSE round(c_acctbal * p_retailprice + 10.0 * p_size, 4) END AS retrieval_score
+FROM l LEFT JOIN customer ON c_custkey = user_id LEFT JOIN part ON p_partkey = item_id""")
+def training_assembly(spark, sf_dir):
+    """Every bought part as a label, with the views and vectors of its customer and part."""
+    bought = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    labels = bought.select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("label"))
+    c, p = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
+    users, items = c.select(F.col("c_custkey").alias("user_id"), F.col("c_acctbal").cast("double").alias("balance")), p.select(F.col("p_partkey").alias("item_id"), F.col("p_retailprice").cast("double").alias("price"), F.col("p_size").cast("long").alias("size"))
+    user_vectors = users.select("user_id", F.array("balance", F.lit(10.0)).alias("vector"))
+    item_vectors = items.select("item_id", F.array("price", F.col("size").cast("double")).alias("vector"))
+    rows = features.assemble_training_rows(labels, users, items, user_vectors, item_vectors)
+    return rows.select("k", "user_id", "item_id", "label", "balance", "price", "size", F.round("retrieval_score", 4).alias("retrieval_score"))
+
+
 # Models
 
 
