@@ -294,16 +294,17 @@ def training_assembly(spark, sf_dir):
 
 
 def _staff(spark, sf_dir):
-    """Customers as employees: orders are their work, the last one long ago means that they left."""
+    """Customers as employees: orders are their work, and the three in ten whose last one is the longest ago have left."""
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.count(F.lit(1)).alias("orders"), F.avg("o_totalprice").alias("price"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), F.count(F.when(F.col("o_orderpriority") == "1-URGENT", 1)).alias("urgent")
     )
-    own = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left")
     days = lambda c: F.datediff(F.lit("1998-08-02").cast("date"), F.col(c).cast("date"))
+    own = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left")
+    late = orders.agg(F.percentile(days("last"), 0.7)).first()[0]
     return own.select(
         F.concat(F.lit("c"), "c_custkey").alias("subject_key"), (days("first") / 365).alias("tenure_years"), (F.col("c_custkey") % 36).cast("double").alias("months_since_promotion"), F.col("orders").cast("double").alias("training_hours_12m"),
         F.col("urgent").cast("double").alias("overtime_hours_monthly"), (1 + (F.col("c_acctbal") + 1000) / 2750).alias("engagement_score"), (F.coalesce("price", F.lit(0.0)) + 1).alias("salary"), F.lit(150_000.0).alias("band_midpoint"),
-        F.lit(140_000.0).alias("peer_median_salary"), (F.coalesce(days("last"), F.lit(9999)) > 240).cast("int").alias("left"),
+        F.lit(140_000.0).alias("peer_median_salary"), (F.coalesce(days("last"), F.lit(9999)) > F.lit(late)).cast("int").alias("left"),
     )
 
 
