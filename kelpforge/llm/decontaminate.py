@@ -203,7 +203,8 @@ def contaminated(
     candidates = met.join(shared(rare), "hash").select("key", "doc_id", "item").distinct()
     # By window as well as by text, so that a very long text is not one task's work.
     wanted = settle(candidates.join(shared(items.select("item", "hash", "bare").distinct()), "item"))
-    near = found.drop("doc_id").join(wanted, ["key", "hash"])
+    # What is wanted grows with the texts that hold something, so it has no bound that would allow a broadcast.
+    near = found.drop("doc_id").join(wanted.hint("shuffle_hash"), ["key", "hash"])
     of_item = shared(items.select("item", "hash", "item_at", "item_slots", "short"))
     hits = near.where("NOT bare").join(of_item, ["item", "hash"])
     hits = settle(hits.where(~F.col("short") | F.col("alone") | (F.col("slots") == F.col("item_slots"))).select("key", "item", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal"), "slots", "item_slots"))
@@ -212,7 +213,7 @@ def contaminated(
     copied = copies.join(shared(items.where("bare").select("item", "hash", "item_slots", "item_at")), ["item", "hash", "item_slots"])
     copied = copied.select("key", "item", F.col("item_at").alias("place"), F.lit(False).alias("changed"))
     beside = hits.select("key", "item", "diagonal").distinct().join(shared(items.where("bare").select("item", "hash", "item_at", "item_slots")), "item")
-    beside = beside.withColumn("at", F.col("item_at") + F.col("diagonal")).join(found.select("key", "at", "hash", "slots"), ["key", "at", "hash"])
+    beside = beside.withColumn("at", F.col("item_at") + F.col("diagonal")).hint("shuffle_hash").join(found.select("key", "at", "hash", "slots"), ["key", "at", "hash"])
     hits = hits.unionByName(beside.select(*hits.columns))
 
     # One diagonal holds each item position once or twice, so what is gathered is bounded by the item's length.
